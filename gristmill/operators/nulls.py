@@ -18,7 +18,7 @@ from gristmill.functions.types import (
 )
 from gristmill.operators.columns import _typed_value
 from gristmill.plans.ordering import fill_along
-from gristmill.plans.stats import attach, most_frequent, quantile_row, stat, tidy
+from gristmill.plans.stats import attach, literal, most_frequent, quantiles, stat, tidy
 
 STRATEGIES = ("constant", "mean", "median", "mode", "ffill", "bfill")
 
@@ -103,11 +103,11 @@ def fill_nulls(
     else:
         if strategy == "mean":
             stats = df.agg(*[F.avg(col(n)).alias(f"s{i}") for i, n in enumerate(usable)])
+            prepared = attach(df, stats)
+            replacements = {n: stat(f"s{i}") for i, n in enumerate(usable)}
         else:
-            stats = quantile_row(df, usable, [0.5], approx)
-            stats = stats.select(*[F.col(f"q{i}_0").alias(f"s{i}") for i in range(len(usable))])
-        prepared = attach(df, stats)
-        replacements = {n: stat(f"s{i}") for i, n in enumerate(usable)}
+            medians = quantiles(df, usable, [0.5], approx)
+            replacements = {n: literal(medians[i, 0]) for i, n in enumerate(usable)}
     exprs = {}
     for n in usable:
         new = replacements[n]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,12 +14,13 @@ from gristmill.functions.types import (
     col,
     is_integer,
     numeric_columns,
+    replace_columns,
     require_choice,
     require_numeric,
     require_order,
     require_range,
 )
-from gristmill.plans.stats import STATS, attach, most_frequent, quantile_row, stat, tidy
+from gristmill.plans.stats import attach, literal, most_frequent, quantiles, tidy
 
 METHODS = ("iqr", "zscore")
 IMPUTE = ("mean", "median", "mode")
@@ -29,52 +31,78 @@ def default_threshold(method: str) -> float:
     return 3.0 if method == "zscore" else 1.5
 
 
-def _moments(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    aggregates = [F.count(F.lit(1)).alias("total")]
+@dataclass(frozen=True)
+class Spread:
+    """Location and outlier bounds of one column; None where it has no value."""
+
+    lower: float | None
+    upper: float | None
+    mean: float | None
+    std: float | None
+    low: float | None
+    high: float | None
+    median: float | None = None
+
+
+def _spreads(
+    df: DataFrame, names: Sequence[str], method: str, threshold: float, median: bool, approx: bool
+) -> list[Spread]:
+    """Bounds of every column from one row of aggregates.
+
+    The numbers become literals, so a filter on them reaches the scan and the statistics
+    are computed once for the table and its report.
+    """
+    require_choice(method, METHODS, "method")
+    require_range(threshold, 0, 10, "threshold", open_low=True)
+    aggregates = []
     for i, n in enumerate(names):
         c = col(n).cast("double")
         aggregates += [
-            F.count(c).alias(f"n{i}"),
             F.avg(c).alias(f"mean{i}"),
             F.stddev_samp(c).alias(f"std{i}"),
-            F.min(c).alias(f"min{i}"),
-            F.max(c).alias(f"max{i}"),
+            F.min(c).alias(f"low{i}"),
+            F.max(c).alias(f"high{i}"),
         ]
-    return df.agg(*aggregates)
-
-
-def _stats(
-    df: DataFrame, names: Sequence[str], method: str, threshold: float, median: bool, approx: bool
-) -> DataFrame:
-    """One row with ``lower{i}``/``upper{i}`` and the moments of every column."""
-    require_choice(method, METHODS, "method")
-    require_range(threshold, 0, 10, "threshold", open_low=True)
-    base = _moments(df, names)
+    row = df.agg(*aggregates).first()
     ps = ([0.25, 0.75] if method == "iqr" else []) + ([0.5] if median else [])
-    if ps:
-        base = attach(base, quantile_row(df, names, ps, approx), "q")
-    bounds = []
+    q = quantiles(df, names, ps, approx) if ps else {}
+    out = []
     for i in range(len(names)):
-        if method == "iqr":
-            q1, q3 = F.col("q").getField(f"q{i}_0"), F.col("q").getField(f"q{i}_1")
-            lower, upper = q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1)
-        else:
-            spread = F.coalesce(F.col(f"std{i}"), F.lit(0.0)) * threshold
-            lower, upper = F.col(f"mean{i}") - spread, F.col(f"mean{i}") + spread
-        bounds += [lower.alias(f"lower{i}"), upper.alias(f"upper{i}")]
-        if median:
-            bounds.append(F.col("q").getField(f"q{i}_{len(ps) - 1}").alias(f"median{i}"))
-    moments = [c for c in base.columns if c != "q"]
-    return base.select(*moments, *bounds)
+        mean, std = row[f"mean{i}"], row[f"std{i}"]
+        lower = upper = None
+        if mean is not None and method == "iqr":
+            width = threshold * (q[i, 1] - q[i, 0])
+            lower, upper = q[i, 0] - width, q[i, 1] + width
+        elif mean is not None:
+            width = threshold * (std or 0.0)
+            lower, upper = mean - width, mean + width
+        out.append(
+            Spread(lower, upper, mean, std, row[f"low{i}"], row[f"high{i}"], q.get((i, len(ps) - 1)) if median else None)
+        )
+    return out
+
+
+def _outlying(name: str, spread: Spread, method: str) -> Column:
+    """True where the value lies strictly outside its bounds; null is no outlier."""
+    if spread.lower is None or (method == "zscore" and not spread.std):
+        return F.lit(False)
+    c = col(name).cast("double")
+    return F.coalesce((c < spread.lower) | (c > spread.upper), F.lit(False))
 
 
-def _outlying(i: int, name: str, method: str) -> Column:
-    """True, false or null-as-false: the value lies strictly outside its bounds."""
-    c = col(name).cast("double")
-    test = (c < stat(f"lower{i}")) | (c > stat(f"upper{i}"))
-    if method == "zscore":
-        test = test & (stat(f"std{i}") > 0)
-    return F.coalesce(test, F.lit(False))
+def _counts(df: DataFrame, names, spreads, method: str) -> DataFrame:
+    """One row: rows in the table and outliers per column."""
+    return df.agg(
+        F.count(F.lit(1)).alias("total"),
+        *[
+            F.count_if(_outlying(n, s, method)).alias(f"out{i}")
+            for i, (n, s) in enumerate(zip(names, spreads))
+        ],
+    )
+
+
+def _four(value) -> Column:
+    return F.round(literal(value), 4)
 
 
 def outlier_bounds(
@@ -82,50 +110,35 @@ def outlier_bounds(
 ) -> DataFrame:
     """Rows ``(column, lower_bound, upper_bound)``."""
     names = require_numeric(df, as_list(columns))
-    stats = _stats(df, names, method, threshold, False, approx)
-    return tidy(
-        stats,
-        [
-            {
-                "column": F.lit(n),
-                "lower_bound": F.col(f"lower{i}"),
-                "upper_bound": F.col(f"upper{i}"),
-            }
-            for i, n in enumerate(names)
-        ],
+    spreads = _spreads(df, names, method, threshold, False, approx)
+    return df.sparkSession.createDataFrame(
+        [(n, s.lower, s.upper) for n, s in zip(names, spreads)],
+        "column string, lower_bound double, upper_bound double",
     )
 
 
-def _with_counts(df: DataFrame, names, stats: DataFrame, method: str) -> DataFrame:
-    marked = attach(df.select(*[col(n) for n in names]), stats)
-    counts = marked.agg(
-        *[F.count_if(_outlying(i, n, method)).alias(f"out{i}") for i, n in enumerate(names)]
-    )
-    return attach(stats, counts, "counts")
-
-
 def detect_outliers(
     df: DataFrame, columns, method: str = "iqr", threshold: float | None = None, approx: bool = False
 ) -> DataFrame:
     """Per column: outlier count and share of all rows, bounds and location statistics."""
     names = require_numeric(df, as_list(columns))
     threshold = default_threshold(method) if threshold is None else threshold
-    stats = _with_counts(df, names, _stats(df, names, method, threshold, True, approx), method)
+    spreads = _spreads(df, names, method, threshold, True, approx)
     return tidy(
-        stats,
+        _counts(df, names, spreads, method),
         [
             {
                 "column": F.lit(n),
-                "outlier_count": F.col("counts").getField(f"out{i}"),
-                "outlier_pct": share(F.col("counts").getField(f"out{i}"), F.col("total"), 1),
-                "lower_bound": F.round(f"lower{i}", 4),
-                "upper_bound": F.round(f"upper{i}", 4),
-                "min": F.round(f"min{i}", 4),
-                "max": F.round(f"max{i}", 4),
-                "mean": F.round(f"mean{i}", 4),
-                "median": F.round(f"median{i}", 4),
+                "outlier_count": F.col(f"out{i}"),
+                "outlier_pct": share(F.col(f"out{i}"), F.col("total"), 1),
+                "lower_bound": _four(s.lower),
+                "upper_bound": _four(s.upper),
+                "min": _four(s.low),
+                "max": _four(s.high),
+                "mean": _four(s.mean),
+                "median": _four(s.median),
             }
-            for i, n in enumerate(names)
+            for i, (n, s) in enumerate(zip(names, spreads))
         ],
     )
 
@@ -142,17 +155,17 @@ def outlier_sample(
     names = require_numeric(df, as_list(columns))
     keys = require_order(df, order_by)
     threshold = default_threshold(method) if threshold is None else threshold
-    marked = attach(df, _stats(df, names, method, threshold, False, False))
+    spreads = _spreads(df, names, method, threshold, False, False)
     entries = F.array(
         *[
             F.when(
-                _outlying(i, n, method),
+                _outlying(n, s, method),
                 F.struct(F.lit(n).alias("column"), col(n).cast("double").alias("value")),
             )
-            for i, n in enumerate(names)
+            for n, s in zip(names, spreads)
         ]
     )
-    found = marked.select(*[col(k) for k in keys], F.inline(F.array_compact(entries)))
+    found = df.select(*[col(k) for k in keys], F.inline(F.array_compact(entries)))
     first = Window.partitionBy("column").orderBy(*[col(k) for k in keys])
     return (
         found.withColumn("rank", F.row_number().over(first))
@@ -166,11 +179,11 @@ def trim_outliers(
 ) -> DataFrame:
     """Drop the rows that are outlying in any column; nulls are no outliers."""
     names = require_numeric(df, as_list(columns))
-    marked = attach(df, _stats(df, names, method, threshold, False, approx))
-    keep = F.lit(True)
-    for i, n in enumerate(names):
-        keep = keep & ~_outlying(i, n, method)
-    return marked.filter(keep).drop(STATS)
+    spreads = _spreads(df, names, method, threshold, False, approx)
+    kept = df
+    for n, s in zip(names, spreads):
+        kept = kept.filter(~_outlying(n, s, method))
+    return kept
 
 
 def impute_outliers(
@@ -184,26 +197,21 @@ def impute_outliers(
     """Replace outliers by the column's mean, median or mode over all valid values."""
     require_choice(strategy, IMPUTE, "strategy")
     names = require_numeric(df, as_list(columns))
-    stats = _stats(df, names, method, threshold, strategy == "median", approx)
-    marked = attach(df, stats)
-    exprs = {}
-    for i, n in enumerate(names):
+    spreads = _spreads(df, names, method, threshold, strategy == "median", approx)
+    marked, exprs = df, {}
+    for i, (n, s) in enumerate(zip(names, spreads)):
         field = df.schema[n]
         if strategy == "mode":
             marked = attach(marked, most_frequent(df, n), f"__mode{i}")
             new = F.col(f"__mode{i}").getField("mode")
         else:
-            new = stat(f"{strategy}{i}")
+            new = literal(s.mean if strategy == "mean" else s.median)
             new = F.rint(new) if is_integer(field) else new
-        exprs[n] = F.when(_outlying(i, n, method), new.cast(field.dataType)).otherwise(col(n))
+        exprs[n] = F.when(_outlying(n, s, method), new.cast(field.dataType)).otherwise(col(n))
     imputed = marked.select(*[exprs[c].alias(c) if c in exprs else col(c) for c in df.columns])
-    counted = _with_counts(df, names, stats, method)
     metrics = tidy(
-        counted,
-        [
-            {"column": F.lit(n), "cells_imputed": F.col("counts").getField(f"out{i}")}
-            for i, n in enumerate(names)
-        ],
+        _counts(df, names, spreads, method),
+        [{"column": F.lit(n), "cells_imputed": F.col(f"out{i}")} for i, n in enumerate(names)],
     )
     return MutationResult(imputed, metrics)
 
@@ -217,48 +225,47 @@ def cap_outliers(
     if lower_pct >= upper_pct:
         raise ValueError("lower_pct must be below upper_pct")
     names = require_numeric(df, as_list(columns))
-    stats = quantile_row(df, names, [lower_pct / 100, upper_pct / 100], approx)
-    marked = attach(df, stats)
+    q = quantiles(df, names, [lower_pct / 100, upper_pct / 100], approx)
     exprs, moved = {}, []
     for i, n in enumerate(names):
         c = col(n).cast("double")
-        low, high = stat(f"q{i}_0"), stat(f"q{i}_1")
+        low, high = literal(q[i, 0]), literal(q[i, 1])
         exprs[n] = F.when(c < low, low).when(c > high, high).otherwise(c)
         moved.append(F.count_if((c < low) | (c > high)).alias(f"m{i}"))
-    capped = marked.select(*[exprs[c].alias(c) if c in exprs else col(c) for c in df.columns])
+    capped = replace_columns(df, exprs)
     metrics = tidy(
-        marked.agg(*moved),
+        df.agg(*moved),
         [{"column": F.lit(n), "cells_capped": F.col(f"m{i}")} for i, n in enumerate(names)],
     )
     return MutationResult(capped, metrics)
 
 
-def _summary_stats(df, method, threshold, columns, approx):
+def _summarised(df, method, threshold, columns, approx):
     names = require_numeric(df, as_list(columns)) or numeric_columns(df)
     if not names:
         raise ValueError("the table has no numeric column")
-    stats = _stats(df, names, method, threshold, False, approx)
-    return names, _with_counts(df, names, stats, method)
+    spreads = _spreads(df, names, method, threshold, False, approx)
+    return names, spreads, _counts(df, names, spreads, method)
 
 
 def outlier_summary(
     df: DataFrame, method: str = "iqr", threshold: float = 1.5, columns=None, approx: bool = False
 ) -> DataFrame:
     """Outlier report over all numeric columns."""
-    names, stats = _summary_stats(df, method, threshold, columns, approx)
+    names, spreads, counts = _summarised(df, method, threshold, columns, approx)
     return tidy(
-        stats,
+        counts,
         [
             {
                 "column": F.lit(n),
-                "outlier_count": F.col("counts").getField(f"out{i}"),
-                "outlier_pct": share(F.col("counts").getField(f"out{i}"), F.col("total"), 2),
-                "lower_bound": F.round(f"lower{i}", 4),
-                "upper_bound": F.round(f"upper{i}", 4),
-                "mean": F.round(f"mean{i}", 4),
-                "std": F.round(f"std{i}", 4),
+                "outlier_count": F.col(f"out{i}"),
+                "outlier_pct": share(F.col(f"out{i}"), F.col("total"), 2),
+                "lower_bound": _four(s.lower),
+                "upper_bound": _four(s.upper),
+                "mean": _four(s.mean),
+                "std": _four(s.std),
             }
-            for i, n in enumerate(names)
+            for i, (n, s) in enumerate(zip(names, spreads))
         ],
     )
 
@@ -267,13 +274,12 @@ def outlier_summary_totals(
     df: DataFrame, method: str = "iqr", threshold: float = 1.5, columns=None, approx: bool = False
 ) -> DataFrame:
     """One row: columns checked, columns with outliers, outlier cells."""
-    names, stats = _summary_stats(df, method, threshold, columns, approx)
-    outs = [F.col("counts").getField(f"out{i}") for i in range(len(names))]
+    names, _, counts = _summarised(df, method, threshold, columns, approx)
     affected = cells = F.lit(0).cast("long")
-    for out in outs:
-        affected = affected + F.when(out > 0, 1).otherwise(0)
-        cells = cells + out
-    return stats.select(
+    for i in range(len(names)):
+        affected = affected + F.when(F.col(f"out{i}") > 0, 1).otherwise(0)
+        cells = cells + F.col(f"out{i}")
+    return counts.select(
         F.col("total").alias("total_rows"),
         F.lit(len(names)).cast("long").alias("numeric_columns_checked"),
         affected.alias("columns_with_outliers"),

@@ -17,7 +17,7 @@ from gristmill.functions.types import (
     require_order,
     require_range,
 )
-from gristmill.plans.stats import attach, quantile_row, tidy
+from gristmill.plans.stats import attach, literal, quantiles, tidy
 
 PREVIEW_ROWS = 100
 PREVIEW_CAP = 10_000
@@ -82,12 +82,9 @@ def describe_numeric(df: DataFrame, approx: bool = False) -> DataFrame:
     names = [f.name for f in fields]
     if not names:
         raise ValueError("the table has no numeric column")
-    stats = attach(
-        df.agg(*_moments(fields)), quantile_row(df, names, [0.25, 0.5, 0.75], approx), "q"
-    )
-    q = F.col("q")
+    q = quantiles(df, names, [0.25, 0.5, 0.75], approx)
     return tidy(
-        stats,
+        df.agg(*_moments(fields)),
         [
             {
                 "column": F.lit(n),
@@ -95,9 +92,9 @@ def describe_numeric(df: DataFrame, approx: bool = False) -> DataFrame:
                 "mean": F.col(f"mean{i}"),
                 "std": F.col(f"std{i}"),
                 "min": F.col(f"min{i}"),
-                "p25": q.getField(f"q{i}_0"),
-                "p50": q.getField(f"q{i}_1"),
-                "p75": q.getField(f"q{i}_2"),
+                "p25": literal(q[i, 0]),
+                "p50": literal(q[i, 1]),
+                "p75": literal(q[i, 2]),
                 "max": F.col(f"max{i}"),
             }
             for i, n in enumerate(names)
@@ -137,18 +134,37 @@ def describe_datetime(df: DataFrame, approx: bool = False) -> DataFrame:
     fields = [f for f in df.schema if is_datetime(f)]
     if not fields:
         raise ValueError("the table has no date or time column")
-    micros = df.select(
-        *[
-            F.unix_micros(col(f.name).cast("timestamp")).cast("double").alias(f.name)
-            for f in fields
+    names = [f.name for f in fields]
+    micros = df.select(*[F.unix_micros(col(n).cast("timestamp")).alias(n) for n in names])
+    q = quantiles(micros, names, [0.25, 0.5, 0.75], approx)
+    aggregates = []
+    for i, n in enumerate(names):
+        exact = F.sum(col(n).cast("decimal(38,0)")) / F.count(col(n)).cast("decimal(20,0)")
+        aggregates += [
+            F.count(col(n)).alias(f"n{i}"),
+            F.floor(F.when(F.count(col(n)) > 0, exact)).cast("long").alias(f"mean{i}"),
+            F.min(col(n)).alias(f"min{i}"),
+            F.max(col(n)).alias(f"max{i}"),
         ]
-    )
-    stats = describe_numeric(micros, approx)
-    moments = ["mean", "min", "p25", "p50", "p75", "max"]
-    return stats.select(
-        "column",
-        "count",
-        *[F.timestamp_micros(F.floor(m).cast("long")).alias(m) for m in moments],
+
+    def moment(value):
+        return F.timestamp_micros(F.floor(value).cast("long"))
+
+    return tidy(
+        micros.agg(*aggregates),
+        [
+            {
+                "column": F.lit(n),
+                "count": F.col(f"n{i}"),
+                "mean": moment(F.col(f"mean{i}")),
+                "min": moment(F.col(f"min{i}")),
+                "p25": moment(literal(q[i, 0])),
+                "p50": moment(literal(q[i, 1])),
+                "p75": moment(literal(q[i, 2])),
+                "max": moment(F.col(f"max{i}")),
+            }
+            for i, n in enumerate(names)
+        ],
     )
 
 
@@ -169,14 +185,14 @@ def summary_stats(df: DataFrame, top_n: int = 5, approx: bool = False) -> DataFr
     parts = []
     if numbers:
         names = [f.name for f in numbers]
-        stats = attach(totals, quantile_row(df, names, [0.5], approx), "q")
+        medians = quantiles(df, names, [0.5], approx)
         rows = []
         for i, n in enumerate(names):
             for label, value in (
                 ("min", F.col(f"min{i}")),
                 ("max", F.col(f"max{i}")),
                 ("mean", F.col(f"mean{i}")),
-                ("median", F.col("q").getField(f"q{i}_0")),
+                ("median", literal(medians[i, 0])),
                 ("std", F.col(f"std{i}")),
             ):
                 rows.append(
@@ -190,7 +206,7 @@ def summary_stats(df: DataFrame, top_n: int = 5, approx: bool = False) -> DataFr
                         "count": F.lit(None).cast("long"),
                     }
                 )
-        parts.append(tidy(stats, rows))
+        parts.append(tidy(totals, rows))
     if others:
         counts = top_values(_long_counts(df, others, keep_null=False), top_n)
         missing = F.create_map(

@@ -6,6 +6,7 @@ the data as a scalar subquery, so nothing is collected and no join is planned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -38,132 +39,96 @@ def tidy(stats: DataFrame, rows: Sequence[dict[str, Column]]) -> DataFrame:
     return stats.select(F.inline(F.array(*structs)))
 
 
-def quantile_table(
-    df: DataFrame, columns: Sequence[str], ps: Sequence[float], accuracy: int = ACCURACY
-) -> DataFrame:
-    """Exact linearly interpolated quantiles, rows ``(i, j, q)`` per column i and ps[j].
+def quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    ps: Sequence[float],
+    approx: bool = False,
+    accuracy: int = ACCURACY,
+) -> dict[tuple[int, int], float | None]:
+    """Exact linearly interpolated quantiles ``{(i, j): quantile ps[j] of columns[i]}``.
 
     The built-in exact ``percentile`` keeps every distinct value in one aggregation
     buffer. Here a mergeable sketch only brackets each quantile; the values inside the
     bracket (about ``2 * SLACK / accuracy`` of the rows) are grouped and ranked exactly
     after counting what lies below it. The sketch decides how much work is left, never
-    the answer: a bracket that missed its rank raises instead of returning.
+    the answer: a bracket that missed its rank is an error. Every job returns one row of
+    a few numbers per column; as literals they push down into the scans that use them.
     """
     values = df.select(
         *[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
     )
     delta = SLACK / accuracy
+    targets = [(i, j) for i in range(len(columns)) for j in range(len(ps))]
+    if approx:
+        row = values.agg(
+            *[F.percentile_approx(f"v{i}", list(ps), accuracy).alias(f"s{i}") for i in range(len(columns))]
+        ).first()
+        return {(i, j): row[f"s{i}"][j] if row[f"s{i}"] else None for i, j in targets}
     grid = [max(p - delta, 0.0) for p in ps] + [min(p + delta, 1.0) for p in ps]
     sketch = values.agg(
         *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
         *[F.min(f"v{i}").alias(f"lo{i}") for i in range(len(columns))],
         *[F.max(f"v{i}").alias(f"hi{i}") for i in range(len(columns))],
         *[F.percentile_approx(f"v{i}", grid, accuracy).alias(f"s{i}") for i in range(len(columns))],
-    )
-    targets = [(i, j) for i in range(len(columns)) for j in range(len(ps))]
-
-    def edge(i, j, upper):
-        n, lo, hi, s = (stat(f"{k}{i}") for k in ("n", "lo", "hi", "s"))
-        small = n <= WHOLE_BRACKET
-        if upper:
-            return F.when(small | F.lit(ps[j] + delta >= 1), hi).otherwise(s[len(ps) + j])
-        return F.when(small | F.lit(ps[j] - delta <= 0), lo).otherwise(s[j])
-
-    bounds = attach(values.sparkSession.range(1), sketch).select(
-        *[stat(f"n{i}").alias(f"n{i}") for i in range(len(columns))],
-        *[edge(i, j, False).alias(f"lo{i}_{j}") for i, j in targets],
-        *[edge(i, j, True).alias(f"hi{i}_{j}") for i, j in targets],
-    )
-    marked = attach(values, bounds)
-    below = marked.agg(
-        *[
-            F.count_if(F.col(f"v{i}") < stat(f"lo{i}_{j}")).alias(f"b{i}_{j}")
-            for i, j in targets
-        ]
-    )
-    inside = {
-        (i, j): F.col(f"v{i}").between(stat(f"lo{i}_{j}"), stat(f"hi{i}_{j}"))
-        for i, j in targets
-    }
+    ).first()
+
+    # Brackets (column, low, high); quantiles of a short column share one over its range.
+    brackets: dict[tuple[int, float, float], int] = {}
+    bracket_of: dict[tuple[int, int], int] = {}
+    for i, j in targets:
+        if not sketch[f"n{i}"]:
+            continue
+        low, high = sketch[f"lo{i}"], sketch[f"hi{i}"]
+        if sketch[f"n{i}"] > WHOLE_BRACKET:
+            low = low if ps[j] <= delta else sketch[f"s{i}"][j]
+            high = high if ps[j] + delta >= 1 else sketch[f"s{i}"][len(ps) + j]
+        bracket_of[i, j] = brackets.setdefault((i, low, high), len(brackets))
+    if not brackets:
+        return dict.fromkeys(targets)
+    below = dict.fromkeys(brackets.values(), 0)
+    partial = [(i, low, b) for (i, low, _), b in brackets.items() if low > sketch[f"lo{i}"]]
+    if partial:
+        row = values.agg(
+            *[F.count_if(F.col(f"v{i}") < low).alias(f"b{b}") for i, low, b in partial]
+        ).first()
+        below.update({b: row[f"b{b}"] for _, _, b in partial})
+
+    inside = {b: F.col(f"v{i}").between(low, high) for (i, low, high), b in brackets.items()}
+    columns_of = {b: i for (i, _, _), b in brackets.items()}
     anywhere = None
     for test in inside.values():
         anywhere = test if anywhere is None else anywhere | test
     entries = F.array(
         *[
-            F.when(
-                test,
-                F.struct(
-                    F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("v")
-                ),
-            )
-            for (i, j), test in inside.items()
+            F.when(test, F.struct(F.lit(b).alias("b"), F.col(f"v{columns_of[b]}").alias("v")))
+            for b, test in inside.items()
         ]
     )
     counted = (
-        marked.filter(anywhere)
-        .select(F.inline(F.array_compact(entries)))
-        .groupBy("i", "j", "v")
-        .count()
-    )
-    ranks = tidy(
-        attach(bounds, below, "below"),
-        [
-            {
-                "ti": F.lit(i),
-                "tj": F.lit(j),
-                "below": F.col("below").getField(f"b{i}_{j}"),
-                "pos": (F.col(f"n{i}") - 1) * F.lit(float(ps[j])),
-            }
-            for i, j in targets
-        ],
-    )
-    running = Window.partitionBy("i", "j").orderBy("v")
-    cumulative = counted.withColumn("upto", F.sum("count").over(running))
-    cumulative = cumulative.join(
-        F.broadcast(ranks), (F.col("i") == F.col("ti")) & (F.col("j") == F.col("tj"))
-    )
-    seen = F.col("below") + F.col("upto")
-    low_rank, high_rank = F.floor("pos"), F.ceil("pos")
-    picked = cumulative.groupBy("i", "j", "below", "pos").agg(
-        F.min(F.when(seen > low_rank, F.col("v"))).alias("low"),
-        F.min(F.when(seen > high_rank, F.col("v"))).alias("high"),
-    )
-    missed = (F.col("below") > low_rank) | F.col("high").isNull() | F.col("low").isNull()
-    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("pos") - low_rank)
-    return picked.select(
-        "i",
-        "j",
-        F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .when(F.col("low") == F.col("high"), F.col("low"))
-        .otherwise(value)
-        .alias("q"),
-    )
-
-
-def quantile_row(
-    df: DataFrame,
-    columns: Sequence[str],
-    ps: Sequence[float],
-    approx: bool = False,
-    accuracy: int = ACCURACY,
-) -> DataFrame:
-    """One row with ``q{i}_{j}``: quantile ps[j] of columns[i]; null for an empty column."""
-    targets = [(i, j) for i in range(len(columns)) for j in range(len(ps))]
-    if approx:
-        sketch = df.agg(
-            *[
-                F.percentile_approx(col(c).cast("double"), list(ps), accuracy).alias(f"s{i}")
-                for i, c in enumerate(columns)
-            ]
-        )
-        return sketch.select(*[F.col(f"s{i}")[j].alias(f"q{i}_{j}") for i, j in targets])
-    table = quantile_table(df, columns, ps, accuracy)
-    return table.agg(
-        *[
-            F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("q"))).alias(f"q{i}_{j}")
-            for i, j in targets
-        ]
+        values.filter(anywhere).select(F.inline(F.array_compact(entries))).groupBy("b", "v").count()
     )
+    ranked = counted.withColumn("upto", F.sum("count").over(Window.partitionBy("b").orderBy("v")))
+    picks = []
+    for (i, j), b in bracket_of.items():
+        position = (sketch[f"n{i}"] - 1) * ps[j]
+        for name, rank in (("low", math.floor(position)), ("high", math.ceil(position))):
+            wanted = (F.col("b") == b) & (F.col("upto") > rank - below[b])
+            picks.append(F.min(F.when(wanted, F.col("v"))).alias(f"{name}{i}_{j}"))
+    row = ranked.agg(*picks).first()
+    out: dict[tuple[int, int], float | None] = dict.fromkeys(targets)
+    for (i, j), b in bracket_of.items():
+        position = (sketch[f"n{i}"] - 1) * ps[j]
+        low, high = row[f"low{i}_{j}"], row[f"high{i}_{j}"]
+        if below[b] > math.floor(position) or low is None or high is None:
+            raise ArithmeticError("a quantile bracket missed its rank; lower the sketch accuracy")
+        out[i, j] = low if low == high else low + (high - low) * (position - math.floor(position))
+    return out
+
+
+def literal(value) -> Column:
+    """A double literal, null for None."""
+    return F.lit(value).cast("double")
 
 
 def most_frequent(df: DataFrame, name: str) -> DataFrame:
