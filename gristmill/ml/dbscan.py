@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gristmill.functions.types import as_list, col, require_numeric, require_order
-from gristmill.plans.blocks import block_join
+from gristmill.plans.blocks import block_join, fresh
 from gristmill.plans.ordering import key_struct, with_row_number
 from gristmill.plans.session import checkpoint
 
@@ -46,15 +46,12 @@ def _coarse(v: Column, side: float, axes: int) -> Column:
 
 def _around(coarse: Column, axes: int) -> Column:
     """The coarse cell and its neighbours: 3 ** axes cells, at most 27."""
-    cells = F.array(F.array().cast("array<bigint>"))
-    for d in range(axes):
-        steps = F.transform(
-            F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s, d=d: F.get(coarse, F.lit(d)) + s
-        )
-        cells = F.flatten(
-            F.transform(cells, lambda c, steps=steps: F.transform(steps, lambda s, c=c: F.array_append(c, s)))
-        )
-    return cells
+    steps = [[]]
+    for _ in range(axes):
+        steps = [[*s, move] for s in steps for move in (-1, 0, 1)]
+    return F.array(
+        *[F.array(*[F.get(coarse, F.lit(d)) + move for d, move in enumerate(s)]) for s in steps]
+    )
 
 
 def _count_near(eps: float):
@@ -192,9 +189,11 @@ def _cell_edges(core: DataFrame, nodes: DataFrame, eps: float, axes: int) -> Dat
         pa = parts.select(F.col("id").alias("a"), F.col("part").alias("pa"), "v")
         pb = parts.select(F.col("id").alias("b"), F.col("part").alias("pb"), "v")
         keys = ["a", "b", "pa", "pb"]
+        left = fresh(small.select(*keys).join(pa, ["a", "pa"]))
+        right = fresh(small.select(*keys).join(pb, ["b", "pb"]))
         touching = (
-            small.select(*keys).join(pa, ["a", "pa"]).groupBy(*keys)
-            .cogroup(small.select(*keys).join(pb, ["b", "pb"]).groupBy(*keys))
+            left.groupBy(*keys)
+            .cogroup(right.groupBy(*keys))
             .applyInPandas(_touching(eps), "a bigint, b bigint")
         )
         edges = checkpoint(edges.unionByName(touching).distinct())

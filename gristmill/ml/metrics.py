@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gristmill.functions.types import as_list, col, require_choice, require_numeric
+from gristmill.functions.types import as_list, col, is_text, require_choice, require_numeric
 from gristmill.plans.blocks import block_join
 from gristmill.plans.stats import attach, stat
 
@@ -59,7 +59,8 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str, pos_label
     scored = classes.withColumn("pr", precision).withColumn("re", recall)
     f1 = F.coalesce(F.try_divide(2 * F.col("pr") * F.col("re"), F.col("pr") + F.col("re")), zero)
     scored = scored.withColumn("f", f1)
-    positive = F.col("label") == F.lit(pos_label)
+    wanted = str(pos_label) if is_text(df.schema[actual]) else pos_label
+    positive = F.col("label") == F.lit(wanted)
 
     def mean(c):
         return F.sum(F.col(c) * F.col("support")) / F.sum("support")
@@ -88,7 +89,7 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str, pos_label
 def _distance_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Weighted sums of distances from each left point to each cluster of the right block."""
     if left.empty or right.empty:
-        return pd.DataFrame({"pid": [], "label": [], "total": []})
+        return pd.DataFrame({"v": [], "own": [], "label": [], "total": []})
     a, b = np.vstack(left["v"]), np.vstack(right["v"])
     labels, place = np.unique(right["label"].to_numpy(), return_inverse=True)
     squared = np.zeros((len(a), len(b)))
@@ -100,7 +101,8 @@ def _distance_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     totals = np.sqrt(squared) @ weights
     return pd.DataFrame(
         {
-            "pid": np.repeat(left["pid"].to_numpy(), len(labels)),
+            "v": np.repeat(left["v"].to_numpy(), len(labels)),
+            "own": np.repeat(left["own"].to_numpy(), len(labels)),
             "label": np.tile(labels, len(a)),
             "total": totals.reshape(-1),
         }
@@ -124,24 +126,22 @@ def silhouette(df: DataFrame, features, label: str, method: str = "euclidean") -
     )
     clusters = points.groupBy("label").agg(F.sum("w").alias("size"))
     if method == "euclidean":
-        keyed = points.withColumn("pid", F.struct("v", "label")).withColumn("all", F.lit(0))
-        right = points.withColumn("all", F.lit(0))
+        own = points.withColumnRenamed("label", "own")
         partial = block_join(
-            keyed.select("all", "v", F.to_json("pid").alias("pid")),
-            right,
-            ["all"],
+            own.select("v", "own"),
+            points,
+            [],
             _distance_sums,
-            "pid string, label bigint, total double",
+            "v array<double>, own bigint, label bigint, total double",
         )
-        sums = partial.groupBy("pid", "label").agg(F.sum("total").alias("total"))
-        own = keyed.select(F.to_json("pid").alias("pid"), F.col("label").alias("own"), "w")
-        per_cluster = sums.join(own, "pid")
+        sums = partial.groupBy("v", "own", "label").agg(F.sum("total").alias("total"))
+        per_cluster = sums.join(own, ["v", "own"])
     else:
         per_cluster = _squared_sums(points)
     sized = per_cluster.join(clusters, "label")
     mine = F.col("label") == F.col("own")
     mean = F.try_divide(F.col("total"), F.col("size") - F.when(mine, 1).otherwise(0))
-    scored = sized.withColumn("mean", mean).groupBy("pid", "w").agg(
+    scored = sized.withColumn("mean", mean).groupBy("v", "own", "w").agg(
         F.max(F.when(mine, F.col("mean"))).alias("a"),
         F.min(F.when(~mine, F.col("mean"))).alias("b"),
     )
@@ -180,6 +180,6 @@ def _squared_sums(points: DataFrame) -> DataFrame:
     dot = F.aggregate(F.zip_with("v", F.col("c.s"), lambda x, s: x * s), F.lit(0.0), lambda t, x: t + x)
     total = F.col("c.n") * F.col("pq") - 2 * dot + F.col("c.q")
     return met.select(
-        F.struct("v", "own").alias("pid"), "own", "w", F.col("c.label").alias("label"),
+        "v", "own", "w", F.col("c.label").alias("label"),
         F.greatest(total, F.lit(0.0)).alias("total"),
     )

@@ -7,7 +7,7 @@ import time
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -18,14 +18,12 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.functions.text import to_text
 from gristmill.functions.types import as_list, col, is_text, require_choice, require_columns
 from gristmill.ml import metrics as M
 from gristmill.ml.dbscan import dbscan
 from gristmill.ml.neighbors import knn_classify
 from gristmill.ml.prepare import (
     FEATURES,
-    MIN_ROWS,
     TEST_SIZE,
     TextCodes,
     assemble,
@@ -185,8 +183,9 @@ def encode_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, Tex
         return df.withColumn(LABEL, col(target).cast("double")), None
     if is_text(df.schema[target]):
         codes = TextCodes.fit(df, [target])
-        coded = codes.transform(df.withColumn("__target", col(target)))
-        return coded.withColumn(LABEL, col(target).cast("double")).withColumn(target, F.col("__target")).drop("__target"), codes
+        kept = df.withColumn("__target", col(target))
+        coded = codes.transform(kept).withColumn(LABEL, col(target).cast("double"))
+        return coded.withColumn(target, F.col("__target")).drop("__target"), codes
     return df.withColumn(LABEL, col(target).cast("long").cast("double")), None
 
 
@@ -199,8 +198,13 @@ def train(
     target: str | None = None,
     params: Mapping | None = None,
     test_size: float = TEST_SIZE,
+    silhouette_method: str = "euclidean",
 ) -> Trained:
-    """Null removal, encoding, split, fit and evaluation."""
+    """Null removal, encoding, split, fit and evaluation.
+
+    Clusterings are scored by the exact silhouette, which compares all points; pass
+    ``silhouette_method="squared"`` for its linear-time relative on very large tables.
+    """
     started = time.monotonic()
     require_choice(task, ALGORITHMS, "task")
     require_choice(algorithm, ALGORITHMS[task], "algorithm")
@@ -216,7 +220,8 @@ def train(
     rows = rows.select(*[col(k).alias(i) for k, i in zip(keys, ids)], *[col(c) for c in used])
     codes = TextCodes.fit(rows, names)
     if task == "clustering":
-        return _train_clusters(codes.transform(rows), algorithm, names, ids, settings, codes, started)
+        rows = codes.transform(rows)
+        return _train_clusters(rows, algorithm, names, ids, settings, codes, started, silhouette_method)
     labelled, target_codes = encode_target(rows, target, task)
     coded = codes.transform(labelled)
     data = checkpoint(coded)
@@ -247,16 +252,15 @@ def train(
     return result
 
 
-def _train_clusters(rows, algorithm, names, ids, settings, codes, started) -> Trained:
+def _train_clusters(rows, algorithm, names, ids, settings, codes, started, method) -> Trained:
     data = checkpoint(rows)
     n = data.count()
     result = Trained("clustering", algorithm, names, None, settings, None, n, 0, 0.0, codes=codes)
     if algorithm == "kmeans":
         vectors = assemble(data, names)
         result.model = best_kmeans(vectors, settings["n_clusters"])
-        clusters = result.model.transform(assemble(data.select(*ids, *names, *[col(c).alias(f"__f{i}") for i, c in enumerate(names)]), names))
-        clusters = clusters.select(
-            *ids, *[F.col(f"__f{i}").alias(c) for i, c in enumerate(names)], F.col("prediction").alias("cluster")
+        clusters = result.model.transform(vectors).select(
+            *ids, *[col(c) for c in names], F.col("prediction").alias("cluster")
         )
         inertia = round(float(result.model.summary.trainingCost), 4)
     else:
@@ -264,7 +268,7 @@ def _train_clusters(rows, algorithm, names, ids, settings, codes, started) -> Tr
         clusters, inertia = data.join(found, ids), None
     clusters = checkpoint(clusters)
     result.assignments = clusters.select(*ids, "cluster")
-    scores = M.silhouette(clusters, names, "cluster")
+    scores = M.silhouette(clusters, names, "cluster", method)
     result.metrics = scores if inertia is None else scores.withColumn("inertia", F.lit(inertia))
     result.seconds = round(time.monotonic() - started, 3)
     return result

@@ -97,6 +97,8 @@ def distribution_bins(df: DataFrame, columns, bins: int = BINS) -> DataFrame:
         c = col(n).cast("double")
         width = (stat(f"to{i}") - stat(f"from{i}")) / bins
         place = F.least(F.floor((c - stat(f"from{i}")) / width), F.lit(bins - 1).cast("long"))
+        # ``least`` skips nulls, so a missing value needs its own branch.
+        place = F.when(c.isNotNull(), place)
         entries.append(F.struct(F.lit(n).alias("column"), place.cast("int").alias("bin")))
     counted = (
         marked.select(F.inline(F.array(*entries)))

@@ -12,9 +12,16 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from gristmill.plans.stats import STATS, attach
+
 BLOCK_ROWS = 4_096
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """New column identities, for a cogroup whose sides derive from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def block_join(
     left: DataFrame,
     right: DataFrame,
@@ -23,23 +30,33 @@ def block_join(
     schema: str,
     rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Apply ``fn(left block, right block)`` to every pair of blocks within a cell."""
-    left_sizes = left.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / rows).alias("__nl"))
-    right_sizes = right.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / rows).alias("__nr"))
-    sizes = left_sizes.join(right_sizes, list(cell))
-    left_hash = F.xxhash64(*[c for c in left.columns])
-    right_hash = F.xxhash64(*[c for c in right.columns])
+    """Apply ``fn(left block, right block)`` to every pair of blocks within a cell.
+
+    Without cell columns the whole tables are one cell.
+    """
+    left, right = fresh(left), fresh(right)
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.lit(1))
+    left_hash, right_hash = F.xxhash64(*left.columns), F.xxhash64(*right.columns)
+    lefts, rights = left.withColumn("__h", left_hash), right.withColumn("__h", right_hash)
+    if cell:
+        left_sizes = left.groupBy(*cell).agg(blocks.alias("__nl"))
+        right_sizes = right.groupBy(*cell).agg(blocks.alias("__nr"))
+        sizes = left_sizes.join(right_sizes, list(cell))
+        lefts, rights = lefts.join(sizes, list(cell)), rights.join(sizes, list(cell))
+    else:
+        sizes = attach(left.agg(blocks.alias("__nl")), right.agg(blocks.alias("__nr")), "__r")
+        sizes = sizes.select("__nl", "__r.__nr")
+        lefts, rights = (
+            attach(side, sizes).select("*", f"{STATS}.__nl", f"{STATS}.__nr").drop(STATS)
+            for side in (lefts, rights)
+        )
     lefts = (
-        left.withColumn("__h", left_hash)
-        .join(sizes, list(cell))
-        .withColumn("__i", F.pmod("__h", "__nl"))
+        lefts.withColumn("__i", F.pmod("__h", "__nl"))
         .withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nr") - 1)))
         .drop("__h", "__nl", "__nr")
     )
     rights = (
-        right.withColumn("__h", right_hash)
-        .join(sizes, list(cell))
-        .withColumn("__j", F.pmod("__h", "__nr"))
+        rights.withColumn("__j", F.pmod("__h", "__nr"))
         .withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nl") - 1)))
         .drop("__h", "__nl", "__nr")
     )

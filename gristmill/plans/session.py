@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,6 +32,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
@@ -40,32 +42,31 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="gristmill-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="gristmill-")
+    return _local_folders[context.applicationId]
 
 
-def checkpoint(df):
+def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(shared_folder(spark), "rdd"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/rdd")
     return df.checkpoint(eager=True)
 
 
 BROADCAST_ROWS = 200_000
 
 
-def sized(df, rows: int = BROADCAST_ROWS):
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise a lookup table and mark it for broadcast only if it is small.
 
     The count reads the written copy, so it is exact; a larger table keeps the join
     strategy the optimizer picks (with adaptive skew splitting).
     """
-    from pyspark.sql import functions as F
-
     written = checkpoint(df)
     return F.broadcast(written) if written.count() <= rows else written

@@ -271,12 +271,14 @@ def q_cramers_v(spark, sf):
 
 # --- distributions ---------------------------------------------------------------------
 
-_PRICES = "o AS (SELECT o_totalprice, CAST(o_custkey AS DOUBLE) AS customer, CAST(7.0 AS DOUBLE) AS fixed FROM orders)"
+_PRICES = "o AS (SELECT CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, CAST(o_custkey AS DOUBLE) AS customer, CAST(7.0 AS DOUBLE) AS fixed FROM orders)"
 
 
 def _prices(spark, sf):
     return table(spark, sf, "orders").selectExpr(
-        "o_totalprice", "CAST(o_custkey AS DOUBLE) AS customer", "7.0D AS fixed"
+        "CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice",
+        "CAST(o_custkey AS DOUBLE) AS customer",
+        "7.0D AS fixed",
     )
 
 
@@ -301,7 +303,7 @@ FROM (SELECT min({c}) - CASE WHEN min({c}) = max({c}) THEN 0.5 ELSE 0 END AS lo,
              max({c}) + CASE WHEN min({c}) = max({c}) THEN 0.5 ELSE 0 END AS hi FROM o) r
 CROSS JOIN (SELECT unnest(range(20)) AS i) b
 LEFT JOIN (
-  SELECT least(CAST(floor(({c} - lo) / ((hi - lo) / 20)) AS BIGINT), 19) AS i, count(*) AS n FROM o,
+  SELECT least(CAST(floor(({c} - lo) / ((hi - lo) / 20)) AS BIGINT), 19) AS i, count(*) AS n FROM (SELECT * FROM o WHERE {c} IS NOT NULL),
     (SELECT min({c}) - CASE WHEN min({c}) = max({c}) THEN 0.5 ELSE 0 END AS lo,
             max({c}) + CASE WHEN min({c}) = max({c}) THEN 0.5 ELSE 0 END AS hi FROM o) GROUP BY 1) c ON c.i = b.i"""
 
