@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gristmill.functions.moments import kurtosis_corrected, pearson, share, skew_corrected
@@ -284,27 +287,80 @@ def co_null_pairs(df: DataFrame) -> DataFrame:
     return out.filter(F.abs("r") >= CO_NULL)
 
 
+def paired_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """Pearson correlation of many column pairs, each over its own complete rows.
+
+    Two scans of plain sums: the first finds counts, means and extremes, the second sums
+    products around those means. A column without nulls shares its own sums among all its
+    pairs. Only a few numbers per pair reach the driver. Wide tables take several scans.
+    """
+    names = list(dict.fromkeys(n for pair in pairs for n in pair))
+    x = {n: col(n).cast("double") for n in names}
+    first = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(x[n]).alias(f"c{i}") for i, n in enumerate(names)],
+        *[F.avg(x[n]).alias(f"m{i}") for i, n in enumerate(names)],
+        *[F.min(x[n]).alias(f"lo{i}") for i, n in enumerate(names)],
+        *[F.max(x[n]).alias(f"hi{i}") for i, n in enumerate(names)],
+    ).first()
+    at = {n: i for i, n in enumerate(names)}
+    full = {n: first[f"c{at[n]}"] == first["n"] for n in names}
+    varies = {n: first[f"c{at[n]}"] > 0 and first[f"lo{at[n]}"] < first[f"hi{at[n]}"] for n in names}
+    d = {n: x[n] - F.lit(first[f"m{at[n]}"]).cast("double") for n in names}
+    out: dict[tuple[str, str], float | None] = {}
+    for chunk in _chunks([p for p in pairs if varies[p[0]] and varies[p[1]]], PAIRS_PER_JOB):
+        sums: dict[str, Column] = {}
+
+        def side(a, b):
+            """Names of count, sum, square sum, min and max of ``a`` where ``b`` is present."""
+            tag = f"{at[a]}" if full[b] else f"{at[a]}_{at[b]}"
+            present = d[a] if full[b] else F.when(x[b].isNotNull(), d[a])
+            sums.setdefault(f"n{tag}", F.count(present))
+            sums.setdefault(f"s{tag}", F.sum(present))
+            sums.setdefault(f"q{tag}", F.sum(present * present))
+            sums.setdefault(f"l{tag}", F.min(present))
+            sums.setdefault(f"h{tag}", F.max(present))
+            return tag
+
+        tags = {}
+        for a, b in chunk:
+            tags[a, b] = side(a, b), side(b, a)
+            sums[f"p{at[a]}_{at[b]}"] = F.sum(d[a] * d[b])
+        row = df.agg(*[e.alias(k) for k, e in sums.items()]).first()
+        for a, b in chunk:
+            ta, tb = tags[a, b]
+            n = row[f"n{ta}"]
+            if not n or row[f"l{ta}"] == row[f"h{ta}"] or row[f"l{tb}"] == row[f"h{tb}"]:
+                continue
+            va = row[f"q{ta}"] - row[f"s{ta}"] ** 2 / n
+            vb = row[f"q{tb}"] - row[f"s{tb}"] ** 2 / n
+            cov = row[f"p{at[a]}_{at[b]}"] - row[f"s{ta}"] * row[f"s{tb}"] / n
+            out[a, b] = cov / (math.sqrt(va) * math.sqrt(vb)) if va > 0 and vb > 0 else None
+    return {p: out.get(p) for p in pairs}
+
+
+def matrix_rows(spark, names, found: dict[tuple[str, str], float | None]) -> DataFrame:
+    """Tidy matrix ``(column_a, column_b, r)`` from one triangle, 4 digits."""
+    rows = []
+    for i, a in enumerate(names):
+        for b in names[i:]:
+            r = found[a, b]
+            r = None if r is None else max(-1.0, min(1.0, r))
+            rows.append((a, b, r))
+            if a != b:
+                rows.append((b, a, r))
+    matrix = spark.createDataFrame(rows, "column_a string, column_b string, r double")
+    return matrix.withColumn("r", F.round("r", 4))
+
+
 def correlation_pearson(df: DataFrame, columns=None) -> DataFrame:
     """Matrix rows ``(column_a, column_b, r)`` over pairwise complete rows, 4 digits.
 
-    All pairs come from one aggregate; wide tables are split into several.
+    The correlation with a constant is null, also on the diagonal.
     """
     names = require_numeric(df, as_list(columns)) or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    out = None
-    for chunk in _chunks(pairs, PAIRS_PER_JOB):
-        stats = df.agg(
-            *[pearson(col(a), col(b)).alias(f"r{k}") for k, (a, b) in enumerate(chunk)]
-        )
-        rows = []
-        for k, (a, b) in enumerate(chunk):
-            r = F.round(f"r{k}", 4)
-            rows.append({"column_a": F.lit(a), "column_b": F.lit(b), "r": r})
-            if a != b:
-                rows.append({"column_a": F.lit(b), "column_b": F.lit(a), "r": r})
-        part = tidy(stats, rows)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return matrix_rows(df.sparkSession, names, paired_correlations(df, pairs))
 
 
 def pairwise_r(df: DataFrame, x: str, y: str) -> DataFrame:

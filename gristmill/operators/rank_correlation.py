@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gristmill.functions.types import as_list, col, numeric_columns, require_numeric
+from gristmill.operators.eda import matrix_rows, paired_correlations
 from gristmill.plans.ordering import bucket_of, with_running_weight
-from gristmill.plans.session import shuffle_partitions
+from gristmill.plans.session import BROADCAST_ROWS, checkpoint, shuffle_partitions
 
 MAX_CUTS = 4_096
 
@@ -92,31 +93,58 @@ def _diagonal(df: DataFrame, names) -> DataFrame:
 
 
 def correlation_spearman(df: DataFrame, columns=None) -> DataFrame:
-    """Pearson correlation of average ranks over the complete rows of each pair."""
-    names, pairs = _pairs(df, columns)
-    points = _points(df, names, pairs)
-    ranked = with_running_weight(_margins(points), ["pair", "side"], "v", "t", "below")
-    ranks = ranked.select("pair", "side", "v", (F.col("below") + (F.col("t") + 1) / 2).alias("rank"))
-    rx = ranks.filter("side = 0").select("pair", F.col("v").alias("x"), F.col("rank").alias("rx"))
-    ry = ranks.filter("side = 1").select("pair", F.col("v").alias("y"), F.col("rank").alias("ry"))
-    joined = points.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
-    # The ranks are sums of counts, so the raw second moments are taken around the mean rank.
-    sizes = points.groupBy("pair").agg(F.sum("w").alias("n"))
-    # One row per pair of columns.
-    centred = joined.join(F.broadcast(sizes), "pair").select(
-        "pair",
-        "w",
-        (F.col("rx") - (F.col("n") + 1) / 2).alias("dx"),
-        (F.col("ry") - (F.col("n") + 1) / 2).alias("dy"),
+    """Pearson correlation of average ranks over the complete rows of each pair.
+
+    Ranks are computed on distinct values. A column is ranked once for all its partners
+    without nulls, and once more for each partner with nulls, whose gaps change the ranks.
+    """
+    names, _ = _pairs(df, columns)
+    values = df.select(*[col(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    row = values.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(f"v{i}").alias(f"c{i}") for i in range(len(names))],
+    ).first()
+    gaps = [row[f"c{i}"] < row["n"] for i in range(len(names))]
+    rankings: dict[tuple[int, int | None], int] = {}
+    pairs = {}
+    for i in range(len(names)):
+        for j in range(i, len(names)):
+            ids = []
+            for own, other in ((i, j), (j, i)):
+                key = (own, other if gaps[other] and other != own else None)
+                ids.append(rankings.setdefault(key, len(rankings)))
+            pairs[names[i], names[j]] = (f"r{ids[0]}", f"r{ids[1]}")
+
+    def ranked_value(own, other):
+        value = F.col(f"v{own}")
+        return value if other is None else F.when(F.col(f"v{other}").isNotNull(), value)
+
+    cells = [
+        F.struct(F.lit(k).alias("ranking"), ranked_value(own, other).alias("v"))
+        for (own, other), k in rankings.items()
+    ]
+    margins = (
+        values.select(F.inline(F.array(*cells)))
+        .filter(F.col("v").isNotNull())
+        .groupBy("ranking", "v")
+        .agg(F.count(F.lit(1)).cast("double").alias("t"))
     )
-    sums = centred.groupBy("pair").agg(
-        F.sum(F.col("w") * F.col("dx") * F.col("dy")).alias("xy"),
-        F.sum(F.col("w") * F.col("dx") * F.col("dx")).alias("xx"),
-        F.sum(F.col("w") * F.col("dy") * F.col("dy")).alias("yy"),
+    below = with_running_weight(margins, ["ranking"], "v", "t", "below")
+    ranks = checkpoint(
+        below.select("ranking", "v", (F.col("below") + (F.col("t") + 1) / 2).alias("rank"))
     )
-    r = F.try_divide(F.col("xy"), F.nullif(F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")), F.lit(0.0)))
-    found = _every_pair(sums.select("pair", r.alias("r")), pairs)
-    return _matrix(found, names, pairs, _diagonal(df, names))
+    sizes = dict(ranks.groupBy("ranking").count().collect())
+    ranked = values
+    for (own, other), k in rankings.items():
+        table = ranks.filter(F.col("ranking") == k).select(
+            F.col("v").alias(f"k{k}"), F.col("rank").alias(f"r{k}")
+        )
+        if sizes.get(k, 0) <= BROADCAST_ROWS:
+            table = F.broadcast(table)
+        ranked = ranked.join(table, ranked_value(own, other) == F.col(f"k{k}"), "left").drop(f"k{k}")
+    ranked = checkpoint(ranked.select(*[f"r{k}" for k in rankings.values()]))
+    found = paired_correlations(ranked, list(dict.fromkeys(pairs.values())))
+    return matrix_rows(df.sparkSession, names, {p: found[ids] for p, ids in pairs.items()})
 
 
 def _every_pair(rows: DataFrame, pairs) -> DataFrame:

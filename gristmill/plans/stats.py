@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gristmill.functions.types import col
 
 STATS = "__stats"
-ACCURACY = 100_000
+ACCURACY = 10_000
 WHOLE_BRACKET = 200_000
 SLACK = 4
 
@@ -39,6 +40,56 @@ def tidy(stats: DataFrame, rows: Sequence[dict[str, Column]]) -> DataFrame:
     return stats.select(F.inline(F.array(*structs)))
 
 
+@dataclass
+class _Bracket:
+    """Value range that holds ranks ``first..last`` (0-based) of one column."""
+
+    column: int
+    first: int
+    last: int
+    low: float
+    high: float
+    below: int
+    inside: int
+
+    def test(self) -> Column:
+        return F.col(f"v{self.column}").between(self.low, self.high)
+
+    def wide(self) -> bool:
+        return self.inside > WHOLE_BRACKET and self.low < self.high
+
+
+def _narrowed(values: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
+    """Shrink brackets with a sketch of the values inside, then recount exactly."""
+    delta = SLACK / accuracy
+    shares = [
+        (
+            max(0.0, (b.first - b.below) / b.inside - delta),
+            min(1.0, (b.last + 1 - b.below) / b.inside + delta),
+        )
+        for b in brackets
+    ]
+    row = values.agg(
+        *[
+            F.percentile_approx(F.when(b.test(), F.col(f"v{b.column}")), list(s), accuracy).alias(f"s{k}")
+            for k, (b, s) in enumerate(zip(brackets, shares))
+        ]
+    ).first()
+    for k, (b, (low, high)) in enumerate(zip(brackets, shares)):
+        if low > 0:
+            b.low = row[f"s{k}"][0]
+        if high < 1:
+            b.high = row[f"s{k}"][1]
+    row = values.agg(
+        *[F.count_if(F.col(f"v{b.column}") < b.low).alias(f"b{k}") for k, b in enumerate(brackets)],
+        *[F.count_if(b.test()).alias(f"i{k}") for k, b in enumerate(brackets)],
+    ).first()
+    for k, b in enumerate(brackets):
+        b.below, b.inside = row[f"b{k}"], row[f"i{k}"]
+        if b.first < b.below or b.last >= b.below + b.inside:
+            raise ArithmeticError("a quantile bracket missed its rank; raise the sketch accuracy")
+
+
 def quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -49,60 +100,52 @@ def quantiles(
     """Exact linearly interpolated quantiles ``{(i, j): quantile ps[j] of columns[i]}``.
 
     The built-in exact ``percentile`` keeps every distinct value in one aggregation
-    buffer. Here a mergeable sketch only brackets each quantile; the values inside the
-    bracket (about ``2 * SLACK / accuracy`` of the rows) are grouped and ranked exactly
-    after counting what lies below it. The sketch decides how much work is left, never
-    the answer: a bracket that missed its rank is an error. Every job returns one row of
-    a few numbers per column; as literals they push down into the scans that use them.
+    buffer. Here a mergeable sketch brackets each quantile and the bracket is recounted
+    exactly; every round keeps less than a thousandth of the rows, until a bracket is
+    short enough to group and rank its values. The sketch decides how much work is left,
+    never the answer. Every job returns one row of a few numbers per column; as literals
+    they push down into the scans that use them.
     """
     values = df.select(
         *[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
     )
-    delta = SLACK / accuracy
     targets = [(i, j) for i in range(len(columns)) for j in range(len(ps))]
     if approx:
         row = values.agg(
             *[F.percentile_approx(f"v{i}", list(ps), accuracy).alias(f"s{i}") for i in range(len(columns))]
         ).first()
         return {(i, j): row[f"s{i}"][j] if row[f"s{i}"] else None for i, j in targets}
-    grid = [max(p - delta, 0.0) for p in ps] + [min(p + delta, 1.0) for p in ps]
-    sketch = values.agg(
+    row = values.agg(
         *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
         *[F.min(f"v{i}").alias(f"lo{i}") for i in range(len(columns))],
         *[F.max(f"v{i}").alias(f"hi{i}") for i in range(len(columns))],
-        *[F.percentile_approx(f"v{i}", grid, accuracy).alias(f"s{i}") for i in range(len(columns))],
     ).first()
-
-    # Brackets (column, low, high); quantiles of a short column share one over its range.
-    brackets: dict[tuple[int, float, float], int] = {}
-    bracket_of: dict[tuple[int, int], int] = {}
-    for i, j in targets:
-        if not sketch[f"n{i}"]:
-            continue
-        low, high = sketch[f"lo{i}"], sketch[f"hi{i}"]
-        if sketch[f"n{i}"] > WHOLE_BRACKET:
-            low = low if ps[j] <= delta else sketch[f"s{i}"][j]
-            high = high if ps[j] + delta >= 1 else sketch[f"s{i}"][len(ps) + j]
-        bracket_of[i, j] = brackets.setdefault((i, low, high), len(brackets))
-    if not brackets:
+    position = {(i, j): (row[f"n{i}"] - 1) * ps[j] for i, j in targets if row[f"n{i}"]}
+    if not position:
         return dict.fromkeys(targets)
-    below = dict.fromkeys(brackets.values(), 0)
-    partial = [(i, low, b) for (i, low, _), b in brackets.items() if low > sketch[f"lo{i}"]]
-    if partial:
-        row = values.agg(
-            *[F.count_if(F.col(f"v{i}") < low).alias(f"b{b}") for i, low, b in partial]
-        ).first()
-        below.update({b: row[f"b{b}"] for _, _, b in partial})
-
-    inside = {b: F.col(f"v{i}").between(low, high) for (i, low, high), b in brackets.items()}
-    columns_of = {b: i for (i, _, _), b in brackets.items()}
+    of = {}
+    shared: dict[int, _Bracket] = {}
+    for (i, j), at in position.items():
+        bracket = _Bracket(
+            i, math.floor(at), math.ceil(at), row[f"lo{i}"], row[f"hi{i}"], 0, row[f"n{i}"]
+        )
+        # The quantiles of a short column rank the same values once.
+        of[i, j] = bracket if bracket.wide() else shared.setdefault(i, bracket)
+    wide = [b for b in of.values() if b.wide()]
+    while wide:
+        before = [(b.low, b.high) for b in wide]
+        _narrowed(values, wide, accuracy)
+        wide = [b for b, was in zip(wide, before) if b.wide() and (b.low, b.high) != was]
+
+    brackets = list({id(b): b for b in of.values()}.values())
+    number = {id(b): k for k, b in enumerate(brackets)}
     anywhere = None
-    for test in inside.values():
-        anywhere = test if anywhere is None else anywhere | test
+    for b in brackets:
+        anywhere = b.test() if anywhere is None else anywhere | b.test()
     entries = F.array(
         *[
-            F.when(test, F.struct(F.lit(b).alias("b"), F.col(f"v{columns_of[b]}").alias("v")))
-            for b, test in inside.items()
+            F.when(b.test(), F.struct(F.lit(k).alias("b"), F.col(f"v{b.column}").alias("v")))
+            for k, b in enumerate(brackets)
         ]
     )
     counted = (
@@ -110,19 +153,16 @@ def quantiles(
     )
     ranked = counted.withColumn("upto", F.sum("count").over(Window.partitionBy("b").orderBy("v")))
     picks = []
-    for (i, j), b in bracket_of.items():
-        position = (sketch[f"n{i}"] - 1) * ps[j]
-        for name, rank in (("low", math.floor(position)), ("high", math.ceil(position))):
-            wanted = (F.col("b") == b) & (F.col("upto") > rank - below[b])
+    for (i, j), at in position.items():
+        b = of[i, j]
+        for name, rank in (("low", math.floor(at)), ("high", math.ceil(at))):
+            wanted = (F.col("b") == number[id(b)]) & (F.col("upto") > rank - b.below)
             picks.append(F.min(F.when(wanted, F.col("v"))).alias(f"{name}{i}_{j}"))
-    row = ranked.agg(*picks).first()
+    found = ranked.agg(*picks).first()
     out: dict[tuple[int, int], float | None] = dict.fromkeys(targets)
-    for (i, j), b in bracket_of.items():
-        position = (sketch[f"n{i}"] - 1) * ps[j]
-        low, high = row[f"low{i}_{j}"], row[f"high{i}_{j}"]
-        if below[b] > math.floor(position) or low is None or high is None:
-            raise ArithmeticError("a quantile bracket missed its rank; lower the sketch accuracy")
-        out[i, j] = low if low == high else low + (high - low) * (position - math.floor(position))
+    for (i, j), at in position.items():
+        low, high = found[f"low{i}_{j}"], found[f"high{i}_{j}"]
+        out[i, j] = low if low == high else low + (high - low) * (at - math.floor(at))
     return out
 
 
