@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gristmill.functions.types import as_list, col, require_numeric, require_order
-from gristmill.plans.blocks import block_join, fresh
+from gristmill.plans.blocks import block_join
 from gristmill.plans.ordering import key_struct, with_row_number
 from gristmill.plans.session import checkpoint
 
@@ -189,12 +189,12 @@ def _cell_edges(core: DataFrame, nodes: DataFrame, eps: float, axes: int) -> Dat
         pa = parts.select(F.col("id").alias("a"), F.col("part").alias("pa"), "v")
         pb = parts.select(F.col("id").alias("b"), F.col("part").alias("pb"), "v")
         keys = ["a", "b", "pa", "pb"]
-        left = fresh(small.select(*keys).join(pa, ["a", "pa"]))
-        right = fresh(small.select(*keys).join(pb, ["b", "pb"]))
-        touching = (
-            left.groupBy(*keys)
-            .cogroup(right.groupBy(*keys))
-            .applyInPandas(_touching(eps), "a bigint, b bigint")
+        touching = block_join(
+            small.select(*keys).join(pa, ["a", "pa"]),
+            small.select(*keys).join(pb, ["b", "pb"]),
+            keys,
+            _touching(eps),
+            "a bigint, b bigint",
         )
         edges = checkpoint(edges.unionByName(touching).distinct())
         large = open_pairs.filter(F.col("na") + F.col("nb") > SMALL_PAIR).join(
@@ -243,31 +243,36 @@ def _cell_edges(core: DataFrame, nodes: DataFrame, eps: float, axes: int) -> Dat
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)`` with the smallest id of the component.
 
-    Each round takes the smallest label among a node and its neighbours and then jumps to
-    the label of that label, so the number of rounds grows with the logarithm of the
-    longest path in practice. Every round is written to the shared folder.
+    In each round every component adopts the smallest label next to any of its members,
+    and the chains of adoptions are shortened by jumping, so components merge in a
+    logarithmic number of rounds. Every round is written to the shared folder.
     """
     both = checkpoint(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     )
     labels = checkpoint(nodes.select("id", F.col("id").alias("component")))
     while True:
-        lowest = (
-            both.join(labels.withColumnRenamed("id", "b"), "b")
+        near = (
+            both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("low")), "b")
             .groupBy(F.col("a").alias("id"))
-            .agg(F.min("component").alias("low"))
+            .agg(F.min("low").alias("low"))
         )
-        moved = labels.join(lowest, "id", "left").select(
-            "id", "component", F.least("component", F.coalesce("low", F.col("component"))).alias("to")
+        adopted = checkpoint(
+            labels.join(near, "id", "left")
+            .groupBy("component")
+            .agg(F.min("low").alias("low"))
+            .select("component", F.least("component", F.coalesce("low", "component")).alias("to"))
         )
-        target = moved.select(F.col("id").alias("to"), F.col("to").alias("onward"))
-        jumped = checkpoint(
-            moved.join(target, "to").select("id", "component", F.col("onward").alias("next"))
-        )
-        changed = not jumped.filter(F.col("next") != F.col("component")).isEmpty()
-        labels = jumped.select("id", F.col("next").alias("component"))
-        if not changed:
+        if adopted.filter(F.col("to") != F.col("component")).isEmpty():
             return labels
+        for _ in range(2):
+            onward = adopted.select(F.col("component").alias("to"), F.col("to").alias("next"))
+            adopted = checkpoint(
+                adopted.join(onward, "to").select("component", F.col("next").alias("to"))
+            )
+        labels = checkpoint(
+            labels.join(adopted, "component").select("id", F.col("to").alias("component"))
+        )
 
 
 def _lowest_label(eps: float):

@@ -145,7 +145,9 @@ def knn_classify(
     )
     asked = test.select(*[col(x) for x in keys], vector.alias("v"))
     distinct = asked.select("v").distinct()
-    routed = distinct.mapInPandas(_nearest_cells(boxes, k), "v array<double>, cell bigint")
+    routed = checkpoint(
+        distinct.mapInPandas(_nearest_cells(boxes, k), "v array<double>, cell bigint")
+    )
     found = block_join(
         routed,
         placed,

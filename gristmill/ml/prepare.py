@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
@@ -12,7 +11,7 @@ from gristmill.functions.text import to_text
 from gristmill.functions.types import as_list, col, is_numeric, require_columns, require_range
 from gristmill.operators.eda import sample_order
 from gristmill.plans.ordering import with_row_number
-from gristmill.plans.session import BROADCAST_ROWS, sized
+from gristmill.plans.session import BROADCAST_ROWS, checkpoint, sized
 from gristmill.plans.stats import attach, stat
 
 MIN_ROWS = 10
@@ -64,7 +63,8 @@ class TextCodes:
                 for n in names
             ]
         )
-        values = df.select(F.inline(cells)).distinct()
+        # Written once: numbering reads its input three times.
+        values = checkpoint(df.select(F.inline(cells)).distinct())
         numbered = with_row_number(values, ["column", "value"], "n")
         first = numbered.groupBy("column").agg(F.min("n").alias("start"))
         # One row per column.

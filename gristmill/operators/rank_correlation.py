@@ -123,7 +123,8 @@ def correlation_spearman(df: DataFrame, columns=None) -> DataFrame:
         F.struct(F.lit(k).alias("ranking"), ranked_value(own, other).alias("v"))
         for (own, other), k in rankings.items()
     ]
-    margins = (
+    # Written once: sampling the cuts, the carries and the ranks all read the distinct values.
+    margins = checkpoint(
         values.select(F.inline(F.array(*cells)))
         .filter(F.col("v").isNotNull())
         .groupBy("ranking", "v")
@@ -193,7 +194,8 @@ def correlation_kendall(df: DataFrame, columns=None, cuts: int | None = None) ->
     """
     names, pairs = _pairs(df, columns)
     cuts = cuts or min(MAX_CUTS, max(16, 2 * shuffle_partitions(df.sparkSession)))
-    points = _points(df, names, pairs)
+    # Written once: the cuts, the class grid, the classes and the ties all read it.
+    points = checkpoint(_points(df, names, pairs))
     grid = [(i + 1) / (cuts + 1) for i in range(cuts)]
     bounds = points.groupBy("pair").agg(
         F.array_distinct(F.percentile_approx("x", grid, 10_000)).alias("bx"),

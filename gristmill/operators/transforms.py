@@ -20,7 +20,7 @@ from gristmill.functions.types import (
 )
 from gristmill.operators.columns import FIRST, _with_first_values
 from gristmill.plans.ordering import key_struct, with_row_number
-from gristmill.plans.session import sized
+from gristmill.plans.session import checkpoint, sized
 from gristmill.plans.stats import attach, stat, tidy
 
 TRANSFORMS = ("log", "sqrt", "cbrt")
@@ -139,7 +139,8 @@ def _require_encodable(df: DataFrame, names) -> list[str]:
 def label_mapping(df: DataFrame, column: str, order_by) -> DataFrame:
     """Rows ``(value, code)``: codes count up by first appearance in key order."""
     keys = as_list(order_by)
-    first = (
+    # Written once: numbering reads its input three times.
+    first = checkpoint(
         df.filter(col(column).isNotNull())
         .groupBy(col(column).alias("value"))
         .agg(F.min(key_struct(keys)).alias("first"))

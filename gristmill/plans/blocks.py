@@ -12,9 +12,10 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from gristmill.plans.stats import STATS, attach
+from gristmill.plans.session import checkpoint
 
 BLOCK_ROWS = 4_096
+PACK_BLOCKS = 8
 
 
 def fresh(df: DataFrame) -> DataFrame:
@@ -22,47 +23,59 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def _by_cell(fn):
+    """Run ``fn`` once per cell of a pack of small cells."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        lefts, rights = (side.groupby("__c").indices for side in (left, right))
+        parts = [fn(left.iloc[rows], right.iloc[rights[c]]) for c, rows in lefts.items() if c in rights]
+        return pd.concat(parts, ignore_index=True) if parts else fn(left.iloc[:0], right.iloc[:0])
+
+    return run
+
+
 def block_join(
     left: DataFrame,
     right: DataFrame,
     cell: Sequence[str],
     fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
-    rows: int = BLOCK_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Apply ``fn(left block, right block)`` to every pair of blocks within a cell.
 
-    Without cell columns the whole tables are one cell.
+    Cells that fit one block on both sides travel in packs, so that a table of many small
+    cells is not a Python call per cell. Without cell columns the whole tables are one cell.
     """
+    rows = rows or BLOCK_ROWS
     left, right = fresh(left), fresh(right)
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.lit(1))
-    left_hash, right_hash = F.xxhash64(*left.columns), F.xxhash64(*right.columns)
-    lefts, rights = left.withColumn("__h", left_hash), right.withColumn("__h", right_hash)
-    if cell:
-        left_sizes = left.groupBy(*cell).agg(blocks.alias("__nl"))
-        right_sizes = right.groupBy(*cell).agg(blocks.alias("__nr"))
-        sizes = left_sizes.join(right_sizes, list(cell))
-        lefts, rights = lefts.join(sizes, list(cell)), rights.join(sizes, list(cell))
-    else:
-        sizes = attach(left.agg(blocks.alias("__nl")), right.agg(blocks.alias("__nr")), "__r")
-        sizes = sizes.select("__nl", "__r.__nr")
-        lefts, rights = (
-            attach(side, sizes).select("*", f"{STATS}.__nl", f"{STATS}.__nr").drop(STATS)
-            for side in (lefts, rights)
-        )
-    lefts = (
-        lefts.withColumn("__i", F.pmod("__h", "__nl"))
-        .withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nr") - 1)))
-        .drop("__h", "__nl", "__nr")
-    )
-    rights = (
-        rights.withColumn("__j", F.pmod("__h", "__nr"))
-        .withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nl") - 1)))
-        .drop("__h", "__nl", "__nr")
-    )
-    keys = [*cell, "__i", "__j"]
-    return (
-        lefts.groupBy(*keys)
-        .cogroup(rights.groupBy(*keys))
-        .applyInPandas(fn, schema)
+    named = F.to_json(F.struct(*cell)) if cell else F.lit("")
+    # Row counts per cell: read three times, small next to the tables.
+    left_sizes = left.groupBy(named.alias("__c")).agg(F.count(F.lit(1)).alias("__nl"))
+    right_sizes = right.groupBy(named.alias("__c")).agg(F.count(F.lit(1)).alias("__nr"))
+    sizes = checkpoint(left_sizes.join(right_sizes, "__c"))
+    total = sizes.agg(F.sum(F.col("__nl") + F.col("__nr"))).first()[0] or 0
+    packs = max(1, -(-total // (PACK_BLOCKS * rows)))
+    sizes = sizes.select(
+        "__c",
+        F.ceil(F.col("__nl") / rows).alias("__nl"),
+        F.ceil(F.col("__nr") / rows).alias("__nr"),
     )
+    place = F.when(
+        (F.col("__nl") == 1) & (F.col("__nr") == 1),
+        F.concat(F.lit("pack "), F.pmod(F.xxhash64("__c"), F.lit(packs)).cast("string")),
+    ).otherwise(F.concat_ws(" ", "__c", "__i", "__j"))
+
+    def spread(side: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        marked = side.withColumn("__c", named).withColumn("__h", F.xxhash64(*side.columns))
+        return (
+            marked.join(sizes, "__c")
+            .withColumn(mine, F.pmod("__h", own))
+            .withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+            .withColumn("__p", place)
+            .select("__p", "__c", *side.columns)
+        )
+
+    lefts = spread(left, "__nl", "__nr", "__i", "__j")
+    rights = spread(right, "__nr", "__nl", "__j", "__i")
+    return lefts.groupBy("__p").cogroup(rights.groupBy("__p")).applyInPandas(_by_cell(fn), schema)
