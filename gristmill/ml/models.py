@@ -24,12 +24,13 @@ from gristmill.ml.dbscan import dbscan
 from gristmill.ml.neighbors import knn_classify
 from gristmill.ml.prepare import (
     FEATURES,
+    IS_TEST,
     TEST_SIZE,
     TextCodes,
     assemble,
     complete_rows,
+    mark_test_rows,
     prepare,
-    split,
 )
 from gristmill.plans.session import checkpoint
 
@@ -224,8 +225,10 @@ def train(
         return _train_clusters(rows, algorithm, names, ids, settings, codes, started, silhouette_method)
     labelled, target_codes = encode_target(rows, target, task)
     coded = codes.transform(labelled)
-    data = checkpoint(coded)
-    train_rows, test_rows = split(data, ids, test_size)
+    # The split is written once; fitting then scans plain columns in every pass.
+    data = checkpoint(mark_test_rows(checkpoint(coded), ids, test_size))
+    train_rows = data.filter(~F.col(IS_TEST)).drop(IS_TEST)
+    test_rows = data.filter(IS_TEST).drop(IS_TEST)
     counts = train_rows.count(), test_rows.count()
     result = Trained(
         task, algorithm, names, target, settings, None, *counts, 0.0, codes=codes, target_codes=target_codes
