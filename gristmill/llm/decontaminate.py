@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,9 @@ RUN = 5
 SHARD_ITEMS = 20_000
 SHARD_CHARS = 32 << 20
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 4
+PRESENT = 1 << 20
+COMMON = 0.02  # share of the items above which a word counts as common
 LEAST_WINDOW = 64
 
 # Letters, digits and all bytes of multi-byte characters belong to words.
@@ -72,21 +74,30 @@ def answer_length(text: str) -> int:
 
 @dataclass
 class Index:
-    """Items of similar length: postings in item order with block maxima, and thresholds."""
+    """Items of similar length: postings in item order, maxima of blocks, and thresholds."""
 
     ids: list[int]
     runs: list[set]
     answers: list[set]
     window: int
     vocabulary: np.ndarray  # sorted word hashes
-    best: np.ndarray  # largest contribution of each word to any item
-    postings: list  # per word: item numbers, contributions, maxima of blocks
+    present: np.ndarray  # low bits of the hashes that occur
+    postings: list  # per word: item numbers, contributions, largest contribution by block
+    rare: np.ndarray  # words that few items share
     floor: np.ndarray  # threshold of each item
-    present: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=bool))
+    need: np.ndarray  # what rare words must contribute at least to reach it
+    block_need: np.ndarray  # the least need in each block of items
+    block_first: np.ndarray  # per word: where its blocks start in the next two, rare words only
+    block_of: np.ndarray
+    block_max: np.ndarray
 
 
 def build(items: list[tuple[int, str]], similarity: float) -> list[Index]:
-    """One index for each class of item lengths (powers of four), so that windows fit."""
+    """Indexes by class of item lengths (powers of four), so that windows fit.
+
+    Items of common words only get an index of their own: they cannot be looked for by rare
+    words, and would otherwise weaken the pruning for all others.
+    """
     classes = defaultdict(list)
     for item, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
         words = tokens(text)
@@ -95,125 +106,160 @@ def build(items: list[tuple[int, str]], similarity: float) -> list[Index]:
             while size < len(words):
                 size *= 4
             classes[size].append((item, words, answer_length(text)))
-    return [index_of(members, size, similarity) for size, members in sorted(classes.items())]
+    out = []
+    for size, members in sorted(classes.items()):
+        index = index_of(members, size, similarity)
+        easy = index.need >= index.floor / 4
+        for group, share in ((easy, COMMON), (~easy, 1.0)):
+            part = [m for m, x in zip(members, group) if x]
+            if part:
+                index = index_of(part, size, similarity, share)
+                # Where common words alone may reach a threshold, all words are looked up.
+                out.append(index if index.need.min() > 0 else index_of(part, size, similarity, 1.0))
+    return out
 
 
-def index_of(members: list, window: int, similarity: float) -> Index:
+def index_of(members: list, window: int, similarity: float, share: float = COMMON) -> Index:
     frequency = Counter(w for _, words, _ in members for w in set(words))
     average = sum(len(words) for _, words, _ in members) / len(members)
-    found, floor, runs, answers = defaultdict(list), [], [], []
+    common = max(2, share * len(members))
+    found, floor, need, runs, answers = defaultdict(list), [], [], [], []
     for number, (_, words, tail) in enumerate(members):
-        gains = []
+        gains, shared = [], 0.0
         for word, tf in Counter(words).items():
             idf = np.log1p((len(members) - frequency[word] + 0.5) / (frequency[word] + 0.5))
             gain = float(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / average)))
             found[word].append((number, gain))
             gains.append(gain)
+            shared += gain * (frequency[word] > common)
         own = word_runs(words)
         missed = int((1 - similarity) * len(set(own)) + 1e-9)
         # A missing word takes at least one run with it, wherever it stands.
         gains.sort()
         floor.append(sum(gains[: max(1, len(gains) - missed)]) * (1 - 1e-9))
+        need.append(max(0.0, floor[-1] - shared))
         runs.append(set(own))
         answers.append(set(own[-max(1, min(tail, len(own))) :]))
     raw = sorted((int(hash_bytes(word)), word) for word in found)
-    postings = []
+    postings, rare, first, of, most = [], [], [0], [], []
     for _, word in raw:
-        numbers = np.array([n for n, _ in found[word]])
-        gain = np.array([g for _, g in found[word]])
-        postings.append((numbers, gain, np.maximum.reduceat(gain, np.arange(0, len(gain), BLOCK))))
+        maxima: dict[int, float] = {}
+        for number, gain in found[word]:
+            maxima[number // BLOCK] = max(gain, maxima.get(number // BLOCK, 0.0))
+        postings.append((np.array([n for n, _ in found[word]]), np.array([g for _, g in found[word]]), maxima))
+        rare.append(frequency[word] <= common)
+        if rare[-1]:
+            of += maxima.keys()
+            most += maxima.values()
+        first.append(len(of))
     hashes = np.array([h for h, _ in raw], dtype=np.uint64)
-    present = np.zeros(1 << 20, dtype=bool)
-    present[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    best = np.array([p[1].max() for p in postings])
-    return Index([m[0] for m in members], runs, answers, window, hashes, best, postings, np.array(floor), present)
+    present = np.zeros(PRESENT, dtype=bool)
+    present[(hashes & np.uint64(PRESENT - 1)).astype(np.int64)] = True
+    return Index(
+        [m[0] for m in members], runs, answers, window, hashes, present, postings, np.array(rare), np.array(floor),
+        np.array(need), np.minimum.reduceat(need, np.arange(0, len(need), BLOCK)), np.array(first),
+        np.array(of, dtype=np.int64), np.array(most),
+    )
 
 
 def hash_bytes(word: bytes) -> np.uint64:
     return hash_words(np.frombuffer(word, dtype=np.uint8), np.array([0]), np.array([len(word)]))[0]
 
 
-def wand(index: Index, terms: list[int]) -> list[tuple[int, float]]:
-    """All items whose score of ``terms`` reaches their threshold, by block-max WAND.
+def wand(index: Index, terms: list[int], block: int) -> list[tuple[int, float]]:
+    """Items of one block whose score of ``terms`` reaches their threshold, by WAND.
 
     Lists are kept by their current item. The pivot is the first item at which the largest
-    contributions so far reach the smallest threshold; if even the maxima of the blocks around
-    it do not, everything up to the end of the nearest block is passed over.
+    contributions that the lists make inside the block reach the smallest threshold; lists
+    before it jump to it, and an item is scored only when all of them stand on it.
     """
-    least = float(index.floor.min())
-    lists = [[index.postings[t], 0, float(index.best[t])] for t in terms]
+    start, stop = block * BLOCK, (block + 1) * BLOCK
+    least = float(index.floor[start:stop].min())
+    lists = []
+    for term in terms:
+        numbers, gains, maxima = index.postings[term]
+        if block in maxima:
+            low, high = np.searchsorted(numbers, (start, stop))
+            lists.append([numbers[low:high].tolist(), gains[low:high].tolist(), maxima[block], 0])
     out = []
     while lists:
-        lists.sort(key=lambda x: x[0][0][x[1]])
+        lists.sort(key=lambda x: x[0][x[3]])
         reach, pivot = 0.0, -1
-        for k, (_, _, most) in enumerate(lists):
-            reach += most
+        for k, entry in enumerate(lists):
+            reach += entry[2]
             if reach >= least:
                 pivot = k
                 break
         if pivot < 0:
             break
-        item = int(lists[pivot][0][0][lists[pivot][1]])
-        while pivot + 1 < len(lists) and int(lists[pivot + 1][0][0][lists[pivot + 1][1]]) == item:
-            pivot += 1
-        reach, until = 0.0, len(index.ids)
-        for posting, at, _ in lists[: pivot + 1]:
-            numbers, _, blocks = posting
-            block = int(np.searchsorted(numbers, item, side="left")) // BLOCK if numbers[at] < item else at // BLOCK
-            if block < len(blocks):
-                reach += float(blocks[block])
-                until = min(until, int(numbers[min((block + 1) * BLOCK, len(numbers)) - 1]) + 1)
-        if pivot + 1 < len(lists):
-            until = min(until, int(lists[pivot + 1][0][0][lists[pivot + 1][1]]))
-        if reach < least:
-            target = max(until, item + 1)
-        elif int(lists[0][0][0][lists[0][1]]) == item:
-            score = sum(float(p[1][at]) for p, at, _ in lists[: pivot + 1])
+        item = lists[pivot][0][lists[pivot][3]]
+        if lists[0][0][lists[0][3]] == item:
+            score = 0.0
+            for entry in lists:
+                if entry[0][entry[3]] != item:
+                    break
+                score += entry[1][entry[3]]
+                entry[3] += 1
             if score >= index.floor[item]:
                 out.append((item, score))
-            target = item + 1
         else:
-            target = item
-        for entry in lists[: pivot + 1]:
-            numbers = entry[0][0]
-            if numbers[entry[1]] < target:
-                entry[1] = int(np.searchsorted(numbers, target, side="left"))
-        lists = [x for x in lists if x[1] < len(x[0][0])]
+            for entry in lists[:pivot]:
+                while entry[3] < len(entry[0]) and entry[0][entry[3]] < item:
+                    entry[3] += 1
+        lists = [x for x in lists if x[3] < len(x[0])]
     return out
 
 
+def candidates(index: Index, at: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, block of items) whose block maxima of rare words reach what some item needs.
+
+    ``at`` are the places of rare words and ``place`` their terms; passages are ``[low, high)``
+    in order. A word counts once per passage.
+    """
+    first, last = np.searchsorted(at, low), np.searchsorted(at, high)
+    n = last - first
+    passage = np.repeat(np.arange(len(low)), n)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    pair = np.unique(passage * len(index.vocabulary) + place[inside])
+    passage, term = pair // len(index.vocabulary), pair % len(index.vocabulary)
+    n = index.block_first[term + 1] - index.block_first[term]
+    spread = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.block_first[term], n)
+    key = np.repeat(passage, n) * len(index.block_need) + index.block_of[spread]
+    order = np.argsort(key, kind="stable")
+    key, gain = key[order], index.block_max[spread][order]
+    if not len(key):
+        return key, key
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    key, total = key[edge], np.add.reduceat(gain, edge)
+    good = total >= index.block_need[key % len(index.block_need)]
+    return key[good] // len(index.block_need), key[good] % len(index.block_need)
+
+
 def search(words, hashes: np.ndarray, index: Index, similarity: float) -> list[tuple[int, int, float]]:
     """(text number, item number, score) of all verified items in the texts of a slice."""
     if not len(hashes):
         return []
-    known = index.present[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
-    at = np.flatnonzero(known)
+    at = np.flatnonzero(index.present[(hashes & np.uint64(PRESENT - 1)).astype(np.int64)])
     place = np.searchsorted(index.vocabulary, hashes[at])
     place[place == len(index.vocabulary)] = 0
     hit = index.vocabulary[place] == hashes[at]
     at, place = at[hit], place[hit]
-    gain = np.zeros(len(hashes) + 1)
-    gain[at + 1] = index.best[place]
-    total = np.cumsum(gain)
     counts = words.counts
     per_text = np.maximum(1, -(-counts // index.window) - 1) * (counts >= RUN)
     texts = np.repeat(np.arange(len(counts)), per_text)
     step = np.arange(len(texts)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     low = words.first[texts] + step * index.window
     high = np.minimum(low + 2 * index.window, words.first[texts + 1])
-    found = []
-    for k in np.flatnonzero(total[high] - total[low] >= index.floor.min()):
+    rare = index.rare[place]
+    found, held = [], {}
+    for k, block in zip(*candidates(index, at[rare], place[rare], low, high)):
         a, b = np.searchsorted(at, (low[k], high[k]))
-        terms = np.unique(place[a:b])
-        if index.best[terms].sum() < index.floor.min():
-            continue
-        retrieved = wand(index, terms.tolist())
-        if retrieved:
-            held = set(word_runs([words.word(i) for i in range(low[k], high[k])]))
-            for item, score in retrieved:
-                parts = (index.runs[item], index.answers[item])
-                if all(len(p & held) >= similarity * len(p) - 1e-9 for p in parts):
-                    found.append((int(texts[k]), item, score))
+        for item, score in wand(index, np.unique(place[a:b]).tolist(), int(block)):
+            if k not in held:
+                held = {k: set(word_runs([words.word(i) for i in range(low[k], high[k])]))}
+            parts = (index.runs[item], index.answers[item])
+            if all(len(p & held[k]) >= similarity * len(p) - 1e-9 for p in parts):
+                found.append((int(texts[k]), item, score))
     return found
 
 
