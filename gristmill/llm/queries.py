@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.llm import decontaminate, mixing
+from gristmill.llm import dartminhash, decontaminate, mixing
 from gristmill.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op5_decontaminate(spark, sf):
     """Every passage of every document against all benchmark items."""
     found = decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "best_score")
+
+
+@query()
+def op7_near_duplicates(spark, sf):
+    """Classes of all documents at a similarity of 0.8 on five-word runs."""
+    return dartminhash.near_duplicates(table(spark, sf, "documents"))
