@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.llm import dartminhash, decontaminate, mixing
+from gristmill.llm import credentials, dartminhash, decontaminate, mixing
 from gristmill.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,46 @@ def op5_decontaminate(spark, sf):
 def op7_near_duplicates(spark, sf):
     """Classes of all documents at a similarity of 0.8 on five-word runs."""
     return dartminhash.near_duplicates(table(spark, sf, "documents"))
+
+
+def secret_sql() -> str:
+    """The same spans in DuckDB: places by running lengths, links by plain interval joins."""
+    parts = []
+    for number, (name, pattern, group, least) in enumerate(credentials.KINDS):
+        quoted = pattern.replace("'", "''")
+        extra = " AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[0-9]')"
+        parts.append(f"""
+  SELECT rid, {number} AS kind, start, start + length(hit) AS stop FROM (
+    SELECT rid, hit, value, sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM (SELECT rid, unnest(string_split_regex(t, '{quoted}')) AS gap, unnest(regexp_extract_all(t, '{quoted}', 0)) AS hit,
+                 unnest(regexp_extract_all(t, '{quoted}', {group})) AS value,
+                 unnest(range(len(string_split_regex(t, '{quoted}')))) AS i FROM d)
+    WINDOW w AS (PARTITION BY rid ORDER BY i))
+  WHERE hit IS NOT NULL AND length(value) >= {least}{extra if pattern == credentials.RANDOM else ""}""")
+    near = "x.rid = p.rid AND x.start < p.stop + {0} AND p.start < x.stop + {0}"
+    touch, scope = near.format(0), near.format(credentials.SCOPE)
+    names = ", ".join(f"'{k[0]}'" for k in credentials.KINDS)
+    joined = "coalesce(string_agg(([{0}])[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind), '')".format(names)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS ({" UNION ALL ".join(parts)}),
+base AS (SELECT rid, kind, start::BIGINT AS start, stop::BIGINT AS stop FROM parts WHERE kind < 3),
+weak AS (SELECT rid, kind, start::BIGINT AS start, stop::BIGINT AS stop FROM parts p
+         WHERE kind >= 3 AND NOT EXISTS (SELECT 1 FROM base x WHERE {touch})),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+shown AS (SELECT * FROM base UNION ALL SELECT * FROM weak p WHERE
+  (kind = 4 OR EXISTS (SELECT 1 FROM every x WHERE x.kind IN (0, 2, 4) AND {scope}))
+  AND (kind = 3 OR EXISTS (SELECT 1 FROM every x WHERE x.kind IN (1, 3) AND {scope}))),
+b AS (SELECT rid, sha256({joined}) AS base_sha256, count(*) FILTER (kind = 0) AS n_assign,
+             count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex FROM base GROUP BY rid),
+s AS (SELECT rid, {joined} AS spans FROM shown GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN b USING (rid) LEFT JOIN s USING (rid)
+"""
+
+
+@query(secret_sql())
+def op10_secret_scan(spark, sf):
+    """Secrets in every whole text of the documents, with linked weak candidates."""
+    return credentials.secret_report(table(spark, sf, "documents"))
