@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.llm import credentials, dartminhash, decontaminate, mixing
+from gristmill.llm import credentials, dartminhash, decontaminate, mixing, tokencount
 from gristmill.llm.tables import table
 
+#: The vocabulary file of op9; any sentencepiece file can take its place.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -124,3 +127,9 @@ FROM d LEFT JOIN b USING (rid) LEFT JOIN s USING (rid)
 def op10_secret_scan(spark, sf):
     """Secrets in every whole text of the documents, with linked weak candidates."""
     return credentials.secret_report(table(spark, sf, "documents"))
+
+
+@query()
+def op9_token_counts(spark, sf):
+    """Unigram token counts of every whole text."""
+    return tokencount.token_counts(table(spark, sf, "documents"), tokencount.read_vocabulary(TOKENIZER))
