@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.llm import credentials, dartminhash, decontaminate, mixing, tokencount
+from gristmill.llm import chat, credentials, dartminhash, decontaminate, mixing, tokencount
 from gristmill.llm.tables import table
+from gristmill.plans.session import checkpoint
 
 #: The vocabulary file of op9; any sentencepiece file can take its place.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary file of op3.
+TURN_RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +136,32 @@ def op10_secret_scan(spark, sf):
 def op9_token_counts(spark, sf):
     """Unigram token counts of every whole text."""
     return tokencount.token_counts(table(spark, sf, "documents"), tokencount.read_vocabulary(TOKENIZER))
+
+
+# Fixed value: the conversation of control strings that op3 adds.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query(CHAT_SQL)
+def op3_chat_format(spark, sf):
+    """All conversations and one of control strings, packed as a prefix tree and read back."""
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], "conv_id long, turn long, role string, text string")
+    talks = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    ranks = chat.read_ranks(TURN_RANKS)
+    stream = chat.packed(talks, ranks)
+    written = chat.Packed(checkpoint(stream.nodes), stream.paths, stream.members)
+    return chat.read_back(written, ranks)
