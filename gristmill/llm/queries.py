@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.llm import chat, credentials, dartminhash, decontaminate, mixing, tokencount
+from gristmill.llm import chat, credentials, dartminhash, decontaminate, mixing, tokencount, toxicity
 from gristmill.llm.tables import table
 from gristmill.plans.session import checkpoint
 
@@ -165,3 +165,9 @@ def op3_chat_format(spark, sf):
     stream = chat.packed(talks, ranks)
     written = chat.Packed(checkpoint(stream.nodes), stream.paths, stream.members)
     return chat.read_back(written, ranks)
+
+
+@query()
+def op6_toxicity(spark, sf):
+    """Toxicity of every whole text, learned from the labels outside the held-out fold."""
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
