@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.llm import chat, credentials, dartminhash, decontaminate, mixing, tokencount, toxicity
+from gristmill.llm import chat, credentials, dartminhash, decontaminate, language, mixing, tokencount, toxicity
 from gristmill.llm.tables import table
 from gristmill.plans.session import checkpoint
 
@@ -171,3 +171,15 @@ def op3_chat_format(spark, sf):
 def op6_toxicity(spark, sf):
     """Toxicity of every whole text, learned from the labels outside the held-out fold."""
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query()
+def op1_language_id(spark, sf):
+    """Languages of all documents and all pages, from text, markup, address and host."""
+    documents, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    nobody = F.lit(None).cast("long")
+    rows = language.document_rows(documents, F.col("doc_id").cast("long").alias("doc_id"), nobody.alias("page_id"))
+    marked = pages.select(nobody.alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    rows = rows.unionByName(language.page_rows(marked, "doc_id", "page_id"))
+    found = language.identify(rows, language.fit(documents))
+    return found.select("doc_id", "page_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "accepted")
