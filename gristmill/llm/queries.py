@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.llm import chat, credentials, dartminhash, decontaminate, language, mixing, tokencount, toxicity
+from gristmill.llm import chat, covertree, credentials, dartminhash, decontaminate, language, mixing, tokencount, toxicity
 from gristmill.llm.tables import table
 from gristmill.plans.session import checkpoint
 
@@ -183,3 +183,24 @@ def op1_language_id(spark, sf):
     rows = rows.unionByName(language.page_rows(marked, "doc_id", "page_id"))
     found = language.identify(rows, language.fit(documents))
     return found.select("doc_id", "page_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "accepted")
+
+
+VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL),
+fine AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+roots AS (SELECT a, min(b) AS low FROM reached GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       least(vec_id, coalesce(low, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN counted ON counted.a = vec_id LEFT JOIN roots ON roots.a = vec_id
+"""
+
+
+@query(VECTOR_SQL)
+def op2_near_vectors(spark, sf):
+    """Links of all embeddings of equal label at a cosine of 0.93."""
+    return covertree.near_vectors(table(spark, sf, "embeddings"))
