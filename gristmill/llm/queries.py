@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.llm import chat, covertree, credentials, dartminhash, decontaminate, language, mixing, tokencount, toxicity
+from gristmill.llm import chat, covertree, credentials, dartminhash, decontaminate, language, mixing, substrings, tokencount, toxicity
 from gristmill.llm.tables import table
 from gristmill.plans.session import checkpoint
 
@@ -204,3 +204,23 @@ FROM embeddings LEFT JOIN counted ON counted.a = vec_id LEFT JOIN roots ON roots
 def op2_near_vectors(spark, sf):
     """Links of all embeddings of equal label at a cosine of 0.93."""
     return covertree.near_vectors(table(spark, sf, "embeddings"))
+
+
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+said AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM windows),
+firsts AS (SELECT s, min(doc_id) AS first FROM said GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM said JOIN firsts USING (s) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS said, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(SUBSTRING_SQL)
+def op8_substring_dedup(spark, sf):
+    """Words of all documents that no 13-word window of an earlier document covers."""
+    found = substrings.without_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
