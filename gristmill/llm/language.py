@@ -10,7 +10,8 @@ The posterior of a language is the product of
   that towards all rows, by Dirichlet weights. A row's own share is taken out of the counts it
   meets, so it is not evidence for itself.
 
-A further class ``und`` stands for text that no known language explains better than chance. Rows
+A further class ``und`` stands for text that no known language explains better than chance. Letters are ASCII letters and digits and all other
+characters beyond ASCII. Rows
 are scored once; all that moves afterwards is one short array per row. Aggregates are partial
 before they are shuffled, so a host with a third of all rows is no burden; the small tables of
 counts are broadcast only after their size was checked.

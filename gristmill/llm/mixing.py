@@ -163,7 +163,7 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3),
     )
     plan = small(cuts(sized, weights, share, cap).withColumnsRenamed({c: f"__{c}" for c in ("source_size", "target", "rounds", "cut_key", "cut_size", "cut_rest", "skey")}))
     # Only the table of cuts moves; the size of a text is counted again where the text lies.
-    whole = documents.drop("epoch", "words").withColumn("__key", hash_key(F.col("doc_id"))).withColumn("__of", source_key(F.col("source")))
+    whole = documents.drop("epoch", "words").where(F.col("text").rlike(WORD)).withColumn("__key", hash_key(F.col("doc_id"))).withColumn("__of", source_key(F.col("source")))
     parts = F.size(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0)))
     on_cut = F.col("__key") == F.col("__cut_key")
     joined = whole.join(plan, F.col("__of") == F.col("__skey"), "left").withColumn(
@@ -172,7 +172,7 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3),
     copies = joined.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("__copies") > 0, F.col("__copies")))))
     last = on_cut & (F.col("epoch") > F.col("__rounds"))
     words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0))
-    some = F.when(last, F.expr("1") * F.floor(parts * F.col("__cut_rest") / F.col("__cut_size"))).cast("int")
+    some = F.when(last, F.floor(parts * F.col("__cut_rest") / F.col("__cut_size"))).cast("int")
     cut = F.array_join(F.slice(words, F.lit(1), some), " ")
     shown = copies.withColumn("words", some).withColumn("text", F.when(last, cut).otherwise(F.col("text")))
     shown = shown.where("words IS NULL OR words > 0")

@@ -197,7 +197,7 @@ class Automaton:
                 length = self.length[state]
             if word in self.next[state]:
                 state, length = self.next[state][word], length + 1
-            while self.length[self.link[state]] >= window:
+            while state and self.length[self.link[state]] >= window:
                 state = self.link[state]
             length = min(length, window)
             if i + 1 >= window:
