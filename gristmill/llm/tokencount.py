@@ -7,9 +7,9 @@ before the text; of equal scores the piece that starts earliest wins; a characte
 piece of its own costs ten less than the worst piece and counts as its UTF-8 bytes where the
 vocabulary has byte pieces, else a run of such characters counts as one.
 
-No piece has ``▁`` or another blank after its first character that is not ``▁``, so the best path
-of a text is the best paths of its blank-separated words put together. Words repeat, so each
-distinct word of a slice is solved once, and a bounded memory of words carries over slices.
+No piece has ``▁`` after its first other character, so the best path of a text is the best paths of
+its words put together, where words end at blanks that no piece contains. Words repeat, so each
+distinct word of a slice is solved once, and the first words met are remembered, up to a bound.
 If a vocabulary or a text breaks that rule, the whole text is solved in one go.
 
 Defined cases: null and empty texts have no tokens; a null id is kept; repeated rows are counted
@@ -20,12 +20,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gristmill.llm.words import cut, mix, slices, text_bytes
+from gristmill.llm.words import BLANK, cut, mix, slices, text_bytes
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
@@ -64,10 +65,10 @@ class Counter:
         self.machine.make_automaton()
         self.unknown = min((s for _, s in vocabulary.pieces), default=0.0) - UNKNOWN_PENALTY
         self.bytes_for_unknown = vocabulary.bytes_for_unknown
-        tails = (p.lstrip(MARK) for p, _ in vocabulary.pieces)
-        heads = (p for p, _ in vocabulary.pieces)
-        blanks = " \t\n\x0b\x0c\r"
-        self.cuttable = not any(MARK in t for t in tails) and not any(b in p for p in heads for b in blanks)
+        self.cuttable = not any(MARK in p.lstrip(MARK) for p, _ in vocabulary.pieces)
+        # Blanks that stand inside pieces (line ends, say) do not part words.
+        self.blank = BLANK.copy()
+        self.blank[[ord(b) for b in "\t\n\x0b\x0c\r" if any(b in p for p, _ in vocabulary.pieces)]] = False
         # Without byte pieces unknown characters of neighbouring words would count together.
         self.cuttable = self.cuttable and self.bytes_for_unknown
         self.memory: dict[int, tuple[int, float]] = {}
@@ -76,38 +77,35 @@ class Counter:
         """Number of pieces and score of the best path over ``text``, as written with marks."""
         n = len(text)
         best, count = [0.0] * (n + 1), [0] * (n + 1)
-        open_run = [False] * (n + 1)
-        reached = 0  # ends up to here are settled
-        single = False
-        found, top, pieces = False, 0.0, 0
-
-        def settle(end: int) -> None:
-            nonlocal found, top, pieces, single
-            if not single:
-                score = best[end - 1] + self.unknown
-                if not found or score > top:
-                    top = score
-                    if self.bytes_for_unknown:
-                        pieces = count[end - 1] + len(text[end - 1].encode("utf-8", "surrogatepass"))
-                    else:
-                        pieces = count[end - 1] + (not open_run[end - 1])
-                        open_run[end] = True
-            best[end], count[end] = top, pieces
-            found, single = False, False
-
-        for last, (length, score) in self.machine.iter(text):
-            end = last + 1
-            while reached + 1 < end:
-                reached += 1
-                settle(reached)
-            start = end - length
+        unknown = self.unknown
+        run = -1  # where the last run of unknown characters ended
+        done = 0  # characters settled
+        top: float | None = None
+        pieces, single = 0, False
+        matches = self.machine.iter(text)
+        for last, piece in chain(matches, ((n, None),)):
+            while done < last:  # all pieces that end with the next character are known
+                if not single:
+                    value = best[done] + unknown
+                    if top is None or value > top:
+                        top = value
+                        if self.bytes_for_unknown:
+                            pieces = count[done] + len(text[done].encode())
+                        else:
+                            pieces = count[done] + (run != done)
+                            run = done + 1
+                done += 1
+                best[done], count[done] = top, pieces
+                top, single = None, False
+            if piece is None:
+                break
+            length, score = piece
+            start = last + 1 - length
             value = best[start] + score
-            if not found or value > top:  # longer pieces come first, so ties keep the earlier start
-                found, top, pieces = True, value, count[start] + 1
-            single = single or length == 1
-        while reached < n:
-            reached += 1
-            settle(reached)
+            if top is None or value > top:  # longer pieces come first, so ties keep the earlier start
+                top, pieces = value, count[start] + 1
+            if length == 1:
+                single = True
         return count[n], best[n]
 
     def whole(self, text: str) -> tuple[int, float]:
@@ -126,7 +124,7 @@ class Counter:
             text = int(np.searchsorted(offsets, at, side="right")) - 1
             whole[text] = True
             at = raw.find(MARK_BYTES, int(offsets[text + 1]))
-        words = cut(data, offsets)
+        words = cut(data, offsets, self.blank)
         counts, scores = np.zeros(n, dtype=np.int64), np.zeros(n)
         owner = words.owner()
         if len(owner):
@@ -148,8 +146,6 @@ class Counter:
             key = mix(words.hashes() + marks.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25), 5)
             unique, where, back = np.unique(key, return_index=True, return_inverse=True)
             solved = np.empty((len(unique), 2))
-            if len(self.memory) + len(unique) > REMEMBERED:
-                self.memory.clear()
             for j, k in enumerate(unique.tolist()):
                 known = self.memory.get(k)
                 if known is None:
