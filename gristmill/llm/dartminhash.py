@@ -37,7 +37,7 @@ from gristmill.plans.session import checkpoint
 RUN = 5
 BANDS, ROWS = 25, 4
 GROUP = 24
-SLICE = 1 << 20
+SLICE, SLICE_ROWS = 1 << 20, 400  # a short text takes as many darts as one of a thousand runs
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
 UNIT, RANK, DART = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -107,9 +107,8 @@ def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                words = words_of(part.column("text"))
-                text, run_hash, times = shingles(words)
+            for part in slices(batch, "text", SLICE, SLICE_ROWS):
+                text, run_hash, times = shingles(words_of(part.column("text")))
                 n = np.bincount(text, weights=times, minlength=part.num_rows).astype(np.int64)
                 sums = []
                 for seed in (11, 12):

@@ -128,13 +128,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with about ``size`` bytes of text; a longer text stands alone."""
+def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """At most ``rows`` consecutive rows with about ``size`` bytes of text; a longer text stands alone."""
     _, offsets = text_bytes(batch.column(text))
     low = 0
     while low < batch.num_rows:
         high = int(np.searchsorted(offsets, offsets[low] + size, side="right")) - 1
-        high = min(max(high, low + 1), batch.num_rows)
+        high = min(max(high, low + 1), low + rows, batch.num_rows)
         yield batch.slice(low, high - low)
         low = high
 
@@ -163,3 +163,16 @@ def runs(words: Words, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.
 def longs(x: np.ndarray) -> pa.Array:
     """Unsigned hashes as Spark longs."""
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of the word sequences ``[starts[i], ends[i])``, which may overlap."""
+    n = len(hashes)
+    up = np.full(n + 1, BASE, dtype=np.uint64)
+    down = np.full(n + 1, INVERSE, dtype=np.uint64)
+    up[0] = down[0] = 1
+    np.cumprod(up, out=up)
+    np.cumprod(down, out=down)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(mix(hashes, seed) * up[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64), seed)
