@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gristmill.functions.types import as_list, col, is_text, require_choice, require_numeric
 from gristmill.plans.blocks import block_join
+from gristmill.plans.session import checkpoint
 from gristmill.plans.stats import attach, stat
 
 DIGITS = 6
@@ -135,16 +136,15 @@ def silhouette(df: DataFrame, features, label: str, method: str = "euclidean") -
             "v array<double>, own bigint, label bigint, total double",
         )
         sums = partial.groupBy("v", "own", "label").agg(F.sum("total").alias("total"))
-        per_cluster = sums.join(own, ["v", "own"])
+        sized = sums.join(own, ["v", "own"]).join(clusters, "label")
+        mine = F.col("label") == F.col("own")
+        mean = F.try_divide(F.col("total"), F.col("size") - F.when(mine, 1).otherwise(0))
+        scored = sized.withColumn("mean", mean).groupBy("v", "own", "w").agg(
+            F.max(F.when(mine, F.col("mean"))).alias("a"),
+            F.min(F.when(~mine, F.col("mean"))).alias("b"),
+        )
     else:
-        per_cluster = _squared_sums(points)
-    sized = per_cluster.join(clusters, "label")
-    mine = F.col("label") == F.col("own")
-    mean = F.try_divide(F.col("total"), F.col("size") - F.when(mine, 1).otherwise(0))
-    scored = sized.withColumn("mean", mean).groupBy("v", "own", "w").agg(
-        F.max(F.when(mine, F.col("mean"))).alias("a"),
-        F.min(F.when(~mine, F.col("mean"))).alias("b"),
-    )
+        scored = _squared_means(points)
     s = F.coalesce(
         F.try_divide(F.col("b") - F.col("a"), F.nullif(F.greatest("a", "b"), F.lit(0.0))), F.lit(0.0)
     )
@@ -159,11 +159,35 @@ def silhouette(df: DataFrame, features, label: str, method: str = "euclidean") -
     )
 
 
-def _squared_sums(points: DataFrame) -> DataFrame:
-    """Sum of squared distances from each point to each cluster from cluster moments."""
+def _nearest_means(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Mean squared distance of each point to its own cluster and to the nearest other one.
+
+    ``right`` is a block of clusters with their size, sum of squares and sum of vectors.
+    """
+    if left.empty or right.empty:
+        return pd.DataFrame({"v": [], "own": [], "w": [], "a": [], "b": []})
+    x, s = np.vstack(left["v"]), np.vstack(right["s"])
+    n, q = right["n"].to_numpy(dtype=float), right["q"].to_numpy(dtype=float)
+    total = np.maximum((x * x).sum(axis=1)[:, None] * n[None, :] - 2 * x @ s.T + q[None, :], 0.0)
+    mine = left["own"].to_numpy()[:, None] == right["label"].to_numpy()[None, :]
+    rest = n[None, :] - mine
+    mean = np.divide(total, rest, out=np.full(total.shape, np.nan), where=rest > 0)
+    own = np.where(mine, mean, np.nan)
+    other = np.where(mine, np.inf, mean).min(axis=1)
+    has = ~np.isnan(own).all(axis=1)
+    a = np.where(has, np.nanmax(np.where(has[:, None], own, 0.0), axis=1), np.nan)
+    return pd.DataFrame({
+        "v": left["v"].to_numpy(), "own": left["own"].to_numpy(), "w": left["w"].to_numpy(),
+        "a": pd.Series(a, dtype=object).where(has, None), "b": pd.Series(other, dtype=object).where(np.isfinite(other), None),
+    })
+
+
+def _squared_means(points: DataFrame) -> DataFrame:
+    """``(v, own, w, a, b)`` from cluster moments, in blocks of points and clusters."""
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    parts = points.withColumn("q", norm)
-    moments = parts.groupBy("label").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("q")).alias("q"))
+    moments = points.withColumn("q", norm).groupBy("label").agg(
+        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("q")).alias("q")
+    )
     axes = (
         points.select("label", "w", F.posexplode("v").alias("d", "x"))
         .groupBy("label", "d")
@@ -171,15 +195,9 @@ def _squared_sums(points: DataFrame) -> DataFrame:
         .groupBy("label")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "s"))), lambda e: e["s"]).alias("s"))
     )
-    # One struct per cluster; every point meets every cluster, not every other point.
-    listed = moments.join(axes, "label").agg(
-        F.collect_list(F.struct("label", "n", "q", "s")).alias("clusters")
-    )
-    spread = attach(parts.withColumnRenamed("label", "own").withColumnRenamed("q", "pq"), listed)
-    met = spread.withColumn("c", F.explode(stat("clusters")))
-    dot = F.aggregate(F.zip_with("v", F.col("c.s"), lambda x, s: x * s), F.lit(0.0), lambda t, x: t + x)
-    total = F.col("c.n") * F.col("pq") - 2 * dot + F.col("c.q")
-    return met.select(
-        "v", "own", "w", F.col("c.label").alias("label"),
-        F.greatest(total, F.lit(0.0)).alias("total"),
+    clusters = checkpoint(moments.join(axes, "label"))
+    own = checkpoint(points.withColumnRenamed("label", "own"))
+    partial = block_join(
+        own, clusters, [], _nearest_means, "v array<double>, own bigint, w bigint, a double, b double"
     )
+    return partial.groupBy("v", "own", "w").agg(F.max("a").alias("a"), F.min("b").alias("b"))

@@ -16,9 +16,9 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gristmill.functions.types import as_list, col, is_text, require_choice, require_columns
+from gristmill.functions.types import as_list, col, require_choice, require_columns
 from gristmill.ml import metrics as M
 from gristmill.ml.dbscan import dbscan
 from gristmill.ml.neighbors import knn_classify
@@ -63,6 +63,8 @@ ALLOWED = {
     "dbscan": {"eps": float, "min_samples": int},
 }
 SEED = 42
+MAX_DEPTH = 30
+MAX_CLASSES = 10_000
 KMEANS_STARTS = 10
 LABEL = "label"
 
@@ -82,7 +84,6 @@ class Trained:
     seconds: float
     model: Model | None = None
     codes: TextCodes | None = None
-    target_codes: TextCodes | None = None
     train: DataFrame | None = None
     assignments: DataFrame | None = None
     classes: list = field(default_factory=list)
@@ -93,15 +94,23 @@ def check_params(algorithm: str, given: Mapping | None) -> dict:
     params = dict(DEFAULTS[algorithm])
     for key, value in (given or {}).items():
         if key not in ALLOWED[algorithm]:
-            raise ValueError(f"unknown hyper-parameter '{key}' for '{algorithm}'")
+            known = ", ".join(ALLOWED[algorithm]) or "none"
+            raise ValueError(f"'{algorithm}' takes no parameter '{key}' (it takes: {known})")
         kind = ALLOWED[algorithm][key]
         try:
             params[key] = kind(value)
         except (TypeError, ValueError):
-            raise ValueError(f"hyper-parameter '{key}' must be of type {kind.__name__}") from None
+            raise ValueError(f"'{key}' of '{algorithm}' cannot be read as {kind.__name__}: {value!r}") from None
+    check_depth(algorithm, params)
     return params
 
 
+def check_depth(algorithm: str, params: Mapping) -> None:
+    """Trees of the library are limited in depth; a deeper request is an error, not a shallower tree."""
+    if algorithm in ("random_forest", "gradient_boost") and not 0 <= params["max_depth"] <= MAX_DEPTH:
+        raise ValueError(f"max_depth must lie between 0 and {MAX_DEPTH}")
+
+
 def linear(**options) -> LinearRegression:
     return LinearRegression(featuresCol=FEATURES, labelCol=LABEL, **options)
 
@@ -143,7 +152,7 @@ def _estimator(task: str, algorithm: str, params: dict, train: DataFrame, rows:
             "featuresCol": FEATURES,
             "labelCol": LABEL,
             "numTrees": params["n_estimators"],
-            "maxDepth": min(params["max_depth"], 30),
+            "maxDepth": params["max_depth"],
             "seed": SEED,
         }
         if task == "regression":
@@ -178,16 +187,29 @@ def best_kmeans(data: DataFrame, k: int, starts: int = KMEANS_STARTS):
         data.unpersist()
 
 
-def encode_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, TextCodes | None]:
-    """Add the label column: codes for a text target, numbers otherwise."""
+def encode_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list]:
+    """Add the label column: for classes their place among the sorted classes, else numbers.
+
+    The classes come back too; more than ``MAX_CLASSES`` are an error.
+    """
     if task == "regression":
-        return df.withColumn(LABEL, col(target).cast("double")), None
-    if is_text(df.schema[target]):
-        codes = TextCodes.fit(df, [target])
-        kept = df.withColumn("__target", col(target))
-        coded = codes.transform(kept).withColumn(LABEL, col(target).cast("double"))
-        return coded.withColumn(target, F.col("__target")).drop("__target"), codes
-    return df.withColumn(LABEL, col(target).cast("long").cast("double")), None
+        return df.withColumn(LABEL, col(target).cast("double")), []
+    found = df.select(col(target).alias("c")).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"target '{target}' has more than {MAX_CLASSES} classes")
+    classes = sorted(r["c"] for r in found)
+    return df.withColumn(LABEL, place_of(col(target), classes, df.schema[target].dataType)), classes
+
+
+def place_of(value: Column, classes: list, kind) -> Column:
+    """The place of a class in the list, as a double."""
+    listed = F.array(*[F.lit(c).cast(kind) for c in classes])
+    return (F.array_position(listed, value) - 1).cast("double")
+
+
+def class_of(place: Column, classes: list) -> Column:
+    """The class at a place, in the type the target had."""
+    return F.get(F.array(*[F.lit(c) for c in classes]), place.cast("int"))
 
 
 def train(
@@ -199,12 +221,16 @@ def train(
     target: str | None = None,
     params: Mapping | None = None,
     test_size: float = TEST_SIZE,
-    silhouette_method: str = "euclidean",
+    silhouette_method: str = "squared",
+    pos_label=None,
 ) -> Trained:
     """Null removal, encoding, split, fit and evaluation.
 
-    Clusterings are scored by the exact silhouette, which compares all points; pass
-    ``silhouette_method="squared"`` for its linear-time relative on very large tables.
+    Clusterings are scored by the silhouette on squared distances, which is linear in the rows
+    and reported as ``silhouette_squared``; ``silhouette_method="euclidean"`` asks for the exact
+    one, which compares all points. Classes may be any values: they are coded by their place in
+    sorted order, kept in ``classes``, and predictions come back as the classes themselves.
+    ``pos_label`` is the class whose measures two-class targets report (the greater one).
     """
     started = time.monotonic()
     require_choice(task, ALGORITHMS, "task")
@@ -223,7 +249,7 @@ def train(
     if task == "clustering":
         rows = codes.transform(rows)
         return _train_clusters(rows, algorithm, names, ids, settings, codes, started, silhouette_method)
-    labelled, target_codes = encode_target(rows, target, task)
+    labelled, found = encode_target(rows, target, task)
     coded = codes.transform(labelled)
     # The split is written once; fitting then scans plain columns in every pass.
     data = checkpoint(mark_test_rows(checkpoint(coded), ids, test_size))
@@ -231,7 +257,7 @@ def train(
     test_rows = data.filter(IS_TEST).drop(IS_TEST)
     counts = train_rows.count(), test_rows.count()
     result = Trained(
-        task, algorithm, names, target, settings, None, *counts, 0.0, codes=codes, target_codes=target_codes
+        task, algorithm, names, target, settings, None, *counts, 0.0, codes=codes, classes=found
     )
     if algorithm == "knn":
         result.train = train_rows
@@ -239,18 +265,16 @@ def train(
             knn_classify(train_rows, test_rows, names, LABEL, ids, settings["n_neighbors"]), ids
         )
     else:
-        classes = 0
-        if task == "classification":
-            classes = train_rows.select(LABEL).distinct().count()
         vectors = assemble(train_rows, names)
-        estimator = _estimator(task, algorithm, settings, vectors, counts[0], classes)
+        estimator = _estimator(task, algorithm, settings, vectors, counts[0], len(found))
         result.model = estimator.fit(vectors)
         scored = result.model.transform(assemble(test_rows, names))
     scored = checkpoint(scored.select(LABEL, "prediction"))
     if task == "regression":
         result.metrics = M.regression_metrics(scored, LABEL, "prediction")
     else:
-        result.metrics = M.classification_metrics(scored, LABEL, "prediction", 1.0)
+        positive = 1.0 if pos_label is None else float(found.index(pos_label))
+        result.metrics = M.classification_metrics(scored, LABEL, "prediction", positive)
     result.seconds = round(time.monotonic() - started, 3)
     return result
 
@@ -272,13 +296,15 @@ def _train_clusters(rows, algorithm, names, ids, settings, codes, started, metho
     clusters = checkpoint(clusters)
     result.assignments = clusters.select(*ids, "cluster")
     scores = M.silhouette(clusters, names, "cluster", method)
+    if method == "squared":
+        scores = scores.withColumnRenamed("silhouette", "silhouette_squared")
     result.metrics = scores if inertia is None else scores.withColumn("inertia", F.lit(inertia))
     result.seconds = round(time.monotonic() - started, 3)
     return result
 
 
 def predict(trained: Trained, df: DataFrame, order_by) -> DataFrame:
-    """``(keys, prediction)`` for the rows with every feature present, 6 digits."""
+    """``(keys, prediction)`` for the rows with every feature present: 6 digits, or the class itself."""
     missing = [f for f in trained.features if f not in df.columns]
     if missing:
         raise ValueError(f"feature columns are missing: {missing}")
@@ -297,7 +323,10 @@ def predict(trained: Trained, df: DataFrame, order_by) -> DataFrame:
     else:
         out = trained.model.transform(assemble(rows, trained.features))
     value = F.col("prediction").cast("double")
-    value = F.round(value, 6) if trained.task == "regression" else value.cast("long")
+    if trained.task == "regression":
+        value = F.round(value, 6)
+    else:
+        value = class_of(value, trained.classes) if trained.classes else value.cast("long")
     return out.select(*[F.col(i).alias(k) for i, k in zip(ids, keys)], value.alias("prediction"))
 
 
@@ -356,6 +385,7 @@ def save_model(trained: Trained, path: str) -> None:
         "target": trained.target,
         "params": trained.params,
         "coded": coded,
+        "classes": trained.classes,
         "train_rows": trained.train_rows,
         "test_rows": trained.test_rows,
     }
@@ -379,6 +409,7 @@ def load_model(spark: SparkSession, path: str) -> Trained:
         settings["test_rows"],
         0.0,
         codes=codes,
+        classes=settings["classes"],
     )
     if trained.algorithm == "knn":
         trained.train = spark.read.parquet(f"{path}/train")

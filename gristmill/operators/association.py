@@ -2,39 +2,41 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, functions as F
 
 from gristmill.functions.text import to_text
 from gristmill.functions.types import as_list, is_nested, is_numeric, require_columns
 
-MAX_COLUMNS = 50
-
 
-def categorical_association(df: DataFrame, columns=None) -> DataFrame:
+def categorical_association(df: DataFrame, columns=None, max_columns: int | None = None) -> DataFrame:
     """Bias-corrected Cramer's V of every pair, rows ``(column_a, column_b, v)``.
 
-    Null is a category. Two-by-two tables use the continuity correction. The cells of all
+    All named columns (or all that are neither numeric nor nested) take part unless
+    ``max_columns`` keeps the first ones only. Equal rows collapse into one with a weight before
+    pairs are made of them. Null is a category. Two-by-two tables use the continuity correction. The cells of all
     pairs are counted in one scan; everything after works on the contingency tables.
     """
     names = require_columns(df, as_list(columns))
     if not names:
         names = [f.name for f in df.schema if not is_numeric(f) and not is_nested(f)]
-    names = names[:MAX_COLUMNS]
+    names = names[:max_columns]
     if len(names) < 2:
         raise ValueError("association needs at least two categorical columns")
-    pairs = list(combinations(range(len(names)), 2))
+    width = len(names)
     texts = [F.coalesce(to_text(df.schema[n]), F.lit("nan")).alias(f"c{i}") for i, n in enumerate(names)]
-    narrow = df.select(*texts)
-    entries = [
-        F.struct(F.lit(k).alias("pair"), F.col(f"c{i}").alias("a"), F.col(f"c{j}").alias("b"))
-        for k, (i, j) in enumerate(pairs)
-    ]
+    different = df.select(F.array(*texts).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("w"))
+
+    def paired(i):
+        return F.transform(
+            F.sequence(i + 1, F.lit(width - 1)),
+            lambda j: F.struct((i * width + j).alias("pair"), F.get("c", i).alias("a"), F.get("c", j).alias("b")),
+        )
+
+    entries = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 2)), paired))
     cells = (
-        narrow.select(F.inline(F.array(*entries)))
+        different.select("w", F.inline(entries))
         .groupBy("pair", "a", "b")
-        .agg(F.count(F.lit(1)).cast("double").alias("o"))
+        .agg(F.sum("w").cast("double").alias("o"))
     )
     rows = cells.groupBy("pair", "a").agg(F.sum("o").alias("ra"))
     cols = cells.groupBy("pair", "b").agg(F.sum("o").alias("cb"))
@@ -71,10 +73,10 @@ def categorical_association(df: DataFrame, columns=None) -> DataFrame:
     smaller = F.least(cols_left - 1, rows_left - 1)
     v = F.sqrt(F.try_divide(phi2, F.nullif(smaller, F.lit(0.0))))
     v = F.coalesce(F.when(~F.isnan(v), F.round(v, 4)), F.lit(0.0))
-    labels = F.array(
-        *[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b")) for i, j in pairs]
-    )
-    named = table.select(F.get(labels, F.col("pair")).alias("l"), v.alias("v"))
+    listed = F.array(*[F.lit(x) for x in names])
+    first, second = F.floor(F.col("pair") / width).cast("int"), F.col("pair") % width
+    label = F.struct(F.get(listed, first).alias("a"), F.get(listed, second).alias("b"))
+    named = table.select(label.alias("l"), v.alias("v"))
     both = named.select(
         F.inline(
             F.array(

@@ -27,13 +27,12 @@ from gristmill.operators.eda import (
     pairwise_r,
     sample_order,
 )
-from gristmill.plans.ordering import top_per_group
+from gristmill.plans.ordering import top_per_group, with_row_number
+from gristmill.plans.session import checkpoint
 from gristmill.plans.stats import attach, stat
 
 AGGREGATIONS = ("sum", "mean", "count", "min", "max")
 LIMIT, MAX_LIMIT = 20, 100
-MAX_GROUPS = 20
-LINE_POINTS = 5_000
 PIE_LIMIT = 10
 TREEMAP_LIMIT = 20
 
@@ -70,18 +69,24 @@ def _ranked(rows: DataFrame, order: Sequence[Column], limit: int, name: str = "r
 
 
 def bar(
-    df: DataFrame, x: str, y: str, agg: str = "sum", limit: int = LIMIT, group_by: str | None = None
+    df: DataFrame, x: str, y: str, agg: str = "sum", limit: int = LIMIT, group_by: str | None = None,
+    max_groups: int | None = None,
 ) -> DataFrame:
-    """Top categories by the size of their aggregate; one series, or one per group."""
+    """Top categories by the size of their aggregate; one series, or one per group.
+
+    ``max_groups`` keeps the largest groups only; without it every group is a series.
+    """
     if group_by:
-        return _bar_grouped(df, x, y, group_by, agg, limit)
+        return _bar_grouped(df, x, y, group_by, agg, limit, max_groups)
     _check(df, [x], y, agg, limit)
     order = [F.abs("y").desc_nulls_last(), F.col("x")]
     top = _ranked(_grouped(df, x, y, agg), order, limit)
     return top.select(F.lit(y).alias("series"), "x", "y", "rank")
 
 
-def _bar_grouped(df: DataFrame, x: str, y: str, g: str, agg: str, limit: int) -> DataFrame:
+def _bar_grouped(
+    df: DataFrame, x: str, y: str, g: str, agg: str, limit: int, max_groups: int | None
+) -> DataFrame:
     _check(df, [x, g], y, agg, limit)
     if x == g:
         raise ValueError("choose two different columns")
@@ -95,26 +100,40 @@ def _bar_grouped(df: DataFrame, x: str, y: str, g: str, agg: str, limit: int) ->
     # ``kept`` holds at most ``limit`` (100) rows.
     inside = cells.join(F.broadcast(kept), "x")
     groups = inside.groupBy("g").agg(F.sum(F.abs(F.coalesce("y", F.lit(0.0)))).alias("size"))
-    order = [F.col("size").desc(), F.col("g")]
-    groups = groups.orderBy(*order).limit(MAX_GROUPS).agg(F.collect_list("g").alias("gs"))
-    grid = attach(kept, groups).select("x", "rank", F.explode(stat("gs")).alias("g"))
-    # The grid has at most limit x 20 (2,000) rows; it is the preserved side of the join.
+    if max_groups is not None:
+        require_range(max_groups, 1, 1_000_000, "max_groups")
+        groups = groups.orderBy(F.col("size").desc(), F.col("g")).limit(max_groups)
+    # Every group meets the at most ``limit`` (100) categories.
+    shown = kept.agg(F.collect_list(F.struct("x", "rank")).alias("xs"))
+    grid = attach(groups.select("g"), shown).select("g", F.inline(stat("xs")))
     cell = inside.select("x", "g", F.struct("y").alias("cell"))
     filled = grid.join(cell, ["x", "g"], "left")
     value = F.when(F.col("cell").isNull(), F.lit(0.0)).otherwise(F.col("cell.y"))
     return filled.select(F.col("g").alias("series"), "x", value.alias("y"), "rank")
 
 
-def line(df: DataFrame, x: str, ys, order_by, sort: bool = True) -> DataFrame:
-    """The first 5,000 points, ordered by x (then key), one series per y column."""
+def line(df: DataFrame, x: str, ys, order_by, sort: bool = True, points: int | None = None) -> DataFrame:
+    """Points ordered by x (then key), one series per y column.
+
+    ``points`` keeps the first ones only, as a browser needs; without it all are kept, and
+    their ranks come from distributed row numbers.
+    """
     names = require_numeric(df, as_list(ys))
     if not names:
         raise ValueError("a line chart needs at least one y column")
     require_columns(df, [x])
     keys = require_order(df, order_by)
-    order = [col(c) for c in dict.fromkeys([x, *keys] if sort else keys)]
-    points = df.filter(col(x).isNotNull()).orderBy(*order).limit(LINE_POINTS)
-    numbered = points.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    sorting = list(dict.fromkeys([x, *keys] if sort else keys))
+    present = df.filter(col(x).isNotNull())
+    if points is None:
+        used = list(dict.fromkeys([x, *keys, *names]))
+        numbered = with_row_number(present.select(*[col(c) for c in used]), sorting, "rank")
+        numbered = numbered.withColumn("rank", (F.col("rank") + 1).cast("long"))
+    else:
+        require_range(points, 1, 1_000_000, "points")
+        order = [col(c) for c in sorting]
+        numbered = present.orderBy(*order).limit(points)
+        numbered = numbered.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     series = F.array(
         *[F.struct(F.lit(n).alias("series"), col(n).cast("double").alias("y")) for n in names]
     )
@@ -249,8 +268,9 @@ IGNORED_WIDGETS = ("text", "report")
 def render_widgets(df: DataFrame, specs: Sequence[dict]) -> tuple[DataFrame | None, dict[str, str]]:
     """Evaluate many chart specs ``{"id", "chart_type", "chart_params"}`` over one table.
 
-    Returns the union of the tidy outputs and the errors of the specs that failed; the
-    scans are pruned to each chart's columns, so the table itself is not cached.
+    Returns the union of the tidy outputs and the errors of the specs that failed. Each chart
+    is evaluated and written by a job of its own, so that data on which one fails (an infinite
+    value in a histogram, say) leaves the others whole; scans are pruned to a chart's columns.
     """
     out, errors = None, {}
     for spec in specs:
@@ -262,9 +282,9 @@ def render_widgets(df: DataFrame, specs: Sequence[dict]) -> tuple[DataFrame | No
             if kind not in RENDERERS:
                 raise ValueError(f"unknown chart type '{kind}'")
             rows = RENDERERS[kind](df, **spec.get("chart_params", {}))
+            rows = checkpoint(rows.select(F.lit(widget).alias("widget_id"), "series", "x", "y", "rank"))
         except Exception as problem:
-            errors[widget] = str(problem)
+            errors[widget] = str(problem).split("\n\nJVM stacktrace")[0]
             continue
-        rows = rows.select(F.lit(widget).alias("widget_id"), "series", "x", "y", "rank")
         out = rows if out is None else out.unionByName(rows)
     return out, errors

@@ -267,8 +267,11 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return _renamed_all(df, lambda n: re.sub(r"\s+", "_", n.strip().lower()))[0]
 
 
-def _typed_value(field: T.StructField, value) -> Column:
-    """A literal of the column's type, or an error when the value does not fit."""
+def _typed_value(field: T.StructField, value, truncate: bool = False) -> Column:
+    """A literal of the column's type, or an error when the value does not fit.
+
+    A fraction does not fit an integer column unless ``truncate`` is set.
+    """
     if value is None:
         return F.lit(None).cast(field.dataType)
     try:
@@ -276,7 +279,9 @@ def _typed_value(field: T.StructField, value) -> Column:
             words = {"true": True, "1": True, "false": False, "0": False}
             return F.lit(words[str(value).strip().lower()])
         if is_integer(field):
-            return F.lit(int(value)).cast(field.dataType)
+            if not truncate and float(value) != int(float(value)):
+                raise ValueError
+            return F.lit(int(value if truncate or isinstance(value, (int, str)) else float(value))).cast(field.dataType)
         if is_float(field):
             return F.lit(float(value)).cast(field.dataType)
         if is_datetime(field):
@@ -289,24 +294,31 @@ def _typed_value(field: T.StructField, value) -> Column:
 
 
 def update_cell(df: DataFrame, key: Mapping[str, object], column: str, value) -> DataFrame:
-    """Set one cell, addressed by the values of its key columns."""
+    """Set one cell, addressed by the values of its key columns; an unknown key is an error."""
     require_columns(df, [*key, column])
     match = F.lit(True)
     for name, wanted in key.items():
         match = match & col(name).eqNullSafe(F.lit(wanted))
-    new = _typed_value(df.schema[column], value)
+    if df.filter(match).isEmpty():
+        raise ValueError(f"no row has the key {dict(key)}")
+    new = _typed_value(df.schema[column], value, truncate=True)
     return replace_columns(df, {column: F.when(match, new).otherwise(col(column))})
 
 
 def update_cells(df: DataFrame, patches: DataFrame, key: str, column: str) -> DataFrame:
     """Set many cells: ``patches`` holds ``(key, column)`` rows; a null patch sets null.
 
-    The join strategy is left to the optimizer because the patch table may be large.
+    Equal patches for one key count once, different ones are an error. The join strategy is
+    left to the optimizer because the patch table may be large.
     """
     require_columns(df, [key, column])
-    right = patches.select(
-        col(key).alias("__key"),
-        F.struct(col(column).cast(df.schema[column].dataType).alias("v")).alias("__patch"),
+    value = F.struct(col(column).cast(df.schema[column].dataType).alias("v"))
+    unclear = F.raise_error(F.concat(F.lit("different patches for key "), F.col("__key").cast("string")))
+    right = (
+        patches.select(col(key).alias("__key"), value.alias("p"))
+        .groupBy("__key")
+        .agg(F.min("p").alias("low"), F.max("p").alias("high"))
+        .select("__key", F.when(F.col("low").eqNullSafe(F.col("high")), F.col("low")).otherwise(unclear.cast(f"struct<v:{df.schema[column].dataType.simpleString()}>")).alias("__patch"))
     )
     joined = df.join(right, col(key) == F.col("__key"), "left")
     patched = F.when(F.col("__patch").isNotNull(), F.col("__patch.v")).otherwise(col(column))

@@ -24,7 +24,6 @@ from gristmill.plans.stats import attach, stat, tidy
 
 BINS, MAX_BINS = 20, 100
 TOP_N, MAX_TOP_N = 20, 100
-FREQUENCY_COLUMNS = 50
 CROSSTAB_LABELS = 50
 SAMPLE, MAX_SAMPLE = 500, 5_000
 SEED = 42
@@ -136,17 +135,20 @@ def distribution_bins(df: DataFrame, columns, bins: int = BINS) -> DataFrame:
     )
 
 
-def _frequency_fields(df: DataFrame, columns):
+def _frequency_fields(df: DataFrame, columns, max_columns: int | None = None):
     names = require_columns(df, as_list(columns))
     if names:
         return [df.schema[n] for n in names]
-    return [f for f in df.schema if not is_nested(f)][:FREQUENCY_COLUMNS]
+    return [f for f in df.schema if not is_nested(f)][:max_columns]
 
 
-def value_counts(df: DataFrame, columns=None, top_n: int = TOP_N) -> DataFrame:
-    """The most frequent values per column, null included, with their share of all rows."""
+def value_counts(df: DataFrame, columns=None, top_n: int = TOP_N, max_columns: int | None = None) -> DataFrame:
+    """The most frequent values per column, null included, with their share of all rows.
+
+    ``max_columns`` keeps the first columns only; without it every column is reported.
+    """
     require_range(top_n, 1, MAX_TOP_N, "top_n")
-    fields = _frequency_fields(df, columns)
+    fields = _frequency_fields(df, columns, max_columns)
     top = top_values(_long_counts(df, fields, keep_null=True), top_n)
     total = df.agg(F.count(F.lit(1)).alias("total"))
     return attach(top, total).select(
@@ -158,9 +160,9 @@ def value_counts(df: DataFrame, columns=None, top_n: int = TOP_N) -> DataFrame:
     )
 
 
-def value_counts_meta(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
+def value_counts_meta(df: DataFrame, columns=None, approx: bool = False, max_columns: int | None = None) -> DataFrame:
     """Rows, nulls and distinct values per column."""
-    fields = _frequency_fields(df, columns)
+    fields = _frequency_fields(df, columns, max_columns)
     distinct = F.approx_count_distinct if approx else F.count_distinct
     stats = df.agg(
         F.count(F.lit(1)).alias("total"),
@@ -205,14 +207,15 @@ def crosstab(df: DataFrame, a: str, b: str, normalize: bool = False) -> DataFram
         ),
     ).otherwise(F.col("labels.bs"))
     grid = rows.select("a", F.explode(checked).alias("b"))
-    full = grid.join(F.broadcast(cells.limit(limit * limit + 1)), ["a", "b"], "left").select(
+    # At most 50 x 50 cells: more labels are an error before the join is read.
+    full = grid.join(F.broadcast(cells), ["a", "b"], "left").select(
         "a", "b", F.coalesce("count", F.lit(0).cast("long")).alias("n")
     )
     if not normalize:
         return full
     totals = cells.groupBy("a").agg(F.sum("count").alias("t"))
     # At most 50 rows: the axis limit is enforced above.
-    return full.join(F.broadcast(totals.limit(limit + 1)), "a").select(
+    return full.join(F.broadcast(totals), "a").select(
         "a", "b", F.round(F.col("n") / F.col("t"), 4).alias("n")
     )
 
@@ -220,7 +223,7 @@ def crosstab(df: DataFrame, a: str, b: str, normalize: bool = False) -> DataFram
 def crosstab_wide(df: DataFrame, a: str, b: str, normalize: bool = False) -> DataFrame:
     """The cross table with one column per label of ``b`` (at most 50)."""
     cells = crosstab(df, a, b, normalize)
-    labels = sorted(r["b"] for r in cells.select("b").distinct().limit(CROSSTAB_LABELS).collect())
+    labels = sorted(r["b"] for r in cells.select("b").distinct().collect())
     return cells.groupBy("a").pivot("b", labels).agg(F.first("n")).withColumnRenamed("a", a)
 
 

@@ -285,19 +285,19 @@ def sample_stats(df: DataFrame, max_columns: int = 8) -> DataFrame:
 
 
 def preview(df: DataFrame, order_by, limit: int = PREVIEW_ROWS, columns=None) -> DataFrame:
-    """The first rows in key order; 0 asks for all of them, up to the preview cap."""
+    """The first rows in key order; 0 asks for all of them."""
     keys = require_order(df, order_by)
     require_range(limit, 0, PREVIEW_CAP, "limit")
     names = require_columns(df, as_list(columns)) or df.columns
-    shown = df.orderBy(*[col(k) for k in keys]).limit(limit or PREVIEW_CAP)
+    shown = df.orderBy(*[col(k) for k in keys])
+    shown = shown.limit(limit) if limit else shown
     return shown.select(*[col(c) for c in names])
 
 
 def preview_info(df: DataFrame, limit: int = PREVIEW_ROWS) -> DataFrame:
     """One row: how many rows the table has, how many a preview shows."""
-    shown = limit or PREVIEW_CAP
+    total = F.col("total_rows")
+    shown = F.least(total, F.lit(limit).cast("long")) if limit else total
     return df.agg(F.count(F.lit(1)).alias("total_rows")).select(
-        "total_rows",
-        F.least(F.col("total_rows"), F.lit(shown).cast("long")).alias("returned_rows"),
-        (F.col("total_rows") > shown).alias("truncated"),
+        total, shown.alias("returned_rows"), (total > shown).alias("truncated")
     )

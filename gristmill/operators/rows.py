@@ -42,9 +42,15 @@ def filter_rows(df: DataFrame, column: str, operator: str, value=None) -> DataFr
             return df.filter(found)
         return df.filter(~F.coalesce(found, F.lit(False)))
     wanted = F.lit(value)
+    if operator in ("eq", "ne"):
+        # A value of another kind equals nothing: it becomes null instead of failing a cast.
+        if is_text(field) and not isinstance(value, str):
+            wanted = F.lit(None).cast("string")
+        elif not is_text(field) and isinstance(value, str):
+            wanted = F.lit(value).try_cast(field.dataType)
     tests = {
         "eq": lambda: c == wanted,
-        "ne": lambda: ~c.eqNullSafe(wanted),
+        "ne": lambda: wanted.isNull() | ~c.eqNullSafe(wanted),
         "gt": lambda: c > wanted,
         "gte": lambda: c >= wanted,
         "lt": lambda: c < wanted,

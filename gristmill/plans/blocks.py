@@ -49,7 +49,9 @@ def block_join(
     """
     rows = rows or BLOCK_ROWS
     left, right = fresh(left), fresh(right)
-    named = F.to_json(F.struct(*cell)) if cell else F.lit("")
+    if not cell:
+        return _whole(left, right, fn, schema, rows)
+    named = F.to_json(F.struct(*cell))
     # Row counts per cell: read three times, small next to the tables.
     left_sizes = left.groupBy(named.alias("__c")).agg(F.count(F.lit(1)).alias("__nl"))
     right_sizes = right.groupBy(named.alias("__c")).agg(F.count(F.lit(1)).alias("__nr"))
@@ -79,3 +81,24 @@ def block_join(
     lefts = spread(left, "__nl", "__nr", "__i", "__j")
     rights = spread(right, "__nr", "__nl", "__j", "__i")
     return lefts.groupBy("__p").cogroup(rights.groupBy("__p")).applyInPandas(_by_cell(fn), schema)
+
+
+def _whole(left: DataFrame, right: DataFrame, fn, schema: str, rows: int) -> DataFrame:
+    """Every block of one table with every block of the other; the two counts are literals."""
+    blocks_l, blocks_r = max(1, -(-left.count() // rows)), max(1, -(-right.count() // rows))
+
+    def spread(side: DataFrame, own: int, other: int, order: tuple[str, str]) -> DataFrame:
+        mine, theirs = order
+        return (
+            side.withColumn(mine, F.pmod(F.xxhash64(*side.columns), F.lit(own)))
+            .withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))))
+            .select("__i", "__j", *side.columns)
+        )
+
+    lefts = spread(left, blocks_l, blocks_r, ("__i", "__j"))
+    rights = spread(right, blocks_r, blocks_l, ("__j", "__i"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return fn(a.drop(columns=["__i", "__j"]), b.drop(columns=["__i", "__j"]))
+
+    return lefts.groupBy("__i", "__j").cogroup(rights.groupBy("__i", "__j")).applyInPandas(run, schema)

@@ -38,11 +38,17 @@ def with_buckets(df: DataFrame, keys: Sequence[str], buckets: int | None = None)
     """Add BUCKET: increasing with the keys, about equally filled."""
     buckets = buckets or shuffle_partitions(df.sparkSession)
     key = key_struct(keys)
+    wanted = buckets * SAMPLES_PER_BUCKET
+    # The share of the rows that yields about ``wanted`` of them; equal rows share one hash and
+    # meet as one weighted key, so the list stays short whatever the data.
+    whole = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(float(wanted)) / F.greatest("n", F.lit(1)))
+    place = F.xxhash64(*[col(c) for c in df.columns]).cast("double") / F.lit(2.0**64) + F.lit(0.5)
     sample = (
-        df.select(key.alias("k"))
-        .orderBy(F.xxhash64("k"), "k")
-        .limit(buckets * SAMPLES_PER_BUCKET)
-        .agg(F.sort_array(F.collect_list("k")).alias("s"))
+        df.select(key.alias("k"), place.alias("h"))
+        .filter(F.col("h") <= whole.scalar())
+        .groupBy("k")
+        .agg(F.least(F.count(F.lit(1)), F.lit(wanted)).cast("int").alias("times"))
+        .agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("k", F.col("times"))))).alias("s"))
     )
     last = F.size("s") - 1
     picks = F.sequence(F.lit(1), F.lit(buckets))
@@ -121,7 +127,7 @@ def with_running_weight(
 def fill_along(df: DataFrame, columns: Sequence[str], keys: Sequence[str], backward: bool) -> DataFrame:
     """Replace nulls by the previous (or next) non-null value in key order."""
     bucketed = with_buckets(df, keys)
-    key = key_struct(keys) if len(keys) > 1 else col(keys[0])
+    key = key_struct(keys)  # a struct is never null, so a row with a null key counts too
     pick = F.min_by if backward else F.max_by
     carry = {
         f"__c{i}": pick(col(c), F.when(col(c).isNotNull(), key)) for i, c in enumerate(columns)

@@ -464,3 +464,76 @@ WHERE o_orderpriority IN ('1-URGENT', '5-LOW')"""
 def q_replace_values_metrics(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     return C.replace_values(orders, {"1-URGENT": "now", "5-LOW": None}, ["o_orderpriority"]).metrics
+
+
+# --- cases that used to go wrong -------------------------------------------------------
+
+
+def _keyless(spark, sf):
+    """Events whose only values of a quarter stand in rows without a key."""
+    return table(spark, sf, "events").selectExpr(
+        "event_id", "CASE WHEN event_id = 7 THEN NULL ELSE event_id END AS place",
+        "CASE WHEN event_id = 7 OR event_id % 50 = 3 THEN value END AS value",
+    )
+
+
+_KEYLESS = """k AS (SELECT event_id, CASE WHEN event_id = 7 THEN NULL ELSE event_id END AS place,
+  CASE WHEN event_id = 7 OR event_id % 50 = 3 THEN value END AS value FROM events)"""
+
+
+@query(
+    f"""WITH {_KEYLESS} SELECT event_id, place, last_value(value IGNORE NULLS) OVER w AS value FROM k
+WINDOW w AS (ORDER BY place NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def q_fill_ffill_null_key(spark, sf):
+    return N.fill_nulls(_keyless(spark, sf), "ffill", ["value"], order_by=["place", "event_id"]).df
+
+
+@query(
+    f"""WITH {_KEYLESS} SELECT event_id, place, last_value(value IGNORE NULLS) OVER w AS value FROM k
+WINDOW w AS (ORDER BY place DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def q_fill_bfill_null_key(spark, sf):
+    return N.fill_nulls(_keyless(spark, sf), "bfill", ["value"], order_by="place").df
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN o_orderkey * 2.0
+  ELSE o_totalprice END AS o_totalprice FROM orders"""
+)
+def q_update_cells(spark, sf):
+    """Patches for two thirds of the keys, every patch given twice; unknown keys change nothing."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    patches = orders.selectExpr(
+        "o_orderkey", "CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey * 2.0D END AS o_totalprice"
+    ).where("o_orderkey % 3 < 2")
+    unknown = patches.selectExpr("-o_orderkey - 1 AS o_orderkey", "o_totalprice")
+    return C.update_cells(orders, patches.union(patches).union(unknown), "o_orderkey", "o_totalprice")
+
+
+@query(f"WITH {EVENTS} SELECT event_id, 'ne' AS kept FROM ev UNION ALL SELECT event_id, 'ne' FROM ev")
+def q_filter_eq_mismatch(spark, sf):
+    """A value of another kind equals no row and differs from every row."""
+    events = events_with_nulls(spark, sf)
+    parts = [R.filter_rows(events, c, op, v).selectExpr("event_id", f"'{op}' AS kept")
+             for c, v in (("value", "abc"), ("event_type", 5)) for op in ("eq", "ne")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"WITH {EVENTS} SELECT event_id, coalesce(user_id, 3) AS user_id FROM ev")
+def q_fill_constant_integer(spark, sf):
+    """A whole number given as a double fits an integer column."""
+    return N.fill_nulls(events_with_nulls(spark, sf).select("event_id", "user_id"), "constant", ["user_id"], value=3.0).df
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey * 1000000000000000 AS a, 10000 AS b,
+  CASE WHEN l_partkey * 1000000000000000::HUGEINT * 10000 <= 9223372036854775807 THEN (l_partkey * 1000000000000000::HUGEINT * 10000)::BIGINT END AS p
+FROM lineitem"""
+)
+def q_add_column_overflow(spark, sf):
+    """A product that does not fit a bigint is null."""
+    lines = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey * 1000000000000000L AS a", "10000L AS b"
+    )
+    return C.add_column(lines, "p", "multiply", "a", "b")

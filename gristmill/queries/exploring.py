@@ -343,16 +343,16 @@ def q_value_counts_meta(spark, sf):
     return E.value_counts_meta(events_with_nulls(spark, sf), ["event_type", "user_id", "value"])
 
 
-_GRID = """WITH o AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS a, o_orderpriority AS b FROM orders
-  WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '5-LOW')),
+_PRIORITY = "CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN '1-URGENT' ELSE o_orderpriority END"
+_GRID = f"""WITH o AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS a, {_PRIORITY} AS b FROM orders),
 g AS (SELECT x.a, y.b, count(o.a) AS n FROM (SELECT DISTINCT a FROM o WHERE a IS NOT NULL) x
   CROSS JOIN (SELECT DISTINCT b FROM o WHERE a IS NOT NULL) y LEFT JOIN o ON o.a = x.a AND o.b = y.b GROUP BY x.a, y.b) """
 
 
 def _crossed(spark, sf):
-    orders = table(spark, sf, "orders").filter("NOT (o_orderstatus = 'F' AND o_orderpriority = '5-LOW')")
-    return orders.selectExpr(
-        "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS status", "o_orderpriority AS priority"
+    """Every order; one cell of the cross table is emptied by relabelling."""
+    return table(spark, sf, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS status", f"{_PRIORITY} AS priority"
     )
 
 
@@ -431,3 +431,43 @@ WHERE user_id IS NOT NULL AND value IS NOT NULL ORDER BY md5(event_id || ':42'),
 )
 def q_pairwise_points(spark, sf):
     return E.pairwise_points(events_with_nulls(spark, sf), "user_id", "value", "event_id")
+
+
+# --- wide tables: no column is left out ------------------------------------------------
+
+_WIDE = [f"CASE WHEN event_id % {k + 2} = 0 THEN 'a' WHEN user_id % {k + 3} = 0 THEN 'b' ELSE 'c' END AS k{k}" for k in range(60)]
+
+
+def _wide(spark, sf):
+    return table(spark, sf, "events").selectExpr(*_WIDE)
+
+
+@query(
+    f"WITH w AS (SELECT {', '.join(_WIDE)} FROM events) "
+    + " UNION ALL ".join(_frequent("w", f"k{k}") for k in range(60))
+)
+def q_value_counts_wide(spark, sf):
+    return E.value_counts(_wide(spark, sf))
+
+
+@query(
+    f"WITH w AS (SELECT {', '.join(_WIDE)} FROM events) "
+    + " UNION ALL ".join(
+        f"""SELECT 'k{k}' AS "column", count(*) AS total_rows, count(*) - count(k{k}) AS null_count, count(DISTINCT k{k}) AS unique_count FROM w"""
+        for k in range(60)
+    )
+)
+def q_value_counts_meta_wide(spark, sf):
+    return E.value_counts_meta(_wide(spark, sf))
+
+
+@query(
+    f"WITH w AS (SELECT {', '.join(_WIDE)} FROM events), "
+    + "n AS (SELECT 'k' || unnest(range(60)) AS c) SELECT a.c AS column_a, b.c AS column_b, "
+    + "CASE WHEN a.c = b.c THEN 1.0::DOUBLE WHEN least(a.c, b.c) = 'k0' AND greatest(a.c, b.c) = 'k59' THEN "
+    + _cramer("w", "k0", "k59") + " END AS v FROM n a, n b"
+)
+def q_association_wide(spark, sf):
+    """Every pair of 60 columns is reported; the value of the outermost pair is compared."""
+    shown = "CASE WHEN column_a = column_b OR (least(column_a, column_b) = 'k0' AND greatest(column_a, column_b) = 'k59') THEN v END AS v"
+    return A.categorical_association(_wide(spark, sf)).selectExpr("column_a", "column_b", shown)

@@ -59,6 +59,23 @@ class Dataset:
         rows = self.spark.createDataFrame([row], MANIFEST_SCHEMA)
         rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
 
+    def _claim(self, version: int) -> None:
+        """Reserve a version: of several writers, the file is created by one only."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/claims/v={version}")
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path.getParent())
+        if not files.createNewFile(path):
+            raise RuntimeError(f"another writer has claimed version {version} of '{self.name}'")
+
+    def release_claim(self, version: int) -> None:
+        """Give up the claim of a writer that died before it logged its version."""
+        if self.head()["version"] >= version:
+            raise ValueError(f"version {version} is in the log")
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/claims/v={version}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+
     def manifest(self) -> DataFrame:
         return self.spark.read.schema(MANIFEST_SCHEMA).parquet(f"{self.folder}/manifest")
 
@@ -104,8 +121,7 @@ class Dataset:
         version = head["version"] + 1
         path = f"{self.folder}/v={version}/{uuid.uuid4().hex}"
         save(df, path, head["format"], mode="errorifexists")
-        if self.head()["version"] != head["version"]:
-            raise RuntimeError("another writer has changed the dataset")
+        self._claim(version)
         kept = dict(head["casts"] or {}) if casts is None else casts
         self._append(
             version, action, details, kept, head["parent"], head["format"], path, head["version"]
@@ -115,6 +131,7 @@ class Dataset:
     def _restore(self, target, base, action: str) -> int:
         head = self.head()
         version = head["version"] + 1
+        self._claim(version)
         self._append(
             version,
             action,
@@ -202,4 +219,4 @@ def activity_totals(log: DataFrame, as_of: str, days: int = 7, analysis=ANALYSIS
 
 
 def recent_activity(log: DataFrame, rows: int = 5) -> DataFrame:
-    return log.orderBy(F.col("ts").desc()).limit(rows)
+    return log.orderBy(F.col("ts").desc(), F.col("version").desc()).limit(rows)
