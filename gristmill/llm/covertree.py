@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gristmill.llm.tables import components, small
+from gristmill.llm.tables import components, forest, small
 from gristmill.plans.session import checkpoint
 
 BLOCK = 2048
@@ -201,25 +201,6 @@ def walk(left: Tree, right: Tree, weights: tuple[np.ndarray, np.ndarray], cosine
     return count_l, count_r, edges
 
 
-def forest(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest connected number of each of ``n`` points."""
-    label = np.arange(n)
-    if not edges:
-        return label
-    i, j = (np.concatenate(z) for z in zip(*edges))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def usable(embeddings: DataFrame) -> DataFrame:
     """``vec_id, label, vector`` of the vectors that can link, repeated rows once."""
     vector = F.col("embedding").cast("array<double>")

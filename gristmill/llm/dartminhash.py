@@ -13,8 +13,9 @@ multisets themselves (on 32-bit hashes of runs: for texts of a million runs this
 a similarity by 0.0002).
 
 Large bands are never expanded into all pairs. Their members are dealt into small groups that
-are compared inside, and with the smallest member; then links are contracted to components,
-and only members of *different* components of a band are still compared, in full.
+are compared inside, and with the smallest member; then links are contracted to components. Where a
+large band still holds several of them, what such bands hold together is compared in full, in
+pairs of blocks inside tasks that return spanning forests.
 
 Defined cases: a text of one to four words is one run; null texts and texts without words are
 similar to nothing; rows with a null id stay alone; repeated rows belong to one class; an empty
@@ -30,13 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gristmill.llm.tables import components
+from gristmill.llm.tables import components, forest
 from gristmill.llm.words import ORDER, longs, mix, runs, slices, words_of
 from gristmill.plans.session import checkpoint
 
 RUN = 5
 BANDS, ROWS = 25, 4
 GROUP = 24
+BLOCK, BLOCK_RUNS, COLUMNS = 512, 1_000_000, 4096
 SLICE, SLICE_ROWS = 1 << 20, 400  # a short text takes as many darts as one of a thousand runs
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
 UNIT, RANK, DART = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -176,6 +178,60 @@ def shared_count(p: np.ndarray, q: np.ndarray, both: np.ndarray) -> int:
     return int(np.minimum(counts[i], times[j]).sum())
 
 
+def crowd_links(wide: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that connect all similar members of crowds.
+
+    A crowd is what wide bands ``(band, lead, id, n)`` hold together. Its members are dealt into
+    blocks, and each pair of blocks is compared inside one task, which returns a spanning forest;
+    rows grow with the members times the number of blocks, not with the pairs.
+    """
+    crowds = components(wide.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
+    members = checkpoint(wide.select("id", "n").distinct().join(crowds, "id").withColumnRenamed("root", "crowd"))
+    blocks = members.groupBy("crowd").agg(
+        F.ceil(F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("n") / F.lit(float(BLOCK_RUNS)))).cast("int").alias("blocks")
+    )
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    duels = blocks.select("crowd", "blocks", F.explode(every).alias("p1")).select(
+        "crowd", "p1", F.explode(F.sequence("p1", F.col("blocks") - 1)).alias("p2")
+    )
+    sides = duels.select("crowd", "p1", "p2", F.col("p1").alias("part")).union(
+        duels.where("p1 <> p2").select("crowd", "p1", "p2", F.col("p2").alias("part"))
+    )
+    dealt = members.join(blocks, "crowd").select("id", "crowd", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int").alias("part"))
+    met = dealt.join(sets, "id").join(sides, ["crowd", "part"]).select("crowd", "p1", "p2", "part", "id", "runs")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        held = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in table.column("runs")]
+        size = np.array([len(x) for x in held])
+        parts = table.column("part").to_numpy()
+        left = np.flatnonzero(parts == parts.min())
+        right = np.flatnonzero(parts == parts.max())
+        owner = np.repeat(np.arange(len(held)), size)
+        values, column, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1  # runs of one document only cannot be shared
+        both = times[column] > 1
+        owner, column = owner[both], number[column[both]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        shared = np.zeros((len(left), len(right)), dtype=np.float32)
+        place_l, place_r = np.full(len(held), -1), np.full(len(held), -1)
+        place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, (low, low + COLUMNS))
+            x = np.zeros((len(held), COLUMNS), dtype=np.float32)
+            x[owner[a:b], column[a:b] - low] = 1
+            shared += x[left] @ x[right].T
+        shared = shared.astype(np.float64)
+        near = shared >= similarity * (size[left][:, None] + size[right][None, :] - shared) - 1e-9
+        i, j = np.nonzero(near)
+        root = forest(len(held), [(left[i], right[j])])
+        keep = root != np.arange(len(held))
+        return pa.table({"a": ids[keep], "b": ids[root[keep]]})
+
+    return checkpoint(met.groupBy("crowd", "p1", "p2").applyInArrow(compare, "a long, b long"))
+
+
 def near_duplicates(documents: DataFrame, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
     """One row per document: ``doc_id, class_id`` (smallest id of its class), ``kept``."""
     signed = checkpoint(signatures(documents))
@@ -204,14 +260,10 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, group: int =
     wide = held.where(F.col("crowd") > group).join(roots, "id", "left").select(
         "band", "id", "n", F.coalesce("root", "id").alias("root")
     )
-    mixed = wide.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    wide = checkpoint(wide.join(mixed, "band", "left_semi"))
+    mixed = wide.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("lead")).where("low < high")
+    wide = checkpoint(wide.join(mixed.select("band", "lead"), "band"))
     if not wide.isEmpty():
-        one = wide.select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        two = wide.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        apart = one.join(two, "band").where("ra <> rb AND a < b").where(fits).select("a", "b").distinct()
-        more = verified(checkpoint(apart.join(tried, ["a", "b"], "left_anti")), sets, similarity)
-        roots = components(links.union(more))
+        roots = components(links.union(crowd_links(wide, sets, similarity)))
     found = signed.select("id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"], "left")
     found = found.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     class_id = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))

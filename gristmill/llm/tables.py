@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gristmill.plans.session import checkpoint
@@ -62,6 +63,25 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("root")).union(tops)
 
 
+def forest(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Smallest connected number of each of ``n`` points."""
+    label = np.arange(n)
+    if not edges:
+        return label
+    i, j = (np.concatenate(z) for z in zip(*edges))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 SMALL_ROWS = 100_000
 SMALL_BYTES = 16 << 20
 
