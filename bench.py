@@ -2,8 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) select data and
 cores; BENCH_QUERIES limits the run to some names. Each query is built and fully evaluated
-(``noop`` sink) once to warm up and then BENCH_RUNS times; the median is reported. A query
-whose first run takes eight seconds or more counts with that run.
+(``noop`` sink) once to warm up and then BENCH_RUNS times; the median of these is reported.
 """
 
 from __future__ import annotations
@@ -26,13 +25,11 @@ HEADLINE = [
     "q_distribution_bins", "q_value_counts", "q_crosstab", "q_missing_by_column", "q_co_null_pairs",
     "q_pairwise_points", "q_bar_sum", "q_bar_grouped", "q_line", "q_scatter_color", "q_pie", "q_history_window",
     "q_ml_split", "q_regression_metrics", "q_classification_metrics_weighted", "q_knn", "q_dbscan_core",
-    "q_activity_rollup", "q_roundtrip_parquet", "q_load_csv",
+    "q_activity_rollup", "q_roundtrip_parquet", "q_load_csv", "q_line_all", "q_silhouette_squared",
+    "q_ml_train_linear", "q_ml_train_logistic", "q_ml_train_kmeans",
 ]
 
 
-LONG = 8.0
-
-
 def run(spark, name: str, sf: str) -> float:
     started = time.monotonic()
     QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
@@ -50,8 +47,7 @@ def main() -> None:
     for name in names:
         try:
             cold = run(spark, name, sf)
-            # A query that already took long is not dominated by start-up costs.
-            again = [run(spark, name, sf) for _ in range(runs)] if cold < LONG else [cold]
+            again = [run(spark, name, sf) for _ in range(runs)]
             times[name] = round(statistics.median(again), 3)
             print(f"{name} cold {cold:.2f} warm {times[name]:.2f}", file=sys.stderr, flush=True)
         except Exception as problem:

@@ -137,27 +137,26 @@ def validate_cast(df: DataFrame, targets: Mapping[str, str], order_by=None, form
             aggregates[f"{kind}{i}"] = F.count_if(test)
         f, o, l, n = (F.col(f"{kind}{i}") for kind in "foln")
         lost_text = F.concat(
-            F.lit("Conversion failed for "),
             l.cast("string"),
-            F.lit(" values ("),
+            F.lit(" cells, "),
             float_to_string(share(l, F.col("total"), 1)),
-            F.lit("% of rows). These will become NULL."),
+            F.lit(" percent of all rows, do not convert and turn null"),
         )
         broken = (f > 0) & F.lit(is_text(field))
         status = F.when(broken, "error").when(f + o + l + n > 0, "warning").otherwise("safe")
         message = (
-            F.when(broken, "Cast is fundamentally incompatible: text holds fractions")
-            .when(f > 0, "Column contains decimal values that will be truncated during conversion.")
+            F.when(broken, "text with fractions cannot become integers")
+            .when(f > 0, "fractions are cut off")
             .when(
                 n > 0,
-                F.concat(n.cast("string"), F.lit(" null value(s) will become the literal string 'nan'.")),
+                F.concat(n.cast("string"), F.lit(" nulls turn into the text 'nan'")),
             )
             .when(
                 o > 0,
-                "Column contains values other than 0, 1, or True/False. Results may be unexpected.",
+                "some values are neither 0, 1, true nor false",
             )
             .when(l > 0, lost_text)
-            .otherwise("Conversion is safe.")
+            .otherwise("every value converts")
         )
         rows.append(
             {"column": F.lit(name), "target": F.lit(target), "status": status, "message": message}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -61,19 +61,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     with every round of an iterative algorithm.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gristmill/steps/{uuid.uuid4().hex}"
+    path = f"{_steps(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _steps(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/gristmill/steps/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the step tables of this application; DataFrames built on them end with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_steps(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Materialise a lookup table and mark it for broadcast only if it is small.
 
-    The count reads the written copy, so it is exact; a larger table keeps the join
-    strategy the optimizer picks (with adaptive skew splitting).
+    Rows and the bytes of its texts are counted on the written copy, so both are exact; a
+    larger table keeps the join strategy the optimizer picks (with adaptive skew splitting).
     """
     written = checkpoint(df)
-    return F.broadcast(written) if written.count() <= rows else written
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0)).cast("long")
+    found, used = written.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(written) if found <= rows and used <= size else written

@@ -297,16 +297,16 @@ def q_stored_casts(spark, sf):
          count(*) FILTER (flag IS NULL) AS nulls
   FROM dirty)
 SELECT 'amount' AS "column", 'numeric' AS target, 'warning' AS status,
-       'Conversion failed for ' || lost || ' values (' || CAST(CAST(round(lost * 100.0 / total, 1) AS DOUBLE) AS VARCHAR)
-       || '% of rows). These will become NULL.' AS message FROM s
+       lost || ' cells, ' || CAST(CAST(round(lost * 100.0 / total, 1) AS DOUBLE) AS VARCHAR)
+       || ' percent of all rows, do not convert and turn null' AS message FROM s
 UNION ALL
 SELECT 'value', 'integer', CASE WHEN fractions > 0 THEN 'warning' ELSE 'safe' END,
-       CASE WHEN fractions > 0 THEN 'Column contains decimal values that will be truncated during conversion.'
-            ELSE 'Conversion is safe.' END FROM s
+       CASE WHEN fractions > 0 THEN 'fractions are cut off'
+            ELSE 'every value converts' END FROM s
 UNION ALL
-SELECT 'flag', 'string', 'warning', nulls || ' null value(s) will become the literal string ''nan''.' FROM s
+SELECT 'flag', 'string', 'warning', nulls || ' nulls turn into the text ''nan''' FROM s
 UNION ALL
-SELECT 'twice', 'float', 'safe', 'Conversion is safe.' FROM s"""
+SELECT 'twice', 'float', 'safe', 'every value converts' FROM s"""
 )
 def q_validate_cast(spark, sf):
     return C.validate_cast(

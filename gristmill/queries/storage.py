@@ -67,10 +67,21 @@ def q_duplicate(spark, sf):
     return dataset.duplicate(fmt="csv").read()
 
 
-@query()
+_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{t}.parquet' AS file, 'parquet' AS ext, true AS ok, count(*) > 0 AS filled FROM {t}" for t in _TABLES
+    )
+)
 def q_validate_files(spark, sf):
     """The files of the test tables themselves."""
-    return S.validate_files(spark, sf)
+    name = F.element_at(F.split("path", "/"), -1)
+    return S.validate_files(spark, sf).select(name.alias("file"), "ext", "ok", (F.col("length") > 0).alias("filled"))
 
 
 def _history(spark, sf):

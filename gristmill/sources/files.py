@@ -36,14 +36,14 @@ def load(
     fmt: str | None = None,
     schema: T.StructType | None = None,
     casts: Mapping[str, str] | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
     row_order: bool = False,
     order_by=None,
 ) -> DataFrame:
     """Read a table, turn NaN into null and re-apply stored casts.
 
-    ``multi_line=False`` lets Spark split a csv file whose quoted fields hold no line
-    breaks. ``row_order`` adds the file name and the row number inside the file.
+    ``multi_line=True`` reads csv files whose quoted fields hold line breaks; Spark then cannot
+    split a file. ``row_order`` adds the file name and the row number inside the file.
     """
     fmt = require_choice(fmt or format_of(path), FORMATS, "file format")
     if fmt == "csv":

@@ -1,11 +1,26 @@
 """Row-wise operators that run unchanged on a streaming DataFrame.
 
 Each of these plans only projections and filters, without state or statistics of the
-whole table, so ``readStream -> operator -> writeStream`` needs no watermark.
+whole table, so ``readStream -> operator -> writeStream`` needs no watermark. A cast whose
+date format would have to be inferred from the data is refused on a stream.
 """
 
-from gristmill.operators.columns import add_column, cast, drop_columns, rename_column
+from gristmill.operators import columns
+from gristmill.operators.columns import add_column, drop_columns, rename_column
 from gristmill.operators.nulls import drop_nulls
 from gristmill.operators.rows import filter_rows
 
+
+
+def cast(df, targets, formats=None, **options):
+    """``columns.cast`` for a stream: datetimes of text columns need ``formats``."""
+    unclear = [
+        c for c, t in targets.items()
+        if t == "datetime" and df.schema[c].dataType.typeName() == "string" and not formats
+    ]
+    if df.isStreaming and unclear:
+        raise ValueError(f"a stream cannot infer the date format of {unclear}: pass formats")
+    return columns.cast(df, targets, formats=formats, **options)
+
+
 __all__ = ["add_column", "cast", "drop_columns", "drop_nulls", "filter_rows", "rename_column"]

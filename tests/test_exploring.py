@@ -197,7 +197,9 @@ def test_cramers_v(spark):
 
 def test_value_counts_limits(spark):
     wide = spark.createDataFrame([tuple([i] * 60) for i in range(3)], [f"col_{i}" for i in range(60)])
-    assert E.value_counts(wide).select("column").distinct().count() == 50
+    assert E.value_counts(wide).select("column").distinct().count() == 60
+    assert E.value_counts(wide, max_columns=50).select("column").distinct().count() == 50
+    assert E.value_counts_meta(wide).count() == 60
     with pytest.raises(ValueError):
         E.value_counts(wide, ["col_0"], 101)
 

@@ -13,7 +13,7 @@ CSV = 'id,name,amount,flag,none\n1,"Ann, ""A""",1.5,True,\n2,n/a,NA,False,\n3,"t
 def test_csv_types_and_missing_tokens(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text(CSV)
-    df = files.load(spark, str(path))
+    df = files.load(spark, str(path), multi_line=True)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     assert kinds == {"id": "bigint", "name": "string", "amount": "string", "flag": "boolean", "none": "double"}
     rows = df.orderBy("id").collect()
