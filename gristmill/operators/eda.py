@@ -20,7 +20,7 @@ from gristmill.functions.types import (
     require_range,
 )
 from gristmill.operators.profile import _long_counts, top_values
-from gristmill.plans.stats import attach, stat, tidy
+from gristmill.plans.stats import attach, stat, tidy, with_distinct_counts
 
 BINS, MAX_BINS = 20, 100
 TOP_N, MAX_TOP_N = 20, 100
@@ -163,12 +163,11 @@ def value_counts(df: DataFrame, columns=None, top_n: int = TOP_N, max_columns: i
 def value_counts_meta(df: DataFrame, columns=None, approx: bool = False, max_columns: int | None = None) -> DataFrame:
     """Rows, nulls and distinct values per column."""
     fields = _frequency_fields(df, columns, max_columns)
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    stats = df.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count(col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)],
-        *[distinct(col(f.name)).alias(f"u{i}") for i, f in enumerate(fields)],
-    )
+    stats = [F.count(F.lit(1)).alias("total"), *[F.count(col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)]]
+    if approx:
+        stats = df.agg(*stats, *[F.approx_count_distinct(col(f.name)).alias(f"u{i}") for i, f in enumerate(fields)])
+    else:
+        stats = with_distinct_counts(df.agg(*stats), df, [f.name for f in fields])
     return tidy(
         stats,
         [

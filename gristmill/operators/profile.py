@@ -17,7 +17,7 @@ from gristmill.functions.types import (
     require_order,
     require_range,
 )
-from gristmill.plans.stats import attach, literal, quantiles, tidy
+from gristmill.plans.stats import attach, literal, quantiles, tidy, with_distinct_counts
 
 PREVIEW_ROWS = 100
 PREVIEW_CAP = 10_000
@@ -28,16 +28,14 @@ def _profiled(df: DataFrame) -> list[T.StructField]:
 
 
 def _counts(df: DataFrame, fields, approx: bool) -> DataFrame:
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    return df.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count(col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)],
-        *[distinct(col(f.name)).alias(f"u{i}") for i, f in enumerate(fields)],
-    )
+    stats = [F.count(F.lit(1)).alias("total"), *[F.count(col(f.name)).alias(f"c{i}") for i, f in enumerate(fields)]]
+    if approx:
+        return df.agg(*stats, *[F.approx_count_distinct(col(f.name)).alias(f"u{i}") for i, f in enumerate(fields)])
+    return with_distinct_counts(df.agg(*stats), df, [f.name for f in fields])
 
 
 def inspect(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Type, null and distinct counts of every column from one aggregate."""
+    """Type, null and distinct counts of every column."""
     fields = _profiled(df)
     rows = []
     for i, f in enumerate(fields):

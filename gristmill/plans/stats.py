@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -175,3 +176,20 @@ def most_frequent(df: DataFrame, name: str) -> DataFrame:
     """One row: the most frequent non-null value, the smallest one on a tie."""
     counts = df.filter(col(name).isNotNull()).groupBy(col(name).alias("v")).count()
     return counts.agg(F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("mode"))
+
+
+def with_distinct_counts(stats: DataFrame, df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add ``u0, u1, ...``: the exact number of different values of each column.
+
+    Every column is counted by an aggregate of its own, which reads that column only. Counted
+    together, each row would be copied once per column before the shuffle.
+    """
+    if not names:
+        return stats
+    counts = [
+        df.agg(F.count_distinct(col(n)).alias("n")).select(F.lit(i).alias("i"), "n") for i, n in enumerate(names)
+    ]
+    listed = reduce(DataFrame.union, counts).agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
+    held = attach(stats, listed, "__distinct")
+    found = F.col("__distinct").getField("m")
+    return held.select(*stats.columns, *[found.getItem(i).alias(f"u{i}") for i in range(len(names))])
