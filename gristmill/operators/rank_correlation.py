@@ -13,7 +13,8 @@ from gristmill.operators.eda import matrix_rows, paired_correlations
 from gristmill.plans.ordering import bucket_of, with_running_weight
 from gristmill.plans.session import BROADCAST_ROWS, checkpoint, shuffle_partitions
 
-MAX_CUTS = 4_096
+MAX_CUTS = 512
+CLASS_POINTS = 250_000  # distinct points that one task counts
 
 
 def _pairs(df: DataFrame, columns):
@@ -180,22 +181,19 @@ def discordant_weight(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 
 def _local_discordance(group: pd.DataFrame) -> pd.DataFrame:
     d = discordant_weight(group["x"].to_numpy(), group["y"].to_numpy(), group["w"].to_numpy())
-    return pd.DataFrame({"pair": [group["pair"].iloc[0]], "d": [d]})
+    return pd.DataFrame({"root": [group["root"].iloc[0]], "d": [d]})
 
 
-def correlation_kendall(df: DataFrame, columns=None, cuts: int | None = None) -> DataFrame:
-    """Kendall's tau-b, exact.
+def _discordance(points: DataFrame, cuts: int, limit: int) -> DataFrame:
+    """``(root, d)``: discordant weight within each ``pair`` of ``points(root, pair, x, y, w)``.
 
-    Both axes are cut at sampled quantiles; a cut value is a class of its own, so the
-    classes between cuts stay near ``1/cuts`` of the distinct points however the data is
-    skewed. A discordant pair lies in two different classes on both axes (counted by
-    running sums over the class grid), or shares its x class, or shares its y class
-    (counted inside that class).
+    Both axes are cut at sampled quantiles; a cut value is a class of its own, so the classes
+    between cuts stay near ``1/cuts`` of the distinct points however the data is skewed. A
+    discordant pair lies in two different classes on both axes (counted by running sums over
+    the class grid), or shares its x class, or shares its y class. Classes of at most ``limit``
+    points are counted by one task each; larger ones are cut again as pairs of their own.
     """
-    names, pairs = _pairs(df, columns)
-    cuts = cuts or min(MAX_CUTS, max(16, 2 * shuffle_partitions(df.sparkSession)))
-    # Written once: the cuts, the class grid, the classes and the ties all read it.
-    points = checkpoint(_points(df, names, pairs))
+    keys = ["root", "pair"]
     grid = [(i + 1) / (cuts + 1) for i in range(cuts)]
     bounds = points.groupBy("pair").agg(
         F.array_distinct(F.percentile_approx("x", grid, 10_000)).alias("bx"),
@@ -207,44 +205,54 @@ def correlation_kendall(df: DataFrame, columns=None, cuts: int | None = None) ->
         on_cut = F.get(axis_bounds, place - 1) == value
         return 2 * place - F.when(on_cut, 1).otherwise(0)
 
-    # One row of at most 2 x cuts numbers per pair of columns.
-    placed = points.join(F.broadcast(bounds), "pair").select(
-        "pair",
-        "x",
-        "y",
-        "w",
-        cell(F.col("bx"), F.col("x")).alias("cx"),
-        cell(F.col("by"), F.col("y")).alias("cy"),
-    )
-    cells = placed.groupBy("pair", "cx", "cy").agg(F.sum("w").alias("w"))
-    dense = cells.select("pair", "cx").distinct().select(
-        "pair", "cx", F.explode(F.sequence(F.lit(0), F.lit(2 * cuts))).alias("cy")
-    )
-    dense = dense.join(cells, ["pair", "cx", "cy"], "left").withColumn(
-        "w", F.coalesce("w", F.lit(0.0))
+    placed = points.join(bounds, "pair").select(
+        *keys, "x", "y", "w", cell(F.col("bx"), F.col("x")).alias("cx"), cell(F.col("by"), F.col("y")).alias("cy")
     )
-    above = (
-        Window.partitionBy("pair", "cx").orderBy(F.col("cy").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    left_of = (
-        Window.partitionBy("pair", "cy").orderBy("cx").rowsBetween(Window.unboundedPreceding, -1)
+    cells = placed.groupBy(*keys, "cx", "cy").agg(F.sum("w").alias("w"))
+    dense = cells.select(*keys, "cx").distinct().select(
+        *keys, "cx", F.explode(F.sequence(F.lit(0), F.lit(2 * cuts))).alias("cy")
     )
+    dense = dense.join(cells, [*keys, "cx", "cy"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    above = Window.partitionBy("pair", "cx").orderBy(F.col("cy").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    left_of = Window.partitionBy("pair", "cy").orderBy("cx").rowsBetween(Window.unboundedPreceding, -1)
     across = (
         dense.withColumn("s", F.coalesce(F.sum("w").over(above), F.lit(0.0)))
         .withColumn("p", F.coalesce(F.sum("s").over(left_of), F.lit(0.0)))
-        .groupBy("pair")
+        .groupBy("root")
         .agg(F.sum(F.col("p") * F.col("w")).alias("d"))
     )
     same_x = placed.filter("cx % 2 = 0").select(
-        "pair", F.lit(0).alias("side"), F.col("cx").alias("class"), "x", "y", "w"
+        *keys, F.lit(0).alias("side"), F.col("cx").alias("class"), "x", "y", "w"
     )
     same_y = placed.filter("cy % 2 = 0").select(
-        "pair", F.lit(1).alias("side"), F.col("cy").alias("class"), F.col("cx").cast("double").alias("x"), "y", "w"
+        *keys, F.lit(1).alias("side"), F.col("cy").alias("class"), F.col("cx").cast("double").alias("x"), "y", "w"
     )
-    inside = same_x.unionByName(same_y).groupBy("pair", "side", "class").applyInPandas(
-        _local_discordance, "pair int, d double"
+    name = F.concat_ws(" ", "pair", F.col("side").cast("string"), F.col("class").cast("string"))
+    inside = checkpoint(
+        same_x.unionByName(same_y).select("root", name.alias("pair"), "x", "y", "w")
+        .groupBy("root", "pair", "x", "y").agg(F.sum("w").alias("w"))
     )
-    discordant = across.unionByName(inside).groupBy("pair").agg(F.sum("d").alias("d"))
+    sizes = checkpoint(inside.groupBy("pair").agg(F.count(F.lit(1)).alias("n")))
+    large = sizes.filter(F.col("n") > limit).select("pair")
+    if large.isEmpty():
+        local, again = inside, None
+    else:
+        local = inside.join(sizes.filter(F.col("n") <= limit).select("pair"), "pair", "left_semi")
+        again = _discordance(inside.join(large, "pair", "left_semi").select("root", "pair", "x", "y", "w"), cuts, limit)
+    counted = local.groupBy("root", "pair").applyInPandas(_local_discordance, "root int, d double")
+    parts = across.unionByName(counted)
+    parts = parts if again is None else parts.unionByName(again)
+    return parts.groupBy("root").agg(F.sum("d").alias("d"))
+
+
+def correlation_kendall(df: DataFrame, columns=None, cuts: int | None = None, limit: int = CLASS_POINTS) -> DataFrame:
+    """Kendall's tau-b, exact; see ``_discordance`` for how the work is cut."""
+    names, pairs = _pairs(df, columns)
+    cuts = cuts or min(MAX_CUTS, max(16, 2 * shuffle_partitions(df.sparkSession)))
+    # Written once: the cuts, the class grid, the classes and the ties all read it.
+    points = checkpoint(_points(df, names, pairs))
+    named = points.select(F.col("pair").alias("root"), F.col("pair").cast("string").alias("pair"), "x", "y", "w")
+    discordant = _discordance(named, cuts, limit).withColumnRenamed("root", "pair")
     ties = _margins(points).groupBy("pair").agg(
         F.sum(F.when(F.col("side") == 0, F.col("t") * (F.col("t") - 1) / 2)).alias("n1"),
         F.sum(F.when(F.col("side") == 1, F.col("t") * (F.col("t") - 1) / 2)).alias("n2"),

@@ -126,3 +126,17 @@ def test_steps_can_be_released(spark):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_large_kendall_classes_are_cut_again(spark):
+    from gristmill.operators.rank_correlation import correlation_kendall
+
+    df = spark.range(400).selectExpr("pmod(id * 37, 101) AS a", "pmod(id * id, 83) AS b", "id % 7 AS c", "CASE WHEN id % 5 > 0 THEN id END AS d")
+    whole = {(r.column_a, r.column_b): r.r for r in correlation_kendall(df).collect()}
+    small = {(r.column_a, r.column_b): r.r for r in correlation_kendall(df, cuts=3, limit=10).collect()}
+    assert small == whole
+    values = [tuple(r) for r in df.select("a", "b").collect()]
+    score = sum((x > u) * 1.0 * ((y > v) - (y < v)) + (x < u) * 1.0 * ((y < v) - (y > v)) for i, (x, y) in enumerate(values) for u, v in values[:i])
+    n0 = len(values) * (len(values) - 1) / 2
+    tie = lambda k: sum(m * (m - 1) / 2 for m in __import__("collections").Counter(v[k] for v in values).values())
+    assert whole["a", "b"] == pytest.approx(score / ((n0 - tie(0)) * (n0 - tie(1))) ** 0.5, abs=1e-4)
