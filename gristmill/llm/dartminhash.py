@@ -12,9 +12,8 @@ cost nothing later. Classes that share a band are candidates, and every link is
 multisets themselves (on 32-bit hashes of runs: for texts of a million runs this may overstate
 a similarity by 0.0002).
 
-Large bands are never expanded into all pairs. Their members are dealt into small groups that
-are compared inside, and with the smallest member; then links are contracted to components. Where a
-large band still holds several of them, what such bands hold together is compared in full, in
+Large bands are never expanded into all pairs. Their members are compared with the smallest one;
+then links are contracted to components. Where a large band still holds several of them, what such bands hold together is compared in full, in
 pairs of blocks inside tasks that return spanning forests.
 
 Defined cases: a text of one to four words is one run; null texts and texts without words are
@@ -244,11 +243,12 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, group: int =
         known.where("n > 0").join(reps, "id", "left_semi").select("id", "n", F.explode("bands").alias("band")).distinct()
     )
     crowds = members.groupBy("band").agg(F.count("*").alias("crowd"), F.min(F.struct("id", "n")).alias("lead")).where("crowd > 1")
-    held = checkpoint(members.join(crowds, "band").withColumn("part", F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("crowd") / F.lit(group)).cast("long"))))
+    held = checkpoint(members.join(crowds, "band"))
     fits = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")
-    one = held.select("band", "part", F.col("id").alias("a"), F.col("n").alias("na"))
-    two = held.select("band", "part", F.col("id").alias("b"), F.col("n").alias("nb"))
-    inside = one.join(two, ["band", "part"]).where("a < b")
+    few = held.where(F.col("crowd") <= group)
+    one = few.select("band", F.col("id").alias("a"), F.col("n").alias("na"))
+    two = few.select("band", F.col("id").alias("b"), F.col("n").alias("nb"))
+    inside = one.join(two, "band").where("a < b")
     leading = held.where(F.col("crowd") > group).select(
         F.col("lead.id").alias("a"), F.col("lead.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")
     ).where("a < b")
