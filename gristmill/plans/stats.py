@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gristmill.functions.types import col
+from gristmill.plans.ordering import with_running_weight
+from gristmill.plans.session import checkpoint
 
 STATS = "__stats"
 ACCURACY = 10_000
@@ -41,56 +42,6 @@ def tidy(stats: DataFrame, rows: Sequence[dict[str, Column]]) -> DataFrame:
     return stats.select(F.inline(F.array(*structs)))
 
 
-@dataclass
-class _Bracket:
-    """Value range that holds ranks ``first..last`` (0-based) of one column."""
-
-    column: int
-    first: int
-    last: int
-    low: float
-    high: float
-    below: int
-    inside: int
-
-    def test(self) -> Column:
-        return F.col(f"v{self.column}").between(self.low, self.high)
-
-    def wide(self) -> bool:
-        return self.inside > WHOLE_BRACKET and self.low < self.high
-
-
-def _narrowed(values: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
-    """Shrink brackets with a sketch of the values inside, then recount exactly."""
-    delta = SLACK / accuracy
-    shares = [
-        (
-            max(0.0, (b.first - b.below) / b.inside - delta),
-            min(1.0, (b.last + 1 - b.below) / b.inside + delta),
-        )
-        for b in brackets
-    ]
-    row = values.agg(
-        *[
-            F.percentile_approx(F.when(b.test(), F.col(f"v{b.column}")), list(s), accuracy).alias(f"s{k}")
-            for k, (b, s) in enumerate(zip(brackets, shares))
-        ]
-    ).first()
-    for k, (b, (low, high)) in enumerate(zip(brackets, shares)):
-        if low > 0:
-            b.low = row[f"s{k}"][0]
-        if high < 1:
-            b.high = row[f"s{k}"][1]
-    row = values.agg(
-        *[F.count_if(F.col(f"v{b.column}") < b.low).alias(f"b{k}") for k, b in enumerate(brackets)],
-        *[F.count_if(b.test()).alias(f"i{k}") for k, b in enumerate(brackets)],
-    ).first()
-    for k, b in enumerate(brackets):
-        b.below, b.inside = row[f"b{k}"], row[f"i{k}"]
-        if b.first < b.below or b.last >= b.below + b.inside:
-            raise ArithmeticError("a quantile bracket missed its rank; raise the sketch accuracy")
-
-
 def quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -100,64 +51,76 @@ def quantiles(
 ) -> dict[tuple[int, int], float | None]:
     """Exact linearly interpolated quantiles ``{(i, j): quantile ps[j] of columns[i]}``.
 
-    The built-in exact ``percentile`` keeps every distinct value in one aggregation
-    buffer. Here a mergeable sketch brackets each quantile and the bracket is recounted
-    exactly; every round keeps less than a thousandth of the rows, until a bracket is
-    short enough to group and rank its values. The sketch decides how much work is left,
-    never the answer. Every job returns one row of a few numbers per column; as literals
-    they push down into the scans that use them.
+    The built-in exact ``percentile`` keeps every distinct value in one aggregation buffer.
+    Here the table is read twice. The first scan takes counts, extremes and a mergeable sketch
+    per column, which brackets each quantile; the second counts, for each bracket, the rows
+    below it and every distinct value inside, and is written. Ranks are then found on that
+    small table; a bracket that holds many values (of a quantile on the edge of heavy ones,
+    say) is ranked in contiguous ranges. The sketch decides how much work is left, never the
+    answer. Only a few numbers per column reach the driver; as literals they push down into the
+    scans that use them.
     """
     values = df.select(
         *[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
     )
-    targets = [(i, j) for i in range(len(columns)) for j in range(len(ps))]
+    every = range(len(columns))
+    targets = [(i, j) for i in every for j in range(len(ps))]
     if approx:
         row = values.agg(
-            *[F.percentile_approx(f"v{i}", list(ps), accuracy).alias(f"s{i}") for i in range(len(columns))]
+            *[F.percentile_approx(f"v{i}", list(ps), accuracy).alias(f"s{i}") for i in every]
         ).first()
         return {(i, j): row[f"s{i}"][j] if row[f"s{i}"] else None for i, j in targets}
+    delta = SLACK / accuracy
+    shares = [s for p in ps for s in (max(0.0, p - delta), min(1.0, p + delta))]
     row = values.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
-        *[F.min(f"v{i}").alias(f"lo{i}") for i in range(len(columns))],
-        *[F.max(f"v{i}").alias(f"hi{i}") for i in range(len(columns))],
+        *[F.count(f"v{i}").alias(f"n{i}") for i in every],
+        *[F.min(f"v{i}").alias(f"lo{i}") for i in every],
+        *[F.max(f"v{i}").alias(f"hi{i}") for i in every],
+        *[F.percentile_approx(f"v{i}", shares, accuracy).alias(f"s{i}") for i in every],
     ).first()
     position = {(i, j): (row[f"n{i}"] - 1) * ps[j] for i, j in targets if row[f"n{i}"]}
     if not position:
         return dict.fromkeys(targets)
+    brackets: dict[tuple[int, float, float], int] = {}
     of = {}
-    shared: dict[int, _Bracket] = {}
-    for (i, j), at in position.items():
-        bracket = _Bracket(
-            i, math.floor(at), math.ceil(at), row[f"lo{i}"], row[f"hi{i}"], 0, row[f"n{i}"]
+    for i, j in position:
+        low, high = row[f"lo{i}"], row[f"hi{i}"]
+        if row[f"n{i}"] > WHOLE_BRACKET:  # the quantiles of a short column rank the same values once
+            low = low if shares[2 * j] == 0 else row[f"s{i}"][2 * j]
+            high = high if shares[2 * j + 1] == 1 else row[f"s{i}"][2 * j + 1]
+        of[i, j] = brackets.setdefault((i, low, high), len(brackets))
+    number = F.lit(None).cast("double")
+    entries = [
+        F.when(F.col(f"v{i}") < low, F.struct(F.lit(k).alias("b"), number.alias("v"))).when(
+            F.col(f"v{i}") <= high, F.struct(F.lit(k).alias("b"), F.col(f"v{i}").alias("v"))
         )
-        # The quantiles of a short column rank the same values once.
-        of[i, j] = bracket if bracket.wide() else shared.setdefault(i, bracket)
-    wide = [b for b in of.values() if b.wide()]
-    while wide:
-        before = [(b.low, b.high) for b in wide]
-        _narrowed(values, wide, accuracy)
-        wide = [b for b, was in zip(wide, before) if b.wide() and (b.low, b.high) != was]
-
-    brackets = list({id(b): b for b in of.values()}.values())
-    number = {id(b): k for k, b in enumerate(brackets)}
-    anywhere = None
-    for b in brackets:
-        anywhere = b.test() if anywhere is None else anywhere | b.test()
-    entries = F.array(
-        *[
-            F.when(b.test(), F.struct(F.lit(k).alias("b"), F.col(f"v{b.column}").alias("v")))
-            for k, b in enumerate(brackets)
-        ]
-    )
-    counted = (
-        values.filter(anywhere).select(F.inline(F.array_compact(entries))).groupBy("b", "v").count()
-    )
-    ranked = counted.withColumn("upto", F.sum("count").over(Window.partitionBy("b").orderBy("v")))
+        for (i, low, high), k in brackets.items()
+    ]
+    counted = checkpoint(values.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("b", "v").count())
+    below = {k: 0 for k in brackets.values()}
+    inside = dict(below)
+    longest = 0
+    for r in counted.groupBy("b").agg(
+        F.sum(F.when(F.col("v").isNull(), F.col("count"))).alias("below"),
+        F.sum(F.when(F.col("v").isNotNull(), F.col("count"))).alias("inside"),
+        F.count("v").alias("values"),
+    ).collect():
+        below[r["b"]], inside[r["b"]] = r["below"] or 0, r["inside"] or 0
+        longest = max(longest, r["values"])
+    for place, at in position.items():
+        k = of[place]
+        if math.floor(at) < below[k] or math.ceil(at) >= below[k] + inside[k]:
+            raise ArithmeticError("a quantile bracket missed its rank; raise the sketch accuracy")
+    held = counted.filter(F.col("v").isNotNull())
+    if longest > WHOLE_BRACKET:
+        ranked = with_running_weight(held, ["b"], "v", "count", "before").withColumn("upto", F.col("before") + F.col("count"))
+    else:
+        ranked = held.withColumn("upto", F.sum("count").over(Window.partitionBy("b").orderBy("v")))
     picks = []
     for (i, j), at in position.items():
-        b = of[i, j]
+        k = of[i, j]
         for name, rank in (("low", math.floor(at)), ("high", math.ceil(at))):
-            wanted = (F.col("b") == number[id(b)]) & (F.col("upto") > rank - b.below)
+            wanted = (F.col("b") == k) & (F.col("upto") > rank - below[k])
             picks.append(F.min(F.when(wanted, F.col("v"))).alias(f"{name}{i}_{j}"))
     found = ranked.agg(*picks).first()
     out: dict[tuple[int, int], float | None] = dict.fromkeys(targets)

@@ -140,3 +140,23 @@ def test_large_kendall_classes_are_cut_again(spark):
     n0 = len(values) * (len(values) - 1) / 2
     tie = lambda k: sum(m * (m - 1) / 2 for m in __import__("collections").Counter(v[k] for v in values).values())
     assert whole["a", "b"] == pytest.approx(score / ((n0 - tie(0)) * (n0 - tie(1))) ** 0.5, abs=1e-4)
+
+
+@pytest.mark.parametrize("bound", [200_000, 50])
+def test_quantiles_on_the_edge_of_heavy_values(spark, monkeypatch, bound):
+    import numpy as np
+
+    from gristmill.plans import stats
+
+    monkeypatch.setattr(stats, "WHOLE_BRACKET", bound)
+    df = spark.range(20_000).selectExpr(
+        "CASE WHEN id < 9990 THEN 0D WHEN id < 10010 THEN id / 1000 ELSE 50D END AS a", "CAST(pmod(id * 7919, 20000) AS DOUBLE) AS b",
+        "CASE WHEN id % 3 = 0 THEN NULL ELSE sqrt(id) END AS c", "CAST(NULL AS DOUBLE) AS d",
+    )
+    ps = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = stats.quantiles(df, ["a", "b", "c", "d"], ps)
+    rows = df.toPandas()
+    for i, c in enumerate("abc"):
+        want = np.quantile(rows[c].dropna(), ps)
+        assert [got[i, j] for j in range(len(ps))] == pytest.approx(list(want), abs=1e-12)
+    assert all(got[3, j] is None for j in range(len(ps)))
