@@ -11,7 +11,7 @@ from gristmill.functions.text import to_text
 from gristmill.functions.types import as_list, col, is_numeric, require_columns, require_range
 from gristmill.operators.eda import sample_order
 from gristmill.plans.ordering import with_row_number
-from gristmill.plans.session import BROADCAST_ROWS, checkpoint, sized
+from gristmill.plans.session import checkpoint, is_small, sized
 from gristmill.plans.stats import attach, stat
 
 MIN_ROWS = 10
@@ -46,7 +46,7 @@ class TextCodes:
     """Sorted integer codes of text columns, kept as one dictionary table.
 
     ``codes`` has rows ``(column, value, code)``. It may be large, so it is joined, not
-    collected; the join is a broadcast only when its row count allows.
+    collected; the join is a broadcast only when its rows and bytes allow.
     """
 
     def __init__(self, columns: Sequence[str], codes: DataFrame | None):
@@ -96,9 +96,9 @@ class TextCodes:
         return out.select(*[exprs[c].alias(c) if c in exprs else col(c) for c in df.columns])
 
     def _small(self) -> bool:
-        if not hasattr(self, "_rows"):
-            self._rows = self.codes.count()
-        return self._rows <= BROADCAST_ROWS
+        if not hasattr(self, "_fits"):
+            self._fits = is_small(self.codes)
+        return self._fits
 
     def labels(self, column: str) -> DataFrame:
         return self.codes.filter(F.col("column") == column).orderBy("code").select("value", "code")

@@ -87,7 +87,12 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     larger table keeps the join strategy the optimizer picks (with adaptive skew splitting).
     """
     written = checkpoint(df)
-    texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    return F.broadcast(written) if is_small(written, rows, size) else written
+
+
+def is_small(written: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table has at most so many rows and bytes of text."""
+    texts = [f.name for f in written.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0)).cast("long")
     found, used = written.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    return F.broadcast(written) if found <= rows and used <= size else written
+    return found <= rows and used <= size

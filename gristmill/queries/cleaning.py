@@ -537,3 +537,18 @@ def q_add_column_overflow(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey * 1000000000000000L AS a", "10000L AS b"
     )
     return C.add_column(lines, "p", "multiply", "a", "b")
+
+
+@query("SELECT c_custkey, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c_nationkey, true AS marked FROM customer")
+def q_cast_category(spark, sf):
+    """Values stay as text, nulls stay null, and the column carries its logical type."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    made = C.cast(rows, {"c_mktsegment": "category", "c_nationkey": "category"})
+    marked = all(made.schema[c].metadata == {C.LOGICAL_TYPE: "category"} for c in ("c_mktsegment", "c_nationkey"))
+    return made.withColumn("marked", F.lit(marked))
+
+
+@query("SELECT c_custkey AS customer_key, c_name AS full_name FROM customer")
+def q_normalize_columns(spark, sf):
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias(" Customer  Key "), F.col("c_name").alias("FULL name"))
+    return C.normalize_columns(rows)
