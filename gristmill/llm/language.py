@@ -100,28 +100,41 @@ def fit(labelled: DataFrame, per_language: int = 400, longest: int = 20_000) ->
 
 
 def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` without ``text``, plus ``evidence`` (tempered log-likelihoods) and ``grams``."""
+    """``rows`` without ``text``, plus ``evidence`` (tempered log-likelihoods), ``share`` (the
+    posterior of the text alone, zeros without letters) and ``grams``."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in rows.columns if c != "text"]
     inner = rows.select(*keep, F.col("text").cast("string").alias("text"))
-    width = len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 found, grams = shared.value.likelihoods(*text_bytes(part.column("text")))
-                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * width)
-                evidence = pa.ListArray.from_arrays(offsets, pa.array((TEMPER * found).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], evidence, pa.array(grams)], [*keep, "evidence", "grams"])
+                evidence = TEMPER * found
+                share = softmax(evidence) * (grams > 0)[:, None]
+                made = [lists(evidence), lists(share), pa.array(grams)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*keep, "evidence", "share", "grams"])
 
     schema = ", ".join(f"{c} {inner.schema[c].dataType.simpleString()}" for c in keep)
-    return inner.mapInArrow(run, f"{schema}, evidence array<double>, grams long")
+    return inner.mapInArrow(run, f"{schema}, evidence array<double>, share array<double>, grams long")
+
 
+def softmax(values: np.ndarray) -> np.ndarray:
+    raised = np.exp(values - values.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
 
-def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    raised = F.transform(values, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
+
+def lists(matrix: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.reshape(-1)))
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of ``width`` numbers as a matrix; a null is a row of NaN."""
+    out = np.full((len(column), width), np.nan)
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
 
 
 def summed(name: str, width: int) -> Column:
@@ -146,14 +159,11 @@ def identify(rows: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     is accepted if it has letters, is not ``und`` and its posterior reaches ``least``.
     """
     width = len(model.languages)
-    scored = text_evidence(rows, model).withColumn(
-        "share", F.when(F.col("grams") > 0, softmax(F.col("evidence"))).otherwise(F.array(*[F.lit(0.0)] * width))
-    )
-    scored = checkpoint(scored)
+    scored = checkpoint(text_evidence(rows, model))
     whole = scored.agg(summed("share", width)).first()[0] or [0.0] * width
     whole = [x or 0.0 for x in whole]
     total = sum(whole)
-    everywhere = F.array(*[F.lit((x + 1.0) / (total + width)) for x in whole])
+    everywhere = np.array([(x + 1.0) / (total + width) for x in whole])
     tables = {}
     for level in ("host", "domain"):
         tables[level] = small(scored.where(F.col(level).isNotNull()).groupBy(F.col(level).alias(f"__{level}")).agg(summed("share", width).alias(f"n_{level}")))
@@ -163,28 +173,33 @@ def identify(rows: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     for name, counted in tables.items():
         found = found.join(counted, F.col(name) == F.col(f"__{name}"), "left").drop(f"__{name}")
 
-    def smoothed(counts: str, parent: Column) -> Column:
-        others = F.zip_with(counts, "share", lambda n, own: F.greatest(n - own, F.lit(0.0)))
-        size = F.aggregate(others, F.lit(0.0), lambda s, x: s + x)
-        mixed = F.zip_with(others, parent, lambda n, p: (n + WEIGHT * p) / (size + WEIGHT))
-        return F.when(F.col(counts).isNotNull(), mixed).otherwise(parent)
-
-    found = found.withColumn("prior", smoothed("n_domain", everywhere)).withColumn("prior", smoothed("n_host", F.col("prior")))
-    nothing = F.array(*[F.lit(0.0)] * width)
-    fused = F.zip_with("evidence", "prior", lambda e, p: e + F.log(p))
-    for kind in ("declared", "suffix"):
-        fused = F.zip_with(fused, F.coalesce(f"p_{kind}", nothing), lambda a, b: a + b)
-    found = found.withColumn("posterior", softmax(fused))
-    names = F.array(*[F.lit(x) for x in model.languages])
-    best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
-    letters = F.col("grams") > 0
     keep = [c for c in rows.columns if c not in ("text", "declared", "suffix", "domain", "host")]
-    return found.select(
-        *keep,
-        F.when(letters, best(F.col("posterior"))).otherwise(NONE).alias("lang"),
-        F.when(letters, F.array_max("posterior")).otherwise(0.0).alias("confidence"),
-        F.when(letters, best(F.col("share"))).otherwise(NONE).alias("text_lang"),
-    ).withColumn("accepted", (F.col("lang") != NONE) & (F.col("confidence") >= least))
+    names = np.array(model.languages)
+
+    def smoothed(counts: np.ndarray, own: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Dirichlet mean of the other rows' counts and the parent; the parent where there are none."""
+        others = np.maximum(counts - own, 0.0)
+        mixed = (others + WEIGHT * parent) / (others.sum(axis=1, keepdims=True) + WEIGHT)
+        return np.where(np.isnan(mixed), parent, mixed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = {c: matrix(batch.column(c), width) for c in ("evidence", "share", "n_host", "n_domain", "p_declared", "p_suffix")}
+            prior = smoothed(part["n_domain"], part["share"], np.broadcast_to(everywhere, part["share"].shape))
+            prior = smoothed(part["n_host"], part["share"], prior)
+            said = np.nan_to_num(part["p_declared"]) + np.nan_to_num(part["p_suffix"])
+            posterior = softmax(part["evidence"] + np.log(prior) + said)
+            letters = batch.column("grams").to_numpy() > 0
+            best = np.where(letters, names[posterior.argmax(axis=1)], NONE)
+            confidence = np.where(letters, posterior.max(axis=1), 0.0)
+            alone = np.where(letters, names[part["share"].argmax(axis=1)], NONE)
+            made = [pa.array(best, pa.string()), pa.array(confidence), pa.array(alone, pa.string()), pa.array((best != NONE) & (confidence >= least))]
+            kept = batch.select(keep)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *made], [*keep, "lang", "confidence", "text_lang", "accepted"])
+
+    used = found.select(*keep, "evidence", "share", "n_host", "n_domain", "p_declared", "p_suffix", "grams")
+    schema = "".join(f"{c} {used.schema[c].dataType.simpleString()}, " for c in keep)
+    return used.mapInArrow(run, f"{schema}lang string, confidence double, text_lang string, accepted boolean")
 
 
 def subtag(declared: Column) -> Column:
