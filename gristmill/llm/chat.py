@@ -31,6 +31,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gristmill.llm.tables import in_batches
 from gristmill.plans.ordering import with_row_number
 from gristmill.plans.session import checkpoint
 
@@ -135,7 +136,7 @@ def encoded(nodes: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept.columns, *made], [*kept.schema.names, "tokens", "loss_start", "loss_end"])
 
     schema = "node string, tree string, leaf_no long, depth int, tokens array<int>, loss_start int, loss_end int"
-    return nodes.select("node", "tree", "leaf_no", "depth", "role", "text").mapInArrow(run, schema)
+    return in_batches(nodes.select("node", "tree", "leaf_no", "depth", "role", "text"), run, schema)
 
 
 def merged(line: Column) -> Column:
@@ -228,7 +229,7 @@ def read_back(stream: Packed, ranks: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=ARROW)
 
     schema = "leaf_no long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return stream.members.join(whole.mapInArrow(run, schema), "leaf_no").drop("leaf_no")
+    return stream.members.join(in_batches(whole, run, schema), "leaf_no").drop("leaf_no")
 
 
 ARROW = pa.schema([

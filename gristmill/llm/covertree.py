@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gristmill.llm.tables import components, forest, small
+from gristmill.llm.tables import components, forest, in_batches, small
 from gristmill.plans.session import checkpoint
 
 BLOCK = 2048
@@ -247,7 +247,7 @@ def linked(points: DataFrame, cosine: float, block: int = BLOCK, centres: int =
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
-    placed = checkpoint(points.mapInArrow(place, f"{schema}, cell int, away double"))
+    placed = checkpoint(in_batches(points, place, f"{schema}, cell int, away double"))
     cells = checkpoint(placed.groupBy("kind", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")))
     part = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
     dealt = placed.join(small(cells.select("kind", "cell", "blocks")), ["kind", "cell"]).withColumn("part", part)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gristmill.llm.tables import components, forest
+from gristmill.llm.tables import components, forest, in_batches
 from gristmill.llm.words import ORDER, longs, mix, runs, slices, words_of
 from gristmill.plans.session import checkpoint
 
@@ -123,7 +123,7 @@ def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
                 yield pa.RecordBatch.from_arrays(columns, ["id", "s1", "s2", "n", "bands"])
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id long, s1 long, s2 long, n long, bands array<long>")
+    return in_batches(chosen, run, "id long, s1 long, s2 long, n long, bands array<long>")
 
 
 def multisets(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def multisets(documents: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "runs"])
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id long, runs binary").join(ids, "id", "left_semi")
+    return in_batches(chosen, run, "id long, runs binary").join(ids, "id", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -163,7 +163,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("runs").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("runs").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return in_batches(both, run, "a long, b long")
 
 
 def shared_count(p: np.ndarray, q: np.ndarray, both: np.ndarray) -> int:

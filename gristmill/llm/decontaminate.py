@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gristmill.llm.tables import in_batches
 from gristmill.llm.words import cut, hash_words, slices, text_bytes
 
 RUN = 5
@@ -289,7 +290,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similarity: float =
     body = names[list(keep).index("text")] if "text" in keep else "body"
     for held in shards(benchmark, shard_items, shard_chars):
         indexes = documents.sparkSession.sparkContext.broadcast(build(held, similarity))
-        rows = rows.mapInArrow(matcher(indexes, similarity, body), rows.schema)
+        rows = in_batches(rows, matcher(indexes, similarity, body), rows.schema)
     return rows.select(schema.names).toDF(*keep, "items", "best_score")
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gristmill.llm.decontaminate import GAP, folded
-from gristmill.llm.tables import small
+from gristmill.llm.tables import in_batches, small
 from gristmill.llm.words import slices, text_bytes
 from gristmill.plans.session import checkpoint
 
@@ -116,7 +116,7 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*keep, "evidence", "share", "grams"])
 
     schema = ", ".join(f"{c} {inner.schema[c].dataType.simpleString()}" for c in keep)
-    return inner.mapInArrow(run, f"{schema}, evidence array<double>, share array<double>, grams long")
+    return in_batches(inner, run, f"{schema}, evidence array<double>, share array<double>, grams long")
 
 
 def softmax(values: np.ndarray) -> np.ndarray:
@@ -199,7 +199,7 @@ def identify(rows: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     used = found.select(*keep, "evidence", "share", "n_host", "n_domain", "p_declared", "p_suffix", "grams")
     schema = "".join(f"{c} {used.schema[c].dataType.simpleString()}, " for c in keep)
-    return used.mapInArrow(run, f"{schema}lang string, confidence double, text_lang string, accepted boolean")
+    return in_batches(used, run, f"{schema}lang string, confidence double, text_lang string, accepted boolean")
 
 
 def subtag(declared: Column) -> Column:
@@ -247,7 +247,7 @@ def page_rows(pages: DataFrame, *keep: str) -> DataFrame:
         F.when(F.size(labels) > 1, F.concat_ws(".", F.slice(labels, -2, 2))).alias("domain"), "host", "html",
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "html")
-    return rows.mapInArrow(run, f"{schema}, text string")
+    return in_batches(rows, run, f"{schema}, text string")
 
 
 def accepted_documents(documents: DataFrame, least: float = 0.5) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gristmill.llm.tables import small
+from gristmill.llm.tables import in_batches, small
 from gristmill.llm.words import slices, words_of
 from gristmill.plans.ordering import with_row_number
 from gristmill.plans.session import checkpoint
@@ -52,7 +52,7 @@ def count_words(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], counts], [*part.schema.names[:-1], "size"])
 
     schema = ", ".join(f"k{i} {chosen.schema[i].dataType.simpleString()}" for i in range(len(keep)))
-    return chosen.mapInArrow(sizes, f"{schema}, size long").toDF(*keep, "size")
+    return in_batches(chosen, sizes, f"{schema}, size long").toDF(*keep, "size")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:

@@ -7,9 +7,10 @@ and in which document first. To keep the automata small, only what can repeat is
 1. Every window names the least hash among its five-word runs, its anchor. Equal windows have
    equal anchors, so an anchor that only one document has rules all its windows out. This takes
    one grouped count over all documents.
-2. Neighbouring windows with a shared anchor form a piece of text. Equal pieces of an anchor are
-   read once, with the first document that has them.
-3. Pieces are dealt into shards by anchor. One task builds the automaton of a shard, in the order
+2. Neighbouring windows with a shared anchor form a piece of text, named by a 128-bit hash of its
+   words. If all pieces of an anchor are equal, their windows are its first document's.
+3. Where an anchor has several different pieces, the first document of each sends its words.
+   They are dealt into shards by anchor. One task builds the automaton of a shard, in the order
    of first documents, and streams the shard's pieces through it. An anchor with very many
    different pieces would make a shard too large: its windows are grouped one by one instead.
 4. Each document gets the windows to remove back as bit masks, and is read a last time.
@@ -31,8 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gristmill.llm.tables import in_batches, settled, small
 from gristmill.llm.words import Words, longs, mix, runs, slices, span_hashes, words_of
-from gristmill.plans.session import checkpoint
 
 WINDOW, RUN = 13, 5
 PIECE = 64  # windows in a piece at most, the bits of a mask
@@ -80,66 +81,82 @@ def document_anchors(texts: DataFrame, window: int) -> DataFrame:
                 ids = part.column("doc").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([longs(anchor[first]), pa.array(ids[owner[first]])], ["anchor", "doc"])
 
-    return texts.mapInArrow(run, "anchor long, doc long")
+    return in_batches(texts, run, "anchor long, doc long")
+
+
+def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the row of each; null lists are empty."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return values, np.repeat(np.arange(len(column)), sizes)
+
+
+def among(values: np.ndarray, rows: np.ndarray, known: np.ndarray, known_rows: np.ndarray) -> np.ndarray:
+    """Which of the values are in the list of their row."""
+    salt = np.uint64(0x9FB21C651E98DF25)
+    listed = np.sort(mix(known + known_rows.astype(np.uint64) * salt))
+    if not len(listed):
+        return np.zeros(len(values), dtype=bool)
+    own = mix(values + rows.astype(np.uint64) * salt)
+    place = np.searchsorted(listed, own)
+    place[place == len(listed)] = 0
+    return listed[place] == own
+
+
+def cut_pieces(part: pa.RecordBatch, window: int) -> tuple:
+    """Words of the texts of a batch, and its pieces: text, first word, windows, anchor, p1, p2."""
+    words = words_of(part.column("text"))
+    hashes, owner = words.hashes(), words.owner()
+    start, anchor = anchors(words, hashes, window)
+    of = owner[start]
+    hit = among(anchor, of, *flat_lists(part.column("shared")))
+    start, anchor, of = start[hit], anchor[hit], of[hit]
+    fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(start) != 1) | (of[1:] != of[:-1])][: len(start)]
+    opened = np.flatnonzero(fresh)
+    inside = np.arange(len(start)) - np.repeat(opened, np.diff(np.r_[opened, len(start)]))
+    opened = np.flatnonzero(inside % PIECE == 0)
+    windows = np.diff(np.r_[opened, len(start)])
+    low = start[opened]
+    p1, p2 = (span_hashes(hashes, low, low + windows + window - 1, s) for s in (1, 2))
+    return words, of[opened], low, windows, anchor[opened], p1, p2
+
+
+def occurrences(listed: DataFrame, window: int) -> DataFrame:
+    """Where the pieces of ``listed(doc, text, shared)`` stand, without their words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, of, low, windows, anchor, p1, p2 = cut_pieces(part, window)
+                ids = part.column("doc").to_numpy(zero_copy_only=False)
+                columns = [
+                    longs(anchor), longs(p1), longs(p2), pa.array(ids[of]),
+                    pa.array((low - words.first[of]).astype(np.int32)), pa.array(windows.astype(np.int32)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "p1", "p2", "doc", "start", "windows"])
 
-def pieces(listed: DataFrame, window: int) -> DataFrame:
-    """Pieces of the texts of ``listed(doc, text, shared)``.
+    return in_batches(listed, run, "anchor long, p1 long, p2 long, doc long, start int, windows int")
 
-    ``anchor, p1, p2`` name a piece, ``doc, start, windows`` place it. ``words`` holds its words
-    where a task meets the piece for the first time, else null.
-    """
+
+def asked_words(listed: DataFrame, window: int) -> DataFrame:
+    """``anchor, p1, p2, first, words`` of the pieces whose ``p1`` is in ``asked``, once per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                yield cut(part, seen)
-
-    def cut(part: pa.RecordBatch, seen: set) -> pa.RecordBatch:
-        words = words_of(part.column("text"))
-        hashes, owner = words.hashes(), words.owner()
-        start, anchor = anchors(words, hashes, window)
-        of = owner[start]
-        shared = part.column("shared")
-        sizes = np.nan_to_num(shared.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-        known = shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        text = np.repeat(np.arange(part.num_rows), sizes).astype(np.uint64)
-        salt = np.uint64(0x9FB21C651E98DF25)
-        known = np.sort(mix(known + text * salt))
-        own = mix(anchor + of.astype(np.uint64) * salt)
-        place = np.searchsorted(known, own)
-        place[place == len(known)] = 0
-        hit = known[place] == own if len(known) else np.zeros(len(own), dtype=bool)
-        start, anchor, of = start[hit], anchor[hit], of[hit]
-        fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(start) != 1) | (of[1:] != of[:-1])][: len(start)]
-        opened = np.flatnonzero(fresh)
-        inside = np.arange(len(start)) - np.repeat(opened, np.diff(np.r_[opened, len(start)]))
-        opened = np.flatnonzero(inside % PIECE == 0)
-        windows = np.diff(np.r_[opened, len(start)])
-        low = start[opened]
-        high = low + windows + window - 1
-        p1, p2 = (span_hashes(hashes, low, high, s).view(np.int64) for s in (1, 2))
-        said = []
-        data = part.num_rows and words.data.tobytes()
-        begins, ends = words.starts.tolist(), words.ends.tolist()
-        for a, b, key in zip(low.tolist(), high.tolist(), zip(p1.tolist(), p2.tolist())):
-            if key in seen:
-                said.append(None)
-            else:
-                if len(seen) < 200_000:
-                    seen.add(key)
-                said.append(b" ".join(data[begins[i] : ends[i]] for i in range(a, b)).decode())
-        ids = part.column("doc").to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays(
-            [
-                longs(anchor[opened]), pa.array(p1), pa.array(p2), pa.array(ids[of[opened]]),
-                pa.array((low - words.first[of[opened]]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(said, pa.string()),
-            ],
-            ["anchor", "p1", "p2", "doc", "start", "windows", "words"],
-        )
-
-    return listed.mapInArrow(run, "anchor long, p1 long, p2 long, doc long, start int, windows int, words string")
+                words, of, low, windows, anchor, p1, p2 = cut_pieces(part, window)
+                wanted = np.flatnonzero(among(p1, of, *flat_lists(part.column("asked"))))
+                wanted = wanted[np.sort(np.unique(mix(p1[wanted] + of[wanted].astype(np.uint64)), return_index=True)[1])]
+                data, begins, ends = words.data.tobytes(), words.starts, words.ends
+                said = []
+                for k in wanted:
+                    a, b = low[k], low[k] + windows[k] + window - 1
+                    said.append(b" ".join(data[x:y] for x, y in zip(begins[a:b].tolist(), ends[a:b].tolist())).decode())
+                ids = part.column("doc").to_numpy(zero_copy_only=False)
+                columns = [longs(anchor[wanted]), longs(p1[wanted]), longs(p2[wanted]), pa.array(ids[of[wanted]]), pa.array(said, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "p1", "p2", "first", "words"])
+
+    return in_batches(listed, run, "anchor long, p1 long, p2 long, first long, words string")
 
 
 class Automaton:
@@ -229,24 +246,22 @@ def read_shard(window: int):
     return run
 
 
-def first_documents(different: DataFrame, window: int, crowd: int, shard: int) -> DataFrame:
-    """``anchor, p1, p2, firsts``: the first document of each window of each different piece."""
-    counts = different.groupBy("anchor").agg(F.count("*").alias("n"))
-    sized = different.join(counts, "anchor")
-    alone = sized.where("n = 1").select("anchor", "p1", "p2", F.expr("array_repeat(first, windows)").alias("firsts"))
-    shards = max(1, math.ceil(different.count() / shard))
-    dealt = sized.where((F.col("n") > 1) & (F.col("n") <= crowd)).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    read = dealt.select("shard", "anchor", "p1", "p2", "first", "words").groupBy("shard").applyInArrow(
-        read_shard(window), "anchor long, p1 long, p2 long, firsts array<long>"
-    )
-    many = sized.where(F.col("n") > crowd).select("anchor", "p1", "p2", "first", F.split("words", " ").alias("w"), "windows")
-    single = many.select("anchor", "p1", "p2", "first", "w", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("at"))
-    single = single.select("anchor", "p1", "p2", "first", "at", F.array_join(F.slice("w", F.col("at") + 1, window), " ").alias("said"))
-    least = single.groupBy("said").agg(F.min("first").alias("least"))
-    crowded = single.join(least, "said").groupBy("anchor", "p1", "p2").agg(
+def first_documents(said: DataFrame, crowded: DataFrame, pieces: int, window: int, shard: int) -> DataFrame:
+    """``anchor, p1, p2, firsts``: the first document of each window of the pieces ``said``.
+
+    Words travel once, to the shard of their anchor; only the crowded anchors are looked up.
+    """
+    shards = max(1, math.ceil(pieces / shard))
+    dealt = said.join(crowded, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    read = dealt.groupBy("shard").applyInArrow(read_shard(window), "anchor long, p1 long, p2 long, firsts array<long>")
+    many = said.join(crowded, "anchor", "left_semi").withColumn("w", F.split("words", " "))
+    single = many.select("anchor", "p1", "p2", "first", "w", F.explode(F.sequence(F.lit(0), F.size("w") - window)).alias("at"))
+    single = single.select("anchor", "p1", "p2", "first", "at", F.array_join(F.slice("w", F.col("at") + 1, window), " ").alias("window"))
+    least = single.groupBy("window").agg(F.min("first").alias("least"))
+    ruled = single.join(least, "window").groupBy("anchor", "p1", "p2").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("firsts")
     )
-    return alone.union(read).union(crowded)
+    return read.union(ruled)
 
 
 def removals(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
@@ -254,12 +269,19 @@ def removals(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD, sha
     texts = documents.select("doc_id", *keyed(documents))
     grams = document_anchors(texts.select("doc", "text"), window)
     shared = grams.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor")
-    lists = checkpoint(grams.join(shared, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("anchor").alias("shared")))
-    found = pieces(texts.join(lists, "doc", "left").select("doc", "text", "shared"), window)
-    different = checkpoint(
-        found.groupBy("anchor", "p1", "p2").agg(F.min("doc").alias("first"), F.max("windows").alias("windows"), F.max("words").alias("words"))
-    )
-    firsts = first_documents(different, window, crowd, shard)
+    lists = settled(grams.join(shared, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("anchor").alias("shared")))
+    # With its id, though unused there, each pass reads the exchange that the last join reads.
+    listed = texts.join(lists, "doc", "left").select("doc_id", "doc", "text", "shared")
+    found = occurrences(listed, window)
+    different = settled(found.groupBy("anchor", "p1", "p2").agg(F.min("doc").alias("first"), F.max("windows").alias("windows")))
+    counts = different.groupBy("anchor").agg(F.count("*").alias("n"))
+    sized = settled(different.join(counts, "anchor"))
+    alone = sized.where("n = 1").select("anchor", "p1", "p2", F.expr("array_repeat(first, windows)").alias("firsts"))
+    several = sized.where("n > 1")
+    crowded = small(several.where(F.col("n") > crowd).select("anchor").distinct())
+    asked = several.groupBy(F.col("first").alias("doc")).agg(F.collect_list("p1").alias("asked"))
+    said = asked_words(listed.join(asked, "doc", "left"), window)
+    firsts = alone.union(first_documents(said, crowded, several.count(), window, shard))
     bits = F.transform("firsts", lambda f, i: F.when(f < F.col("doc"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     masks = (
         found.select("anchor", "p1", "p2", "doc", "start").join(firsts, ["anchor", "p1", "p2"])
@@ -303,5 +325,5 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CRO
 
     judged = removals(documents, window, crowd, shard).select("doc_id", "text", "places")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return judged.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return in_batches(judged, run, f"doc_id {kind}, n_words long, n_removed long, kept string")
 

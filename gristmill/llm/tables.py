@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -12,6 +15,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
+def in_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size.
+
+    Sets two settings of the session: a batch holds at most a thousand rows and about 16 MB, so
+    that neither the JVM's buffers nor the Python workers grow with the length of the texts.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (names ignore case)."""
     taken = {c.lower() for c in df.columns}
@@ -34,7 +51,6 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    before = None
     for _ in range(rounds):
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
@@ -51,12 +67,13 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
             .distinct()
         )
         pairs = checkpoint(small)
-        now = pairs.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if now == before:
+        # Done when all are stars: who points somewhere does so once, and nobody points at it.
+        seen = pairs.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("back")).union(
+            pairs.select("v", F.lit(0), F.lit(1))
+        )
+        open_ends = seen.groupBy("id").agg(F.sum("out").alias("out"), F.max("back").alias("back"))
+        if open_ends.where("out > 1 OR (out > 0 AND back > 0)").isEmpty():
             break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     tops = pairs.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
@@ -82,6 +99,21 @@ def forest(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         label = new
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint after which Spark may drop the shuffle files of the finished step.
+
+    Spark removes them when the driver's garbage is collected, which a driver that only plans
+    does too rarely for steps that shuffle more than their result.
+    """
+    written = checkpoint(df)
+    del df
+    for _ in range(2):  # the first round lets go of what the second finds unused
+        gc.collect()
+        written.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(1)
+    return written
+
+
 SMALL_ROWS = 100_000
 SMALL_BYTES = 16 << 20
 

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gristmill.llm.tables import in_batches
 from gristmill.llm.words import BLANK, cut, mix, slices, text_bytes
 
 MARK = "▁"
@@ -193,4 +194,4 @@ def token_counts(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     chosen = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, n_tokens long, best_score double")
+    return in_batches(chosen, run, f"doc_id {kind}, n_tokens long, best_score double")

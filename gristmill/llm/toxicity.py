@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gristmill.llm.tables import in_batches
 from gristmill.llm.words import Words, cut, slices, text_bytes
 
 ORDER, SPAN, DECAY = 4, 6, 0.5
@@ -380,7 +381,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     chosen = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    scored = chosen.mapInArrow(run, f"doc_id {kind}, score double")
+    scored = in_batches(chosen, run, f"doc_id {kind}, score double")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
