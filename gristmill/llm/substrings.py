@@ -51,9 +51,12 @@ def anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
     value, at = runs(words, hashes, RUN)
     run[at] = value
     m = n - window + 1
-    least = run[:m].copy()
-    for j in range(1, window - RUN + 1):
-        np.minimum(least, run[j : j + m], out=least)
+    least, reach = run, 1  # the least of ``reach`` runs, doubled as long as it fits
+    while 2 * reach <= window - RUN + 1:
+        least = np.minimum(least[: len(least) - reach], least[reach:])
+        reach *= 2
+    rest = window - RUN + 1 - reach
+    least = np.minimum(least[:m], least[rest : rest + m])
     limit = np.repeat(words.first[1:], words.counts)[:m]
     start = np.flatnonzero(np.arange(m) + window <= limit)
     return start, least[start]
@@ -66,6 +69,17 @@ def keyed(documents: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc"), text.alias("text")]
 
 
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Places at which any of the keys differs from the place before."""
+    if not len(keys[0]):
+        return np.zeros(0, dtype=np.int64)
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[0] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
 def document_anchors(texts: DataFrame, window: int) -> DataFrame:
     """``anchor, doc``, each pair once per text."""
 
@@ -75,9 +89,11 @@ def document_anchors(texts: DataFrame, window: int) -> DataFrame:
                 words = words_of(part.column("text"))
                 start, anchor = anchors(words, words.hashes(), window)
                 owner = words.owner()[start]
+                heads = changes(anchor, owner)
+                owner, anchor = owner[heads], anchor[heads]
                 order = np.lexsort((anchor, owner))
                 owner, anchor = owner[order], anchor[order]
-                first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])][: len(owner)])
+                first = changes(anchor, owner)
                 ids = part.column("doc").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([longs(anchor[first]), pa.array(ids[owner[first]])], ["anchor", "doc"])
 
@@ -109,14 +125,16 @@ def cut_pieces(part: pa.RecordBatch, window: int) -> tuple:
     hashes, owner = words.hashes(), words.owner()
     start, anchor = anchors(words, hashes, window)
     of = owner[start]
-    hit = among(anchor, of, *flat_lists(part.column("shared")))
-    start, anchor, of = start[hit], anchor[hit], of[hit]
-    fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(start) != 1) | (of[1:] != of[:-1])][: len(start)]
-    opened = np.flatnonzero(fresh)
-    inside = np.arange(len(start)) - np.repeat(opened, np.diff(np.r_[opened, len(start)]))
-    opened = np.flatnonzero(inside % PIECE == 0)
-    windows = np.diff(np.r_[opened, len(start)])
-    low = start[opened]
+    # Neighbouring windows of one text with one anchor are looked up together.
+    heads = changes(anchor, of, start - np.arange(len(start)))
+    sizes = np.diff(np.r_[heads, len(start)])
+    hit = among(anchor[heads], of[heads], *flat_lists(part.column("shared")))
+    heads, sizes = heads[hit], sizes[hit]
+    n = -(-sizes // PIECE)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    opened = np.repeat(heads, n)
+    low = start[opened] + nth * PIECE
+    windows = np.minimum(PIECE, np.repeat(sizes, n) - nth * PIECE)
     p1, p2 = (span_hashes(hashes, low, low + windows + window - 1, s) for s in (1, 2))
     return words, of[opened], low, windows, anchor[opened], p1, p2
 
