@@ -10,7 +10,7 @@ from gristmill.queries import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas")
 # The algorithms that work on blocks of bounded size in numpy.
-BLOCK_QUERIES = ("q_corr_kendall", "q_knn", "q_dbscan_core", "q_silhouette")
+BLOCK_QUERIES = ("q_corr_kendall", "q_knn", "q_dbscan_core", "q_silhouette", "q_silhouette_squared")
 
 
 def plan(df):
