@@ -119,6 +119,11 @@ def among(values: np.ndarray, rows: np.ndarray, known: np.ndarray, known_rows: n
     return listed[place] == own
 
 
+def rows_with(batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
+    """The rows whose ``column`` is not null: only they have anything to cut."""
+    return batch.filter(batch.column(column).is_valid())
+
+
 def cut_pieces(part: pa.RecordBatch, window: int) -> tuple:
     """Words of the texts of a batch, and its pieces: text, first word, windows, anchor, p1, p2."""
     words = words_of(part.column("text"))
@@ -144,7 +149,7 @@ def occurrences(listed: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(rows_with(batch, "shared"), "text"):
                 words, of, low, windows, anchor, p1, p2 = cut_pieces(part, window)
                 ids = part.column("doc").to_numpy(zero_copy_only=False)
                 columns = [
@@ -161,7 +166,7 @@ def asked_words(listed: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(rows_with(batch, "asked"), "text"):
                 words, of, low, windows, anchor, p1, p2 = cut_pieces(part, window)
                 wanted = np.flatnonzero(among(p1, of, *flat_lists(part.column("asked"))))
                 wanted = wanted[np.sort(np.unique(mix(p1[wanted] + of[wanted].astype(np.uint64)), return_index=True)[1])]
@@ -313,8 +318,10 @@ def removals(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD, sha
 def kept_words(text: str, places: list, window: int) -> tuple[list[bytes], int]:
     """Words of a text that no removed window covers, and the number of all words."""
     words = text.encode().split()  # bytes part at \x20 and \x09-\x0D only
+    if not places:
+        return words, len(words)
     cover = np.zeros(len(words) + 1, dtype=np.int64)
-    for place in places or ():
+    for place in places:
         mask = place["mask"] & 0xFFFFFFFFFFFFFFFF
         at = place["start"]
         while mask:
