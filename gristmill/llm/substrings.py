@@ -10,7 +10,7 @@ and in which document first. To keep the automata small, only what can repeat is
 2. Neighbouring windows with a shared anchor form a piece of text, named by a 128-bit hash of its
    words. If all pieces of an anchor are equal, their windows are its first document's.
 3. Where an anchor has several different pieces, the first document of each sends its words.
-   They are dealt into shards by anchor. One task builds the automaton of a shard, in the order
+   Rows that repeat an id send theirs as one. They are dealt into shards by anchor. One task builds the automaton of a shard, in the order
    of first documents, and streams the shard's pieces through it. An anchor with very many
    different pieces would make a shard too large: its windows are grouped one by one instead.
 4. Each document gets the windows to remove back as bit masks, and is read a last time.
@@ -303,7 +303,8 @@ def removals(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD, sha
     several = sized.where("n > 1")
     crowded = small(several.where(F.col("n") > crowd).select("anchor").distinct())
     asked = several.groupBy(F.col("first").alias("doc")).agg(F.collect_list("p1").alias("asked"))
-    said = asked_words(listed.join(asked, "doc", "left"), window)
+    # Rows that repeat an id say the same words. All columns are keys: equal pieces agree in the rest, and rows of keys alone are not sorted.
+    said = asked_words(listed.join(asked, "doc", "left"), window).dropDuplicates()
     firsts = alone.union(first_documents(said, crowded, several.count(), window, shard))
     bits = F.transform("firsts", lambda f, i: F.when(f < F.col("doc"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     masks = (

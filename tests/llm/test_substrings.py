@@ -41,6 +41,28 @@ def test_matches_brute_force(spark, crowd, shard):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute(rows)
 
 
+@pytest.mark.parametrize("crowd", [1000, 0])
+def test_repeated_rows_match_brute_force(spark, crowd):
+    rng = np.random.RandomState(7)
+    say = lambda n: [f"w{x}" for x in rng.randint(0, 60, n)]
+    passages = [say(60), say(40), ["ing"] * 100]
+    rows = []
+    for doc in range(30):
+        words = say(10)
+        for p in rng.choice(len(passages), 2):
+            a, b = sorted(rng.randint(0, len(passages[p]) + 1, 2))
+            words += passages[p][a:b] + say(5)
+        rows.append((doc, " ".join(words)))
+    rows += [row for row in rows[:10] for _ in range(3)]
+    null = 1 << 40  # larger than any other id
+    rows += [(null, " ".join(say(20) * 2 + passages[0][5:50]))] * 4
+    given = [(None if doc == null else doc, text) for doc, text in rows]
+    got = without_repeats(spark.createDataFrame(given, "doc_id long, text string").repartition(3), crowd=crowd).collect()
+    want = brute(rows)
+    seen = sorted((null if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in got)
+    assert seen == sorted((doc, *want[doc]) for doc, _ in rows)
+
+
 def test_automaton_knows_first_documents():
     rng = np.random.RandomState(0)
     texts = [rng.randint(0, 3, rng.randint(5, 40)).tolist() for _ in range(30)]
