@@ -16,12 +16,17 @@ are scored once; all that moves afterwards is one short array per row. Aggregate
 before they are shuffled, so a host with a third of all rows is no burden; the small tables of
 counts are broadcast only after their size was checked.
 
-Trigram models are fitted on a bounded sample of labelled texts (``per_language`` rows of at most
-``longest`` characters for each language). Everything else covers all rows.
+The languages are the labels of all rows, by their language part and without a least or largest
+number. Trigram models are fitted on a bounded sample of labelled texts (``per_language`` rows for
+each language, of each the first ``longest`` characters). Everything else covers all rows. Time
+and memory grow with the number of languages. A language with under ``LEAST_GRAMS`` trigrams of
+text has no model. A row that declares a language without model and would be rejected
+passes under that language, marked by a confidence of 0.
 
 Defined cases: null and empty texts, and texts without letters, are ``und`` with no confidence and
-rejected; a null or unknown declaration, suffix or host is no evidence; repeated rows are judged
-alike; without labelled texts every row is ``und``; other columns may be carried along.
+rejected; a null declaration or one of ``und``, an unknown suffix or host is no evidence; repeated rows are judged
+alike; without labelled texts every row that declares no language is ``und``; other columns may
+be carried along.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gristmill.llm.decontaminate import GAP, folded
-from gristmill.llm.tables import in_batches, small
+from gristmill.llm.tables import free_name, in_batches, small
 from gristmill.llm.words import slices, text_bytes
 from gristmill.plans.session import checkpoint
 
@@ -45,6 +50,7 @@ NONE = "und"
 TEMPER = 0.2  # share of a trigram's log-likelihood that counts
 WEIGHT = 10.0  # rows that a parent counts for
 BLANK = 0x20
+LEAST_GRAMS = 20  # trigrams of labelled text below which a model is no better than chance
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -84,19 +90,44 @@ class Model:
         return out, counts
 
 
+def fit_language(per_language: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Trigram counts of the ``per_language`` rows with the least hashes; ``n`` rows share a text."""
+        table = table.sort_by("hash")
+        n = table.column("n").to_numpy()
+        taken = np.minimum(n, np.maximum(per_language - (np.cumsum(n) - n), 0))
+        used = int((taken > 0).sum())
+        data, offsets = text_bytes(pa.array(table.column("text")[:used].to_pylist(), pa.string()))
+        weights = np.repeat(taken[:used], np.diff(offsets))
+        counts = np.bincount(trigrams(data, offsets), weights, BUCKETS + 1)[:BUCKETS]
+        grams = int(counts.sum())
+        counts += 0.02
+        made = np.log(counts / counts.sum()).astype(np.float32)
+        return pa.table({"lang": table.column("lang")[:1], "grams": [grams], "made": pa.array([made.tobytes()], pa.binary())})
+
+    return run
+
+
 def fit(labelled: DataFrame, per_language: int = 400, longest: int = 20_000) -> Model:
-    """Models from ``labelled(text, lang)``; rows are chosen by a hash of their text."""
-    rows = labelled.select(F.col("text").cast("string").alias("text"), F.lower(F.col("lang").cast("string")).alias("lang"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= longest))
-    languages = [r.lang for r in rows.groupBy("lang").count().where(F.col("count") >= 5).orderBy(F.desc("count"), "lang").limit(200).collect()]
-    table = []
-    for lang in sorted(languages):
-        sample = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("text"), "text").limit(per_language).collect()
-        data, offsets = text_bytes(pa.array([r.text for r in sample], pa.string()))
-        counts = np.bincount(trigrams(data, offsets), minlength=BUCKETS + 1)[:BUCKETS] + 0.02
-        table.append(np.r_[np.log(counts / counts.sum()), 0.0])
-    table.append(np.r_[np.full(BUCKETS, -np.log(BUCKETS)), 0.0])
-    return Model([*sorted(languages), NONE], np.array(table, dtype=np.float32))
+    """Models from ``labelled(text, lang)`` in two scans; rows are chosen by a hash of their text."""
+    rows = labelled.select(F.col("text").cast("string").alias("text"), label(F.col("lang")).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = rows.select("lang", F.xxhash64("text").alias("hash"), F.substring("text", 1, longest).alias("text"))
+    # Leading zeros of the hash, from the least hash on: a level halves the rows of the one before.
+    rows = rows.withColumn("level", F.lit(64) - F.length(F.bin(F.expr("hash ^ (-9223372036854775807L - 1L)"))))
+    sizes: dict[str, dict] = {}
+    for r in rows.groupBy("lang", "level").agg(F.count("*").alias("n")).collect():
+        sizes.setdefault(r.lang, {})[r.level] = r.n
+    table, languages = [], []
+    if sizes:
+        levels = {lang: max((v for v in n if sum(m for u, m in n.items() if u >= v) >= per_language), default=0) for lang, n in sizes.items()}
+        near = small(labelled.sparkSession.createDataFrame(list(levels.items()), "lang string, least int"))
+        sample = rows.join(near, "lang").where("level >= least").groupBy("lang", "hash").agg(F.count("*").alias("n"), F.min("text").alias("text"))
+        for r in sorted(sample.groupBy("lang").applyInArrow(fit_language(per_language), "lang string, grams long, made binary").collect(), key=lambda r: r.lang):
+            if r.grams >= LEAST_GRAMS:
+                languages.append(r.lang)
+                table.append(np.r_[np.frombuffer(r.made, dtype=np.float32), np.float32(0)])
+    table.append(np.r_[np.full(BUCKETS, -np.log(BUCKETS)), 0.0].astype(np.float32))
+    return Model([*languages, NONE], np.array(table))
 
 
 def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
@@ -156,10 +187,12 @@ def identify(rows: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """Languages of ``rows(..., text, declared, suffix, domain, host)``.
 
     The other columns are carried along; ``lang, confidence, text_lang, accepted`` are added. A row
-    is accepted if it has letters, is not ``und`` and its posterior reaches ``least``.
+    is accepted if it has letters, is not ``und`` and its posterior reaches ``least``, or if it has
+    letters other than digits and the language it declares has no model.
     """
     width = len(model.languages)
-    scored = checkpoint(text_evidence(rows, model))
+    worded = free_name(rows, "worded")
+    scored = checkpoint(text_evidence(rows.withColumn(worded, F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))), model))
     whole = scored.agg(summed("share", width)).first()[0] or [0.0] * width
     whole = [x or 0.0 for x in whole]
     total = sum(whole)
@@ -174,7 +207,7 @@ def identify(rows: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         found = found.join(counted, F.col(name) == F.col(f"__{name}"), "left").drop(f"__{name}")
 
     keep = [c for c in rows.columns if c not in ("text", "declared", "suffix", "domain", "host")]
-    names = np.array(model.languages)
+    names, modelled = np.array(model.languages), set(model.languages)
 
     def smoothed(counts: np.ndarray, own: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """Dirichlet mean of the other rows' counts and the parent; the parent where there are none."""
@@ -193,26 +226,37 @@ def identify(rows: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             best = np.where(letters, names[posterior.argmax(axis=1)], NONE)
             confidence = np.where(letters, posterior.max(axis=1), 0.0)
             alone = np.where(letters, names[part["share"].argmax(axis=1)], NONE)
-            made = [pa.array(best, pa.string()), pa.array(confidence), pa.array(alone, pa.string()), pa.array((best != NONE) & (confidence >= least))]
+            accepted = (best != NONE) & (confidence >= least)
+            declared = np.array(batch.column("declared").to_pylist(), dtype=object)
+            passed = letters & batch.column(worded).to_numpy(zero_copy_only=False) & ~accepted & np.array([d is not None and d not in modelled for d in declared], dtype=bool)
+            best, confidence = np.where(passed, declared, best), np.where(passed, 0.0, confidence)
+            made = [pa.array(best, pa.string()), pa.array(confidence), pa.array(alone, pa.string()), pa.array(accepted | passed)]
             kept = batch.select(keep)
             yield pa.RecordBatch.from_arrays([*kept.columns, *made], [*keep, "lang", "confidence", "text_lang", "accepted"])
 
-    used = found.select(*keep, "evidence", "share", "n_host", "n_domain", "p_declared", "p_suffix", "grams")
+    used = found.select(*keep, "evidence", "share", "n_host", "n_domain", "p_declared", "p_suffix", "grams", "declared", worded)
     schema = "".join(f"{c} {used.schema[c].dataType.simpleString()}, " for c in keep)
     return in_batches(used, run, f"{schema}lang string, confidence double, text_lang string, accepted boolean")
 
 
 def subtag(declared: Column) -> Column:
     """The language part of a declaration such as ``de-AT``; null if there is none."""
-    tag = F.regexp_extract(F.lower(declared.cast("string")), r"^\s*([a-z]{2,3})\b", 1)
+    tag = F.regexp_extract(F.lower(declared.cast("string")), r"^\s*([a-z]{2,3})(?![a-z0-9])", 1)
     return F.when(tag != "", tag)
 
 
+def label(lang: Column) -> Column:
+    """The language a label names: its language part, or all of it if it has none; null for ``und``."""
+    whole = F.lower(F.trim(lang.cast("string")))
+    tag = F.coalesce(subtag(lang), F.when(whole != "", whole))
+    return F.when(tag != NONE, tag)
+
+
 def document_rows(documents: DataFrame, *keep: Column) -> DataFrame:
     """Documents as rows to identify: the language column declares, the source is the host."""
     nothing = F.lit(None).cast("string")
     return documents.select(
-        *keep, subtag(F.col("lang")).alias("declared"), nothing.alias("suffix"), nothing.alias("domain"),
+        *keep, label(F.col("lang")).alias("declared"), nothing.alias("suffix"), nothing.alias("domain"),
         F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text"),
     )
 

@@ -66,3 +66,26 @@ def test_accepted_documents_keep_their_rows(spark):
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 9]
     assert document_rows(df).count() == len(data)
+
+
+def test_every_labelled_language_has_a_model(spark):
+    rows = [(EN * 3, tag) for tag in ("en", "EN-us", "en_GB", " en ")] + [(FR * 3, "fr")] * 4
+    rows += [("der die und das nicht mit auch sich " * 1000, "de"), (EN, "und"), (EN, ""), ("ja nej och att det som en på är av för ", "Swedish")]
+    assert fit(spark.createDataFrame(rows, "text string, lang string")).languages == ["de", "en", "fr", "swedish", "und"]
+    many = [(f"{chr(97 + i // 26)}{chr(97 + i % 26)}q " * 20, f"{chr(97 + i // 26)}{chr(97 + i % 26)}x") for i in range(210)]
+    assert len(fit(spark.createDataFrame(many, "text string, lang string")).languages) == 211
+
+
+def test_declared_languages_without_model_pass(spark, model):
+    data = [("中文" * 30, "zh", None, None, None), ("中文" * 30, None, None, None, None), ("!!", "zh", None, None, None), ("中文" * 30, "und", None, None, None)]
+    got = judge(spark, model, data)
+    assert [(r.lang, r.accepted) for r in got] == [("zh", True), ("und", False), ("und", False), ("und", False)]
+    assert got[0].confidence == 0.0
+
+
+def test_the_sample_is_bounded_and_exact(spark):
+    rows = [(f"{EN} {i % 700}", "en") for i in range(2000)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    chosen = sorted((r.h, r.text) for r in df.selectExpr("xxhash64(text) h", "text").collect())[:50]
+    small, whole = fit(df, per_language=50), fit(spark.createDataFrame([(t, "en") for _, t in chosen], "text string, lang string"))
+    assert (small.table == whole.table).all()
