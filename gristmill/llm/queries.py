@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.llm import chat, covertree, credentials, dartminhash, decontaminate, language, mixing, substrings, tokencount, toxicity
+from gristmill.llm import chat, covertree, credentials, dartminhash, decontaminate, language, mixing, resampling, substrings, tokencount, toxicity
 from gristmill.llm.tables import table
 from gristmill.plans.session import checkpoint
 
@@ -224,3 +224,45 @@ def op8_substring_dedup(spark, sf):
     """Words of all documents that no 13-word window of an earlier document covers."""
     found = substrings.without_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+RESAMPLE_SQL = r"""
+WITH said AS (
+  SELECT 0 AS side, row_number() OVER () AS rid, doc_id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+cut AS (SELECT side, rid, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM said),
+words AS (SELECT side, rid, unnest(w) AS word, unnest(range(len(w))) AS i FROM cut),
+-- A checksum takes a byte in eight steps of one bit: the byte comes with the first of them.
+bits AS (SELECT word, flatten(list_transform(range(octet_length(encode(word))),
+                  lambda k: [('0x' || substr(hex(encode(word)), (2 * k + 1)::INT, 2))::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS b
+         FROM (SELECT DISTINCT word FROM words)),
+follow AS (SELECT side, rid, i, b, lead(b) OVER w AS b2, lead(b, 2) OVER w AS b3
+           FROM words JOIN bits USING (word) WINDOW w AS (PARTITION BY side, rid ORDER BY i)),
+one AS (SELECT *, list_reduce(b, lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295::BIGINT) AS c1 FROM follow),
+two AS (SELECT *, CASE WHEN b2 IS NOT NULL THEN list_reduce([32, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] || b2,
+                    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), c1) END AS c2 FROM one),
+three AS (SELECT *, CASE WHEN b3 IS NOT NULL THEN list_reduce([32, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] || b3,
+                    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), c2) END AS c3 FROM two),
+runs AS (SELECT side, rid, xor(unnest([c1, c2, c3]), 4294967295) % 10000 AS bucket FROM three),
+per AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM runs WHERE bucket IS NOT NULL GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM per),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS g FROM per, total),
+weighed AS (SELECT rid, count(*) AS n, sum(g)::BIGINT AS weight FROM runs JOIN gain USING (bucket) WHERE side = 0 GROUP BY rid),
+scored AS (
+  SELECT rid, doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+           / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM cut LEFT JOIN weighed USING (rid) WHERE side = 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS place,
+         5 * count(*) OVER (PARTITION BY n_words >= 20) // 100 AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM placed
+"""
+
+
+@query(RESAMPLE_SQL)
+def op11_importance_resample(spark, sf):
+    """All documents weighed against the benchmark's texts; five in a hundred are drawn."""
+    return resampling.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
