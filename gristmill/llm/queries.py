@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.llm import chat, covertree, credentials, dartminhash, decontaminate, language, mixing, resampling, substrings, tokencount, toxicity
+from gristmill.llm import alignment, chat, covertree, credentials, dartminhash, decontaminate, language, mixing, resampling, substrings, tokencount, toxicity
 from gristmill.llm.tables import table
 from gristmill.plans.session import checkpoint
 
@@ -14,6 +14,8 @@ from gristmill.plans.session import checkpoint
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: The vocabulary file of op3.
 TURN_RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: The vocabulary files of op13.
+ALIGNED = alignment.Tokenizers("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -266,3 +268,9 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= d
 def op11_importance_resample(spark, sf):
     """All documents weighed against the benchmark's texts; five in a hundred are drawn."""
     return resampling.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op13_token_alignment(spark, sf):
+    """Every whole text through two tokenizers, their groups, links and corpus-wide link counts."""
+    return alignment.aligned(table(spark, sf, "documents"), ALIGNED)
