@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gristmill.llm import alignment, chat, covertree, credentials, dartminhash, decontaminate, language, mixing, resampling, substrings, tokencount, toxicity
+from gristmill.llm import alignment, chat, covertree, credentials, dartminhash, decontaminate, language, mixing, resampling, substrings, tokencount, toxicity, urlfilter
 from gristmill.llm.tables import table
 from gristmill.plans.session import checkpoint
 
@@ -16,6 +16,8 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 TURN_RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The vocabulary files of op13.
 ALIGNED = alignment.Tokenizers("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
+#: The rules of op12.
+URL_RULES = urlfilter.rules("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -274,3 +276,9 @@ def op11_importance_resample(spark, sf):
 def op13_token_alignment(spark, sf):
     """Every whole text through two tokenizers, their groups, links and corpus-wide link counts."""
     return alignment.aligned(table(spark, sf, "documents"), ALIGNED)
+
+
+@query()
+def op12_url_filter(spark, sf):
+    """Every page's URL by rule, or by boosted trees that learn from the URLs the rules judge."""
+    return urlfilter.judge(table(spark, sf, "pages"), URL_RULES)
