@@ -16,7 +16,8 @@ linked is counted in documents, corpus-wide:
 
 Tokens never cross a blank that follows a character other than a blank (the merges are checked
 for that when a tokenizer is read), so a text is cut there into units, and units repeat. Each
-distinct unit of a slice is encoded once and the first units met are remembered, up to a bound.
+distinct unit of a slice is encoded once and a Python worker remembers the units it met, from task
+to task and up to a bound.
 
 The tables of the second pass are sent to the executors in portions of bounded bytes. Vocabularies
 bound them and not the corpus; where one portion is not enough, the documents are aligned once
@@ -33,9 +34,11 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from functools import cached_property, lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +53,8 @@ MARK = "▁"
 #: A blank that starts a unit stands after a character that no definition of white space includes.
 UNIT = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*|\s+")
 BLANK_BEFORE_BLANK = re.compile(r"\s ")
-#: Units, and characters of units, that a task remembers before it starts anew.
-REMEMBERED, REMEMBERED_CHARACTERS = 300_000, 16 << 20
+#: Units, and characters of units, that a Python worker remembers before it starts anew.
+REMEMBERED, REMEMBERED_CHARACTERS = 700_000, 24 << 20
 #: Units that are looked up, encoded and joined at a time.
 UNITS_AT_ONCE = 100_000
 #: Pairs a task counts before it hands them on.
@@ -66,9 +69,9 @@ GAMMA = 2
 SHIFT = 32
 
 
-@dataclass
+@dataclass(frozen=True)
 class Tokenizers:
-    """Paths of a byte-level BPE file and of a sentencepiece file; a task reads them once."""
+    """Paths of a byte-level BPE file and of a sentencepiece file; a Python worker reads them once."""
 
     byte_level: str
     pieces: str
@@ -85,7 +88,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, their token lengths and bytes."""
+    """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, paths: Tokenizers):
         import sentencepiece
@@ -98,60 +101,93 @@ class Pair:
         self.a.no_truncation()
         letters = byte_letters()
         special = self.a.get_added_tokens_decoder()
-        self.a_bytes: dict[int, bytes] = {
-            i: t.encode() if i in special else bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=True).items()
-        }
+        written = {i: t.encode() if i in special else bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.a_bytes = [written.get(i, b"") for i in range(max(written) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=paths.pieces)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(" " in p or MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("pieces with a blank after another character are not supported")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.a_length, self.b_length = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        # An id as it is written before a further one, and as the last of its side of a group.
+        self.a_written, self.b_written = (np.array([f"{i}{end}" for i in range(len(x)) for end in ends], object) for x, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")))
 
-    def encode(self, units: list[str]) -> Iterator[tuple[bytes, list[int], list[int]]]:
-        """Bytes and ids of units, given without the blank they start with; the second tokenizer adds it itself."""
-        spaced = [" " + u for u in units]
-        left = self.a.encode_batch_fast(spaced, add_special_tokens=False)
+    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of units, given without the blank they start with; the second tokenizer adds it itself."""
+        left = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
         right = self.b.encode(units, num_threads=1)
-        for unit, a, b in zip(spaced, left, right):
-            # An empty text has no pieces; as the end of a longer one it is the blank alone.
-            yield unit.encode(), a.ids, b or [self.b.piece_to_id(MARK)]
-
-
-@dataclass
-class Unit:
-    """The alignment of one unit: ``links`` are pair keys, repeats included."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    links: list[int]
-    groups: str
-
-
-def align(raw: bytes, a: list[int], b: list[int], pair: Pair) -> Unit | None:
-    """Walk both token lists along the bytes; None if either does not give the bytes back."""
-    left, right = [pair.a_bytes[i] for i in a], [pair.b_bytes[i] for i in b]
-    if b"".join(left) != raw or b"".join(right) != raw:
-        return None
-    links, groups = [], []
-    i = j = open_a = open_b = 0
-    a_end, b_end = len(left[0]), len(right[0])
-    while True:
-        links.append(a[i] << SHIFT | b[j])
-        if a_end == b_end:
-            groups.append(",".join(map(str, a[open_a : i + 1])) + "|" + ",".join(map(str, b[open_b : j + 1])))
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return Unit(len(a), len(b), len(groups), links, ";".join(groups))
-            open_a, open_b = i, j
-            a_end += len(left[i])
-            b_end += len(right[j])
-        elif a_end < b_end:
-            i += 1
-            a_end += len(left[i])
-        else:
-            j += 1
-            b_end += len(right[j])
+        # An empty text has no pieces; as the end of a longer one it is the blank alone.
+        blank = [self.b.piece_to_id(MARK)]
+        return left, [ids or blank for ids in right]
+
+    def given_back(self, raw: bytes, a: list[int], b: list[int]) -> bool:
+        return raw == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b])
+
+
+@lru_cache(maxsize=1)
+def pair_of(paths: Tokenizers) -> Pair:
+    return Pair(paths)
+
+
+class Alignments:
+    """Units aligned together: their bytes are laid end to end, so ends of tokens are places on one line."""
+
+    def __init__(self, pair: Pair, left: list[list[int]], right: list[list[int]]):
+        self.pair = pair
+        self.n_a, self.n_b = np.array(list(map(len, left)), np.int64), np.array(list(map(len, right)), np.int64)
+        self.a = np.fromiter(chain.from_iterable(left), np.int64, int(self.n_a.sum()))
+        self.b = np.fromiter(chain.from_iterable(right), np.int64, int(self.n_b.sum()))
+        self.a_ends, self.b_ends = np.cumsum(pair.a_length[self.a]), np.cumsum(pair.b_length[self.b])
+        self.unit_ends = self.a_ends[np.cumsum(self.n_a) - 1]
+
+    def __len__(self) -> int:
+        return len(self.n_a)
+
+    def give_back(self, raws: list[bytes]) -> bool:
+        """Whether all units come back byte by byte, from both sides."""
+        ends = np.cumsum(list(map(len, raws)))
+        if not (ends == self.unit_ends).all() or not (ends == self.b_ends[np.cumsum(self.n_b) - 1]).all():
+            return False
+        sides = ((self.a, self.pair.a_bytes), (self.b, self.pair.b_bytes))
+        raw = b"".join(raws)
+        return all(raw == b"".join(map(written.__getitem__, ids.tolist())) for ids, written in sides)
+
+    def per_unit(self, ends: np.ndarray) -> np.ndarray:
+        """How many of the sorted places lie in each unit."""
+        return np.diff(np.searchsorted(ends, self.unit_ends, side="right"), prepend=0)
+
+    @cached_property
+    def cuts(self) -> np.ndarray:
+        """Places where a token of either side ends. The stretch before each lies in one token of each side."""
+        return np.union1d(self.a_ends, self.b_ends)
+
+    @cached_property
+    def links(self) -> np.ndarray:
+        """Keys of all pairs of tokens that share a byte, unit by unit."""
+        return self.a[np.searchsorted(self.a_ends, self.cuts)] << SHIFT | self.b[np.searchsorted(self.b_ends, self.cuts)]
+
+    @cached_property
+    def n_links(self) -> np.ndarray:
+        return self.per_unit(self.cuts)
+
+    @cached_property
+    def group_ends(self) -> np.ndarray:
+        return np.intersect1d(self.a_ends, self.b_ends, assume_unique=True)
+
+    @cached_property
+    def n_groups(self) -> np.ndarray:
+        return self.per_unit(self.group_ends)
+
+    def groups(self) -> list[str]:
+        """The groups of each unit, written out: ids of a group stand together, first those of one side, then the others."""
+        in_a, in_b = np.searchsorted(self.group_ends, self.a_ends), np.searchsorted(self.group_ends, self.b_ends)
+        written = np.empty(len(self.a) + len(self.b), object)
+        last_a, last_b = (np.diff(x, append=len(self.group_ends)) != 0 for x in (in_a, in_b))
+        written[np.arange(len(self.a)) + np.searchsorted(in_b, in_a, side="left")] = self.pair.a_written[2 * self.a + last_a]
+        written[np.arange(len(self.b)) + np.searchsorted(in_a, in_b, side="right")] = self.pair.b_written[2 * self.b + last_b]
+        stream = written.tolist()
+        ends = np.cumsum(self.n_a + self.n_b).tolist()
+        return ["".join(stream[low:high])[:-1] for low, high in zip([0, *ends], ends)]
 
 
 def units_of(text: str) -> Iterator[list[str]]:
@@ -168,10 +204,10 @@ def units_of(text: str) -> Iterator[list[str]]:
 
 
 class Aligner:
-    """Numbers of units, given out as units are met; lives as long as a task."""
+    """Numbers of units, given out as units are met."""
 
     def __init__(self, paths: Tokenizers):
-        self.pair = Pair(paths)
+        self.pair = pair_of(paths)
         self.memory: dict[str, int] = {}
         self.characters = self.given = 0
 
@@ -202,19 +238,22 @@ class Aligner:
         self.memory.clear()
         self.characters = self.given = 0
 
-    def learn(self, held: list[tuple[int, list[str]]]) -> list[Unit]:
+    def learn(self, held: list[tuple[int, list[str]]]) -> Alignments:
         """Number the new units, -1 for those whose bytes are changed; the alignments of the numbers given out."""
-        new = {u: -1 for _, units in held for u in units if u not in self.memory}
-        found = []
-        asked = list(new)
-        for unit, (raw, a, b) in zip(asked, self.pair.encode(asked)):
-            self.characters += len(unit)
-            known = align(raw, a, b, self.pair)
-            if known:
-                found.append(known)
-                new[unit] = self.given
-                self.given += 1
-        self.memory |= new
+        memory, pair = self.memory, self.pair
+        met = dict.fromkeys(chain.from_iterable(units for _, units in held))
+        new = [u for u in met if u not in memory]
+        self.characters += sum(map(len, new))
+        left, right = pair.encode(new)
+        raws = [f" {u}".encode() for u in new]
+        found = Alignments(pair, left, right)
+        if new and not found.give_back(raws):
+            fine = list(map(pair.given_back, raws, left, right))
+            memory.update((u, -1) for u, f in zip(new, fine) if not f)
+            new, left, right = ([x for x, f in zip(xs, fine) if f] for xs in (new, left, right))
+            found = Alignments(pair, left, right)
+        memory.update(zip(new, range(self.given, self.given + len(new))))
+        self.given += len(new)
         return found
 
 
@@ -223,18 +262,62 @@ def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str |
         yield part, part.column("text").to_pylist()
 
 
+@lru_cache(maxsize=1)
+def remembered(key: tuple) -> dict:
+    """What a Python worker keeps from task to task of one pass; the next pass takes its place."""
+    return {}
+
+
+class Ragged:
+    """Lists of numbers, laid end to end."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.values, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.lists = self.used = 0
+
+    def append(self, values: list[int], lengths: np.ndarray) -> None:
+        if not len(lengths):
+            return
+        self.values, self.ends = roomier(self.values, self.used + len(values)), roomier(self.ends, self.lists + len(lengths) + 1)
+        self.values[self.used : self.used + len(values)] = values
+        self.ends[self.lists + 1 : self.lists + 1 + len(lengths)] = self.used + np.cumsum(lengths)
+        self.used += len(values)
+        self.lists += len(lengths)
+
+    def of(self, lists: np.ndarray) -> np.ndarray:
+        """The values of some lists together."""
+        starts, lengths = self.ends[lists], self.ends[lists + 1] - self.ends[lists]
+        shift = starts - np.cumsum(lengths) + lengths
+        return self.values[np.arange(lengths.sum()) + np.repeat(shift, lengths)]
+
+
+def roomier(array: np.ndarray, needed: int) -> np.ndarray:
+    """``array``, or a longer copy that holds ``needed`` rows."""
+    if needed <= len(array):
+        return array
+    longer = np.zeros((max(needed, 2 * len(array)), *array.shape[1:]), array.dtype)
+    longer[: len(array)] = array
+    return longer
+
+
 def pair_documents(documents: DataFrame, paths: Tokenizers) -> DataFrame:
     """``task, pair, docs``: per task, each linked pair and the number of the task's documents that hold it."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        aligner = Aligner(paths)
-        numbers: dict[int, int] = {}  # of pairs
-        pairs: list[np.ndarray] = []  # of each unit, as numbers
-        counts = np.zeros(1 << 16, np.int64)
+        kept = remembered((paths, name))
+        if not kept:
+            # Of pairs, and of each unit its pairs as such numbers.
+            kept |= {"aligner": Aligner(paths), "numbers": {}, "pairs": Ragged()}
+        aligner, numbers, pairs = kept["aligner"], kept["numbers"], kept["pairs"]
+        counts = np.zeros(max(1 << 16, len(numbers)), np.int64)
 
         def told() -> pa.RecordBatch:
-            keys = np.fromiter(numbers, np.int64, len(numbers))
+            keys = np.fromiter(numbers, np.int64, len(numbers))  # in the order of their numbers
             docs = counts[: len(keys)]
             some = docs > 0
             columns = [pa.array(np.full(int(some.sum()), task, np.int32)), pa.array(keys[some]), pa.array(docs[some])]
@@ -246,17 +329,16 @@ def pair_documents(documents: DataFrame, paths: Tokenizers) -> DataFrame:
                 for held, emptied in aligner.portions(texts):
                     if emptied:
                         pairs.clear()
-                    for unit in aligner.learn(held):
-                        pairs.append(np.array([numbers.setdefault(k, len(numbers)) for k in set(unit.links)], np.int64))
-                    if len(numbers) > len(counts):
-                        counts = np.concatenate([counts, np.zeros(len(numbers), np.int64)])
+                    new = aligner.learn(held)
+                    pairs.append([numbers.setdefault(k, len(numbers)) for k in new.links.tolist()], new.n_links)
+                    counts = roomier(counts, len(numbers))
                     for row, units in held:
                         told_apart = set(map(aligner.memory.__getitem__, units))
                         if -1 in told_apart or (row in seen and seen[row] is None):
                             seen[row] = None
                             continue
-                        parts = [pairs[u] for u in told_apart]
-                        seen[row] = np.unique(np.concatenate(parts + [seen[row]] if row in seen else parts))
+                        linked = pairs.of(np.fromiter(told_apart, np.int64, len(told_apart)))
+                        seen[row] = np.unique(np.concatenate([linked, seen[row]]) if row in seen else linked)
                 for linked in seen.values():
                     if linked is not None:
                         counts[linked] += 1
@@ -443,9 +525,6 @@ class Portion:
     def __init__(self, shards: int, rows: dict[int, tuple[list[int], bytes, bytes, bytes]]):
         self.shards, self.rows = shards, rows
 
-    def opened(self) -> Lookup:
-        return Lookup(self)
-
 
 class Lookup:
     """A portion made ready in a task."""
@@ -505,11 +584,13 @@ def looked_up(documents: DataFrame, paths: Tokenizers, portion: Portion, first:
     The first portion makes the columns; the others add to ``n_best`` and ``count_sum``.
     """
     shared = documents.sparkSession.sparkContext.broadcast(portion)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, lookup = Aligner(paths), shared.value.opened()
-        table = np.zeros((1 << 12, len(SUMS)), np.int64)
-        groups: list[str] = []
+        kept = remembered((paths, name))
+        if not kept:
+            kept |= {"aligner": Aligner(paths), "lookup": Lookup(shared.value), "table": np.zeros((1 << 12, len(SUMS)), np.int64), "groups": []}
+        aligner, lookup, table, groups = (kept[k] for k in ("aligner", "lookup", "table", "groups"))
         for batch in batches:
             for part, texts in texts_of(batch):
                 sums = np.zeros((len(texts), len(SUMS)), np.int64)
@@ -519,16 +600,15 @@ def looked_up(documents: DataFrame, paths: Tokenizers, portion: Portion, first:
                         groups.clear()
                     before = len(groups)
                     new = aligner.learn(held)
-                    if new:
-                        if before + len(new) > len(table):
-                            table = np.concatenate([table, np.zeros((before + len(new), len(SUMS)), np.int64)])
+                    if len(new):
+                        table = kept["table"] = roomier(table, before + len(new))
                         rows = table[before : before + len(new)]
-                        rows[:, 0], rows[:, 1], rows[:, 2] = [u.n_a for u in new], [u.n_b for u in new], [u.n_groups for u in new]
-                        rows[:, 3] = [len(u.links) for u in new]
-                        best, count = lookup.best_and_count(np.array([k for u in new for k in u.links], np.int64))
-                        starts = np.cumsum(rows[:, 3]) - rows[:, 3]
-                        rows[:, 4], rows[:, 5] = np.add.reduceat(best, starts), np.add.reduceat(count, starts)
-                        groups.extend(u.groups for u in new)
+                        best, count = lookup.best_and_count(new.links)
+                        starts = np.cumsum(new.n_links) - new.n_links
+                        sums_of_links = np.add.reduceat(best, starts), np.add.reduceat(count, starts)
+                        for j, column in enumerate((new.n_a, new.n_b, new.n_groups, new.n_links, *sums_of_links)):
+                            rows[:, j] = column
+                        groups += new.groups()
                     for row, units in held:
                         numbers = list(map(aligner.memory.__getitem__, units))
                         if -1 in numbers or (row in digests and digests[row] is None):
