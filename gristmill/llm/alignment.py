@@ -57,6 +57,8 @@ BLANK_BEFORE_BLANK = re.compile(r"\s ")
 REMEMBERED, REMEMBERED_CHARACTERS = 700_000, 24 << 20
 #: Units that are looked up, encoded and joined at a time.
 UNITS_AT_ONCE = 100_000
+#: Characters of units that are encoded as one text.
+TEXT_AT_ONCE = 2_000
 #: Pairs a task counts before it hands them on.
 PAIRS_AT_ONCE = 2_000_000
 SHARD_PAIRS = 500_000
@@ -112,16 +114,34 @@ class Pair:
         # An id as it is written before a further one, and as the last of its side of a group.
         self.a_written, self.b_written = (np.array([f"{i}{end}" for i in range(len(x)) for end in ends], object) for x, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")))
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of units, given without the blank they start with; the second tokenizer adds it itself."""
-        left = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        right = self.b.encode(units, num_threads=1)
-        # An empty text has no pieces; as the end of a longer one it is the blank alone.
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units, given without the blank they start with, from both sides, end to end.
+
+        Units stand together in one text as they do in a document, as long as each ends with
+        something other than a blank; so the tokenizers are called once for many units.
+        """
+        texts, begun, size = [], 0, 0
+        for i, unit in enumerate(units):
+            size += len(unit)
+            if size >= TEXT_AT_ONCE or not unit or unit[-1].isspace():
+                texts.append(" ".join(units[begun : i + 1]))
+                begun, size = i + 1, 0
+        if begun < len(units):
+            texts.append(" ".join(units[begun:]))
+        left = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        # The second tokenizer adds the blank itself. An empty text has no pieces; as the end of a longer one it is the blank alone.
         blank = [self.b.piece_to_id(MARK)]
-        return left, [ids or blank for ids in right]
+        right = [ids or blank for ids in self.b.encode(texts, num_threads=1)]
+        return tuple(np.array(list(chain.from_iterable(side)), np.int64) for side in (left, right))
+
+    def given_back(self, unit: str) -> bool:
+        """Whether both sides give back the bytes of one unit."""
+        a, b = self.encode([unit])
+        return f" {unit}".encode() == joined(self.a_bytes, a) == joined(self.b_bytes, b)
 
-    def given_back(self, raw: bytes, a: list[int], b: list[int]) -> bool:
-        return raw == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b])
+
+def joined(written: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(written.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=1)
@@ -132,25 +152,28 @@ def pair_of(paths: Tokenizers) -> Pair:
 class Alignments:
     """Units aligned together: their bytes are laid end to end, so ends of tokens are places on one line."""
 
-    def __init__(self, pair: Pair, left: list[list[int]], right: list[list[int]]):
-        self.pair = pair
-        self.n_a, self.n_b = np.array(list(map(len, left)), np.int64), np.array(list(map(len, right)), np.int64)
-        self.a = np.fromiter(chain.from_iterable(left), np.int64, int(self.n_a.sum()))
-        self.b = np.fromiter(chain.from_iterable(right), np.int64, int(self.n_b.sum()))
+    def __init__(self, pair: Pair, units: list[str]):
+        self.pair, self.units = pair, units
+        self.raws = [f" {u}".encode() for u in units]
+        self.a, self.b = pair.encode(units)
         self.a_ends, self.b_ends = np.cumsum(pair.a_length[self.a]), np.cumsum(pair.b_length[self.b])
-        self.unit_ends = self.a_ends[np.cumsum(self.n_a) - 1]
+        self.unit_ends = np.cumsum(np.fromiter(map(len, self.raws), np.int64, len(units)))
 
     def __len__(self) -> int:
-        return len(self.n_a)
+        return len(self.units)
 
-    def give_back(self, raws: list[bytes]) -> bool:
-        """Whether all units come back byte by byte, from both sides."""
-        ends = np.cumsum(list(map(len, raws)))
-        if not (ends == self.unit_ends).all() or not (ends == self.b_ends[np.cumsum(self.n_b) - 1]).all():
-            return False
-        sides = ((self.a, self.pair.a_bytes), (self.b, self.pair.b_bytes))
-        raw = b"".join(raws)
-        return all(raw == b"".join(map(written.__getitem__, ids.tolist())) for ids, written in sides)
+    def give_back(self) -> bool:
+        """Whether all units come back byte by byte, from both sides, and end with a token."""
+        whole = all(np.isin(self.unit_ends, ends).all() for ends in (self.a_ends, self.b_ends))
+        return whole and b"".join(self.raws) == joined(self.pair.a_bytes, self.a) == joined(self.pair.b_bytes, self.b)
+
+    @cached_property
+    def n_a(self) -> np.ndarray:
+        return self.per_unit(self.a_ends)
+
+    @cached_property
+    def n_b(self) -> np.ndarray:
+        return self.per_unit(self.b_ends)
 
     def per_unit(self, ends: np.ndarray) -> np.ndarray:
         """How many of the sorted places lie in each unit."""
@@ -244,14 +267,11 @@ class Aligner:
         met = dict.fromkeys(chain.from_iterable(units for _, units in held))
         new = [u for u in met if u not in memory]
         self.characters += sum(map(len, new))
-        left, right = pair.encode(new)
-        raws = [f" {u}".encode() for u in new]
-        found = Alignments(pair, left, right)
-        if new and not found.give_back(raws):
-            fine = list(map(pair.given_back, raws, left, right))
-            memory.update((u, -1) for u, f in zip(new, fine) if not f)
-            new, left, right = ([x for x, f in zip(xs, fine) if f] for xs in (new, left, right))
-            found = Alignments(pair, left, right)
+        found = Alignments(pair, new)
+        if not found.give_back():
+            fine = [u for u in new if pair.given_back(u)]
+            memory.update(dict.fromkeys(set(new).difference(fine), -1))
+            new, found = fine, Alignments(pair, fine)
         memory.update(zip(new, range(self.given, self.given + len(new))))
         self.given += len(new)
         return found
