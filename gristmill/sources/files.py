@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from gristmill.functions.casts import text_to_double
 from gristmill.functions.types import col, nan_to_null, require_choice
 from gristmill.operators.columns import apply_stored_casts
+from gristmill.plans.session import checkpoint, sized
+from gristmill.sources.records import has_line_breaks, records
 
 FORMATS = ("csv", "json", "parquet")
 EXTENSIONS = ("csv", "xlsx", "json", "parquet")
@@ -36,20 +38,20 @@ def load(
     fmt: str | None = None,
     schema: T.StructType | None = None,
     casts: Mapping[str, str] | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     row_order: bool = False,
     order_by=None,
 ) -> DataFrame:
     """Read a table, turn NaN into null and re-apply stored casts.
 
-    ``multi_line=True`` reads csv files whose quoted fields hold line breaks; Spark then cannot
-    split a file. ``row_order`` adds the file name and the row number inside the file.
+    Quoted fields of csv files may hold line breaks: if a scan finds any, records are put together
+    across lines and file ranges (``sources.records``). ``multi_line=False`` says that there are
+    none and saves the scan; ``True`` lets Spark read each file in one task. ``row_order`` adds the
+    file name and the row number inside the file.
     """
     fmt = require_choice(fmt or format_of(path), FORMATS, "file format")
     if fmt == "csv":
-        df = _load_csv(spark, path, schema, multi_line)
-        if row_order:
-            df = df.withColumn(ROW_NUMBER, F.monotonically_increasing_id())
+        df = _load_csv(spark, path, schema, multi_line, row_order)
     elif fmt == "json":
         df = _load_json(spark, path, schema)
         if row_order:
@@ -67,14 +69,32 @@ def load(
     return apply_stored_casts(df, casts, order_by) if casts else df
 
 
-def _load_csv(spark, path, schema, multi_line) -> DataFrame:
-    options = {"header": True, "escape": '"', "multiLine": multi_line, "inferSchema": False}
+def _load_csv(spark, path, schema, multi_line, row_order) -> DataFrame:
+    options = {"header": True, "escape": '"', "multiLine": bool(multi_line), "inferSchema": False}
     raw = spark.read.options(**options).csv(path)
-    clean = raw.select(
-        *[F.when(~col(c).isin(*NULL_TOKENS), col(c)).alias(c) for c in raw.columns]
-    )
-    types = {f.name: f.dataType for f in schema} if schema else _inferred_types(clean)
-    return clean.select(*[_typed(c, types.get(c, T.StringType())) for c in clean.columns])
+    names, order = raw.columns, []
+    if multi_line is None and has_line_breaks(spark, path):
+        raw = _joined_csv(spark, path, names)
+        order = [ROW_FILE, ROW_NUMBER] if row_order else []
+    elif row_order:
+        raw = raw.withColumn(ROW_NUMBER, F.monotonically_increasing_id())
+        order = [ROW_NUMBER]
+    clean = raw.select(*[F.when(~col(c).isin(*NULL_TOKENS), col(c)).alias(c) for c in names], *order)
+    types = {f.name: f.dataType for f in schema} if schema else _inferred_types(clean.select(*[col(c) for c in names]))
+    return clean.select(*[_typed(c, types.get(c, T.StringType())) for c in names], *order)
+
+
+def _joined_csv(spark, path, names) -> DataFrame:
+    """Text columns of records that may go over line ends, plus file and position."""
+    found = checkpoint(records(spark, path))
+    header = found.groupBy("file").agg(F.min("position").alias("header"), F.min_by("record", "position").alias("names"))
+    if not header.where(F.col("names").contains("\n")).isEmpty():
+        raise ValueError("column names with line breaks need multi_line=True")
+    lines = found.join(sized(header.select("file", "header")), "file").where("position > header")
+    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    parsed = F.from_csv("record", fields.simpleString()[7:-1].replace(":", " "), {"escape": '"', "multiLine": "true"})
+    shown = lines.select(parsed.alias("r"), "file", "position")
+    return shown.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], F.col("file").alias(ROW_FILE), F.col("position").alias(ROW_NUMBER))
 
 
 def _typed(name: str, kind: T.DataType) -> Column:
