@@ -17,8 +17,9 @@ then links are contracted to components. Where a large band still holds several
 pairs of blocks inside tasks that return spanning forests.
 
 Defined cases: a text of one to four words is one run; null texts and texts without words are
-similar to nothing; rows with a null id stay alone; repeated rows belong to one class; an empty
-table gives an empty result; extra columns are ignored.
+similar to nothing; rows with a null id stay alone; repeated rows belong to one class; different
+texts under one id are documents of their own, each in the class of its text, and of a class one
+text stays, from the smallest id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from gristmill.llm.tables import components, forest, in_batches
+from gristmill.llm.tables import components, forest, free_name, in_batches, small
 from gristmill.llm.words import ORDER, longs, mix, runs, slices, words_of
 from gristmill.plans.session import checkpoint
 
@@ -104,7 +105,7 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``id, s1, s2, n, bands``: a 128-bit hash of the multiset, its size, and the band hashes."""
+    """``id, t, s1, s2, n, bands``: a hash of the text, 128 bits of the multiset, its size, and the band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,15 +120,32 @@ def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
                 drawn = throw(text, run_hash, times.astype(np.float64), part.num_rows, bands * rows)
                 flat = longs(band_hashes(drawn, bands, rows).reshape(-1))
                 offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands)
-                columns = [part.column("id"), *map(longs, sums), pa.array(n), pa.ListArray.from_arrays(offsets, flat)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "s1", "s2", "n", "bands"])
+                columns = [part.column("id"), part.column("t"), *map(longs, sums), pa.array(n), pa.ListArray.from_arrays(offsets, flat)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "t", "s1", "s2", "n", "bands"])
 
-    chosen = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return in_batches(chosen, run, "id long, s1 long, s2 long, n long, bands array<long>")
+    return in_batches(named(documents), run, "id long, t long, s1 long, s2 long, n long, bands array<long>")
 
 
-def multisets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, runs`` for the given ids: sorted 32-bit hashes, a repeated run once per time."""
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def named(documents: DataFrame) -> DataFrame:
+    """``id, t, text``: a text is named by its id and its hash."""
+    return documents.select(F.col("doc_id").cast("long").alias("id"), text_hash(F.col("text")).alias("t"), F.col("text").cast("string").alias("text"))
+
+
+def with_vertex(df: DataFrame, several: DataFrame | None) -> DataFrame:
+    """Add ``v``: the id, or a number of its own for each text of the ids in ``several``."""
+    if several is None:
+        return df.withColumn("v", F.col("id"))
+    own = F.xxhash64("id", "t").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    joined = df.join(several.withColumn("shared", F.lit(True)), "id", "left")
+    return joined.withColumn("v", F.when(F.col("shared"), own).otherwise(F.col("id"))).drop("shared")
+
+
+def multisets(documents: DataFrame, ids: DataFrame, several: DataFrame | None = None) -> DataFrame:
+    """``id, runs`` for the given vertices: sorted 32-bit hashes, a repeated run once per time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +160,7 @@ def multisets(documents: DataFrame, ids: DataFrame) -> DataFrame:
                 packed = [value[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "runs"])
 
-    chosen = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    chosen = with_vertex(named(documents), several).select(F.col("v").alias("id"), "text")
     return in_batches(chosen, run, "id long, runs binary").join(ids, "id", "left_semi")
 
 
@@ -234,14 +252,23 @@ def crowd_links(wide: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
 def near_duplicates(documents: DataFrame, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
     """One row per document: ``doc_id, class_id`` (smallest id of its class), ``kept``."""
+    return classified(documents, similarity, group).select(F.col("id").alias("doc_id"), "class_id", "kept")
+
+
+def classified(documents: DataFrame, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
+    """One row per document: ``id, t, class_id, kept``, where ``t`` is the hash of its text."""
     signed = checkpoint(signatures(documents))
+    texts = signed.where("id IS NOT NULL").groupBy("id").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    several = checkpoint(texts.where("low < high").select("id"))
+    several = None if several.isEmpty() else small(several)
+    signed = with_vertex(signed, several)
     known = signed.where("id IS NOT NULL")
     classes = checkpoint(
-        known.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
+        known.where("n > 0").groupBy("s1", "s2", "n").agg(F.min_by("v", "id").alias("rep"), F.min("id").alias("least"))
     )
-    reps = classes.select(F.col("rep").alias("id")).distinct()
+    reps = classes.select(F.col("rep").alias("v")).distinct()
     members = checkpoint(
-        known.where("n > 0").join(reps, "id", "left_semi").select("id", "n", F.explode("bands").alias("band")).distinct()
+        known.where("n > 0").join(reps, "v", "left_semi").select(F.col("v").alias("id"), "n", F.explode("bands").alias("band")).distinct()
     )
     crowds = members.groupBy("band").agg(F.count("*").alias("crowd"), F.min(F.struct("id", "n")).alias("lead")).where("crowd > 1")
     held = checkpoint(members.join(crowds, "band"))
@@ -255,7 +282,7 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, group: int =
     ).where("a < b")
     tried = checkpoint(inside.select("a", "na", "b", "nb").union(leading).where(fits).select("a", "b").distinct())
     involved = held.select("id").distinct()
-    sets = checkpoint(multisets(documents, involved).dropDuplicates(["id"]))
+    sets = checkpoint(multisets(documents, involved, several).dropDuplicates(["id"]))
     links = checkpoint(verified(tried, sets, similarity))
     roots = components(links)
     wide = held.where(F.col("crowd") > group).join(roots, "id", "left").select(
@@ -265,16 +292,23 @@ def near_duplicates(documents: DataFrame, similarity: float = 0.8, group: int =
     wide = checkpoint(wide.join(mixed.select("band", "lead"), "band"))
     if not wide.isEmpty():
         roots = components(links.union(crowd_links(wide, sets, similarity)))
-    found = signed.select("id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"], "left")
-    found = found.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-    class_id = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
-    return found.select(F.col("id").alias("doc_id"), class_id.alias("class_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("class_id"))
-    )
+    # A class is named by its smallest id, and the text that stays is the representative with that id.
+    if several is None:
+        roots = roots.select(F.col("id").alias("rep"), F.col("root").alias("name"), F.col("root").alias("stays"))
+    else:
+        held = roots.withColumnRenamed("id", "rep").join(classes.select("rep", "least"), "rep")
+        best = held.groupBy("root").agg(F.min(F.struct("least", "rep")).alias("best"))
+        roots = held.join(best, "root").select("rep", F.col("best.least").alias("name"), F.col("best.rep").alias("stays"))
+    found = signed.select("id", "t", "v", "s1", "s2", "n").join(classes, ["s1", "s2", "n"], "left").join(roots, "rep", "left")
+    named_class = F.when(F.col("id").isNotNull(), F.coalesce("name", "least", "id"))
+    kept = F.col("id").isNull() | (F.col("v") == F.coalesce("stays", "rep", "v"))
+    return found.select("id", "t", named_class.alias("class_id"), kept.alias("kept"))
 
 
 def deduplicated(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The documents that stay: the one with the smallest id of each class, once."""
-    dropped = near_duplicates(documents, similarity).where("NOT kept").select("doc_id").distinct()
-    stay = documents.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """The documents that stay: one text of each class, from its smallest id, once."""
+    of, at = free_name(documents, "of"), free_name(documents, "at")
+    dropped = classified(documents, similarity).where("NOT kept").select(F.col("id").alias(of), F.col("t").alias(at)).distinct()
+    keyed = documents.where("doc_id IS NOT NULL").withColumns({of: F.col("doc_id").cast("long"), at: text_hash(F.col("text"))})
+    stay = keyed.join(dropped, [of, at], "left_anti").dropDuplicates([of, at]).drop(of, at)
     return stay.unionByName(documents.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -19,8 +19,10 @@ No stage gathers a document's or anchor's occurrences in one task beyond a state
 are aggregated partially, equal pieces meet as one row per task, and joins on hot pieces are split
 by adaptive skew handling. Documents are dealt by id once; later steps read the same exchange.
 
-Defined cases: a null text has no words; a null id counts as larger than any other; rows that
-repeat an id repeat the text; an empty table gives an empty result; extra columns are ignored.
+Defined cases: a null text has no words; a null id counts as larger than any other, and null ids
+are ordered among themselves by a hash of the text; texts that share an id are judged each for
+itself, and none of them is earlier than the other; repeated rows are judged alike; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,10 +65,13 @@ def anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
 
 
 def keyed(documents: DataFrame) -> list[Column]:
-    """``doc`` and ``text``; for a null id a large number from the text stands in."""
+    """``doc``, ``copy`` and ``text``; for a null id a large number from the text stands in.
+
+    Different texts may share an id, so a text is named by its id and its hash.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     stand_in = F.lit(LARGEST) - F.pmod(F.xxhash64(text), F.lit(1 << 40))
-    return [F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc"), text.alias("text")]
+    return [F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("doc"), F.xxhash64(text).alias("copy"), text.alias("text")]
 
 
 def changes(*keys: np.ndarray) -> np.ndarray:
@@ -81,7 +86,7 @@ def changes(*keys: np.ndarray) -> np.ndarray:
 
 
 def document_anchors(texts: DataFrame, window: int) -> DataFrame:
-    """``anchor, doc``, each pair once per text."""
+    """``anchor, doc, copy``, each once per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,10 +99,10 @@ def document_anchors(texts: DataFrame, window: int) -> DataFrame:
                 order = np.lexsort((anchor, owner))
                 owner, anchor = owner[order], anchor[order]
                 first = changes(anchor, owner)
-                ids = part.column("doc").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([longs(anchor[first]), pa.array(ids[owner[first]])], ["anchor", "doc"])
+                ids, copies = (part.column(c).to_numpy(zero_copy_only=False)[owner[first]] for c in ("doc", "copy"))
+                yield pa.RecordBatch.from_arrays([longs(anchor[first]), pa.array(ids), pa.array(copies)], ["anchor", "doc", "copy"])
 
-    return in_batches(texts, run, "anchor long, doc long")
+    return in_batches(texts, run, "anchor long, doc long, copy long")
 
 
 def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -145,20 +150,20 @@ def cut_pieces(part: pa.RecordBatch, window: int) -> tuple:
 
 
 def occurrences(listed: DataFrame, window: int) -> DataFrame:
-    """Where the pieces of ``listed(doc, text, shared)`` stand, without their words."""
+    """Where the pieces of ``listed(doc, copy, text, shared)`` stand, without their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(rows_with(batch, "shared"), "text"):
                 words, of, low, windows, anchor, p1, p2 = cut_pieces(part, window)
-                ids = part.column("doc").to_numpy(zero_copy_only=False)
+                ids, copies = (part.column(c).to_numpy(zero_copy_only=False)[of] for c in ("doc", "copy"))
                 columns = [
-                    longs(anchor), longs(p1), longs(p2), pa.array(ids[of]),
+                    longs(anchor), longs(p1), longs(p2), pa.array(ids), pa.array(copies),
                     pa.array((low - words.first[of]).astype(np.int32)), pa.array(windows.astype(np.int32)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "p1", "p2", "doc", "start", "windows"])
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "p1", "p2", "doc", "copy", "start", "windows"])
 
-    return in_batches(listed, run, "anchor long, p1 long, p2 long, doc long, start int, windows int")
+    return in_batches(listed, run, "anchor long, p1 long, p2 long, doc long, copy long, start int, windows int")
 
 
 def asked_words(listed: DataFrame, window: int) -> DataFrame:
@@ -290,30 +295,30 @@ def first_documents(said: DataFrame, crowded: DataFrame, pieces: int, window: in
 def removals(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
     """``doc, text, places``: per document the removed windows as ``(start, mask)`` pairs."""
     texts = documents.select("doc_id", *keyed(documents))
-    grams = document_anchors(texts.select("doc", "text"), window)
+    grams = document_anchors(texts.select("doc", "copy", "text"), window)
     shared = grams.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor")
-    lists = settled(grams.join(shared, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("anchor").alias("shared")))
+    lists = settled(grams.join(shared, "anchor", "left_semi").groupBy("doc", "copy").agg(F.collect_list("anchor").alias("shared")))
     # With its id, though unused there, each pass reads the exchange that the last join reads.
-    listed = texts.join(lists, "doc", "left").select("doc_id", "doc", "text", "shared")
+    listed = texts.join(lists, ["doc", "copy"], "left").select("doc_id", "doc", "copy", "text", "shared")
     found = occurrences(listed, window)
-    different = settled(found.groupBy("anchor", "p1", "p2").agg(F.min("doc").alias("first"), F.max("windows").alias("windows")))
+    different = settled(found.groupBy("anchor", "p1", "p2").agg(F.min("doc").alias("first"), F.min_by("copy", "doc").alias("copy"), F.max("windows").alias("windows")))
     counts = different.groupBy("anchor").agg(F.count("*").alias("n"))
     sized = settled(different.join(counts, "anchor"))
     alone = sized.where("n = 1").select("anchor", "p1", "p2", F.expr("array_repeat(first, windows)").alias("firsts"))
     several = sized.where("n > 1")
     crowded = small(several.where(F.col("n") > crowd).select("anchor").distinct())
-    asked = several.groupBy(F.col("first").alias("doc")).agg(F.collect_list("p1").alias("asked"))
+    asked = several.groupBy(F.col("first").alias("doc"), "copy").agg(F.collect_list("p1").alias("asked"))
     # Rows that repeat an id say the same words. All columns are keys: equal pieces agree in the rest, and rows of keys alone are not sorted.
-    said = asked_words(listed.join(asked, "doc", "left"), window).dropDuplicates()
+    said = asked_words(listed.join(asked, ["doc", "copy"], "left"), window).dropDuplicates()
     firsts = alone.union(first_documents(said, crowded, several.count(), window, shard))
     bits = F.transform("firsts", lambda f, i: F.when(f < F.col("doc"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     masks = (
-        found.select("anchor", "p1", "p2", "doc", "start").join(firsts, ["anchor", "p1", "p2"])
-        .select("doc", "start", F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)).alias("mask"))
+        found.select("anchor", "p1", "p2", "doc", "copy", "start").join(firsts, ["anchor", "p1", "p2"])
+        .select("doc", "copy", "start", F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)).alias("mask"))
         .where("mask <> 0")
     )
-    places = masks.groupBy("doc").agg(F.collect_list(F.struct("start", "mask")).alias("places"))
-    return texts.join(places, "doc", "left")
+    places = masks.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "mask")).alias("places"))
+    return texts.join(places, ["doc", "copy"], "left")
 
 
 def kept_words(text: str, places: list, window: int) -> tuple[list[bytes], int]:

@@ -78,3 +78,35 @@ def test_odd_rows(spark):
     assert stay.columns == df.columns
     assert sorted((r.doc_id for r in stay.collect()), key=str) == sorted([1, 2, 3, 7, None, None], key=str)
     assert near_duplicates(df.limit(0)).collect() == []
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    rng = np.random.RandomState(2)
+    say = lambda n: [f"w{x}" for x in rng.randint(0, 9_000, n)]
+    a, b, c, d = (say(60) for _ in range(4))
+    rows = [(1, a), (7, a), (7, b), (3, c), (3, d), (5, changed(rng, c, 0.01)), (2, changed(rng, d, 0.01)), (9, say(40)), (9, say(40)), (3, c)]
+    rows = [(i, " ".join(t)) for i, t in rows] + [(None, " ".join(a)), (None, " ".join(b)), (8, ""), (8, " ".join(b[:3]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS of", "2 AS T")
+    sets = [runs_of(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:  # smallest reachable row number by brute force
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                linked = rows[i][0] is not None and rows[j][0] is not None and (rows[i] == rows[j] or similarity(sets[i], sets[j]) >= 0.8)
+                if linked:
+                    root[i] = root[j] = min(root[i], root[j])
+    least = {r: min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root) if rows[r][0] is not None}
+    got = near_duplicates(frame).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == Counter((i, least.get(root[k])) for k, (i, _) in enumerate(rows))
+    stay = [(r.doc_id, r.text) for r in deduplicated(frame).collect()]
+    assert deduplicated(frame).columns == frame.columns and len(stay) == len({r for r in root})
+    for r in least:  # one text of each class, from its smallest id
+        members = {rows[i] for i in range(len(rows)) if root[i] == r}
+        assert [x[0] for x in stay if x in members] == [least[r]]
+    assert sum(i is None for i, _ in stay) == 2
+
+
+def test_the_other_text_of_a_dropped_id_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    stay = deduplicated(spark.createDataFrame([(1, a), (7, a), (7, b)], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, stay)) == [(1, a), (7, b)]

@@ -81,3 +81,44 @@ def test_odd_rows(spark):
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_words, r.n_removed, r.kept) for r in without_repeats(df).collect())
     assert got == [(-1, 20, 20, ""), (0, 21, 0, "q " + text), (1, 0, 0, ""), (2, 0, 0, ""), (3, 20, 20, ""), (3, 20, 20, ""), (4, 2, 0, "x\x1cy z é")]
     assert without_repeats(df.limit(0)).collect() == []
+
+
+def by_row(rows, window=13):
+    """Brute force per row: texts may share an id."""
+    first = {}
+    for doc, text in rows:
+        words = (text or "").split()
+        for i in range(len(words) - window + 1):
+            key = tuple(words[i : i + window])
+            first[key] = min(first.get(key, doc), doc)
+    out = []
+    for doc, text in rows:
+        words = (text or "").split()
+        gone = {i + j for i in range(len(words) - window + 1) if first[tuple(words[i : i + window])] < doc for j in range(window)}
+        out.append((doc, len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("crowd,shard", [(1000, 4000), (0, 1)])
+def test_two_texts_under_one_id(spark, crowd, shard):
+    rng = np.random.RandomState(9)
+    say = lambda n: [f"w{x}" for x in rng.randint(0, 5_000, n)]
+    passage, other = say(20), say(30)
+    rows = [(1, passage), (5, say(40)), (5, say(11) + passage), (5, say(11) + passage), (3, other + say(4)), (3, say(50)), (4, say(9) + other[:15]), (4, other), (4, say(3))]
+    rows += [(int(d), say(int(rng.randint(0, 20))) + passage[: int(rng.randint(10, 21))]) for d in rng.randint(0, 4, 12)]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd, shard=shard).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == by_row(rows)
+
+
+def test_two_texts_without_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    own = " ".join(f"q{i}" for i in range(40))
+    got = without_repeats(spark.createDataFrame([(1, passage), (None, own), (None, "a b c " + passage)], "doc_id long, text string")).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got) == [(20, 0), (23, 20), (40, 0)]
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    got = without_repeats(spark.createDataFrame([(1, "w5 " * 3 + " ".join(f"w{i}" for i in range(100_000, 100_050))), (2, long)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == [(1, 53, 0), (2, 300_000, 50)]
