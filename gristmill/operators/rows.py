@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from gristmill.functions.text import to_text
 from gristmill.functions.types import (
@@ -43,9 +43,12 @@ def filter_rows(df: DataFrame, column: str, operator: str, value=None) -> DataFr
         return df.filter(~F.coalesce(found, F.lit(False)))
     wanted = F.lit(value)
     if operator in ("eq", "ne"):
-        # A value of another kind equals nothing: it becomes null instead of failing a cast.
+        # A value of another kind equals nothing: it becomes null instead of failing a cast. Only dates are
+        # written as text: the text '1' is neither the number 1 nor true.
         if is_text(field) and not isinstance(value, str):
             wanted = F.lit(None).cast("string")
+        elif isinstance(value, str) and (is_numeric(field) or isinstance(field.dataType, T.BooleanType)):
+            wanted = F.lit(None).cast(field.dataType)
         elif not is_text(field) and isinstance(value, str):
             wanted = F.lit(value).try_cast(field.dataType)
     tests = {

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from gristmill.operators import columns as C, formula as X, nulls as N, rows as R
+from pyspark.sql import DataFrame, functions as F
+
+from gristmill.operators import columns as C, fitted as FT, formula as X, nulls as N, rows as R
 from gristmill.queries.registry import (
     BAD_LINES,
     EVENTS,
@@ -511,13 +513,13 @@ def q_update_cells(spark, sf):
     return C.update_cells(orders, patches.union(patches).union(unknown), "o_orderkey", "o_totalprice")
 
 
-@query(f"WITH {EVENTS} SELECT event_id, 'ne' AS kept FROM ev UNION ALL SELECT event_id, 'ne' FROM ev")
+@query(f"WITH {EVENTS} SELECT event_id, 'ne' AS kept FROM ev UNION ALL SELECT event_id, 'ne' FROM ev UNION ALL SELECT event_id, 'ne' FROM ev")
 def q_filter_eq_mismatch(spark, sf):
-    """A value of another kind equals no row and differs from every row."""
+    """A value of another kind equals no row and differs from every row, a number written as text too."""
     events = events_with_nulls(spark, sf)
     parts = [R.filter_rows(events, c, op, v).selectExpr("event_id", f"'{op}' AS kept")
-             for c, v in (("value", "abc"), ("event_type", 5)) for op in ("eq", "ne")]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+             for c, v in (("value", "abc"), ("event_type", 5), ("user_id", "1")) for op in ("eq", "ne")]
+    return reduce(DataFrame.union, parts)
 
 
 @query(f"WITH {EVENTS} SELECT event_id, coalesce(user_id, 3) AS user_id FROM ev")
@@ -552,3 +554,32 @@ def q_cast_category(spark, sf):
 def q_normalize_columns(spark, sf):
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias(" Customer  Key "), F.col("c_name").alias("FULL name"))
     return C.normalize_columns(rows)
+
+
+# --- statistics of one table applied to another ---------------------------------------
+
+
+@query("""
+WITH f AS (SELECT quantile_cont(l_extendedprice, 0.05) AS low, quantile_cont(l_extendedprice, 0.95) AS high,
+                  avg(l_quantity) AS base, stddev_samp(l_quantity) AS width
+           FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01')
+SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - base) / width, 4) AS l_quantity,
+       round(least(greatest(l_extendedprice, low), high), 4) AS l_extendedprice
+FROM lineitem, f""")
+def q_fitted_on_earlier_rows(spark, sf):
+    """Caps and scales that earlier shipments give, applied to all shipments."""
+    lines = table(spark, sf, "lineitem")
+    earlier = lines.where("l_shipdate < TIMESTAMP '1995-06-01'")
+    steps = [FT.fit_cap(earlier, ["l_extendedprice"]), FT.fit_scale(earlier, ["l_quantity"], "zscore")]
+    kept = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    return rounded(FT.apply_all(lines.select(*kept), steps))
+
+
+@query("""
+WITH m AS (SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM events WHERE user_id < 50 AND event_type IS NOT NULL GROUP BY event_type)
+SELECT event_id, coalesce(code, -1)::BIGINT AS event_type FROM events LEFT JOIN m USING (event_type)""")
+def q_fitted_label_codes(spark, sf):
+    """Label codes of some users' events, applied to everyone's."""
+    events = table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    codes = FT.LabelCodes.fit(events.where("user_id < 50"), ["event_type"], ["event_id"])
+    return codes.apply(events.select("event_id", "event_type"))

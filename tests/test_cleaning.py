@@ -246,3 +246,13 @@ def test_transforms_and_scaling(spark):
     assert {r["column"]: r["skipped"] for r in scaled.metrics.collect()} == {"x": False, "k": True}
     z = values(T.scale_columns(df, "x", "zscore").df, "x")
     assert z[0] == pytest.approx(-0.70710678) and z[2] is None
+
+
+def test_a_number_written_as_text_equals_no_number(spark):
+    df = spark.createDataFrame([(1, 1, 1.0, True, "1"), (2, 2, 2.0, False, "2")], "id long, i int, d double, b boolean, t string")
+    df = df.withColumn("day", F.to_date(F.lit("2024-01-05")))
+    for column, value in (("i", "1"), ("d", "1"), ("d", "1.0"), ("b", "true"), ("b", "1")):
+        assert R.filter_rows(df, column, "eq", value).count() == 0
+        assert R.filter_rows(df, column, "ne", value).count() == 2
+    assert R.filter_rows(df, "t", "eq", "1").count() == 1 and R.filter_rows(df, "t", "eq", 1).count() == 0
+    assert R.filter_rows(df, "day", "eq", "2024-01-05").count() == 2 and R.filter_rows(df, "day", "eq", "soon").count() == 0
