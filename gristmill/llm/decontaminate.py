@@ -7,8 +7,9 @@ runs misses at most as many of its words as runs, so its score is at least the i
 itself less its largest contributions. Nothing that would verify is therefore pruned.
 
 Words are maximal runs of letters and digits, in lower case (ASCII and Latin-1). An item is
-verified when the passage holds ``similarity`` of its five-word runs, and the same share of the
-runs that touch its answer, which is its last sentence.
+verified when the passage holds ``similarity`` of its five-word runs and its answer, which is its
+last sentence: either the same share of the runs that touch it, or its words in order with at
+most one of them (in long answers the rest of that share) changed, lost or added.
 
 Defined cases: null and empty texts match nothing; items with fewer than five words cannot be
 told from ordinary prose and are not indexed; repeated rows are judged alike; an empty benchmark
@@ -73,6 +74,17 @@ def answer_length(text: str) -> int:
     return len(tokens(body[last + 1 :]))
 
 
+def edits_within(part: np.ndarray, whole: np.ndarray) -> int:
+    """Least number of words to change, lose or add until ``part`` stands in one piece in ``whole``."""
+    cost = np.zeros(len(whole) + 1, dtype=np.int64)
+    step = np.arange(len(whole) + 1)
+    for n, word in enumerate(part, 1):
+        above = np.concatenate([[n], np.minimum(cost[:-1] + (whole != word), cost[1:] + 1)])
+        # An added word costs one more than the cell to its left: a running minimum along the row.
+        cost = np.minimum.accumulate(above - step) + step
+    return int(cost.min())
+
+
 @dataclass
 class Index:
     """Items of similar length: postings in item order, maxima of blocks, and thresholds."""
@@ -80,6 +92,7 @@ class Index:
     ids: list[int]
     runs: list[set]
     answers: list[set]
+    tails: list  # word hashes of the answers, in order
     window: int
     vocabulary: np.ndarray  # sorted word hashes
     present: np.ndarray  # low bits of the hashes that occur
@@ -124,7 +137,7 @@ def index_of(members: list, window: int, similarity: float, share: float = COMMO
     frequency = Counter(w for _, words, _ in members for w in set(words))
     average = sum(len(words) for _, words, _ in members) / len(members)
     common = max(2, share * len(members))
-    found, floor, need, runs, answers = defaultdict(list), [], [], [], []
+    found, floor, need, runs, answers, tails = defaultdict(list), [], [], [], [], []
     for number, (_, words, tail) in enumerate(members):
         gains, shared = [], 0.0
         for word, tf in Counter(words).items():
@@ -141,6 +154,7 @@ def index_of(members: list, window: int, similarity: float, share: float = COMMO
         need.append(max(0.0, floor[-1] - shared))
         runs.append(set(own))
         answers.append(set(own[-max(1, min(tail, len(own))) :]))
+        tails.append(np.array([hash_bytes(word) for word in words[-max(1, tail) :]], dtype=np.uint64))
     raw = sorted((int(hash_bytes(word)), word) for word in found)
     postings, rare, first, of, most = [], [], [0], [], []
     for _, word in raw:
@@ -157,7 +171,7 @@ def index_of(members: list, window: int, similarity: float, share: float = COMMO
     present = np.zeros(PRESENT, dtype=bool)
     present[(hashes & np.uint64(PRESENT - 1)).astype(np.int64)] = True
     return Index(
-        [m[0] for m in members], runs, answers, window, hashes, present, postings, np.array(rare), np.array(floor),
+        [m[0] for m in members], runs, answers, tails, window, hashes, present, postings, np.array(rare), np.array(floor),
         np.array(need), np.minimum.reduceat(need, np.arange(0, len(need), BLOCK)), np.array(first),
         np.array(of, dtype=np.int64), np.array(most),
     )
@@ -258,12 +272,20 @@ def search(words, hashes: np.ndarray, index: Index, similarity: float) -> list[t
         for item, score in wand(index, np.unique(place[a:b]).tolist(), int(block)):
             if k not in held:
                 held = {k: set(word_runs([words.word(i) for i in range(low[k], high[k])]))}
-            parts = (index.runs[item], index.answers[item])
-            if all(len(p & held[k]) >= similarity * len(p) - 1e-9 for p in parts):
+            if verified(index, item, held[k], hashes[low[k] : high[k]], similarity):
                 found.append((int(texts[k]), item, score))
     return found
 
 
+def verified(index: Index, item: int, held: set, passage: np.ndarray, similarity: float) -> bool:
+    """Whether a passage (its runs and word hashes) holds the item and its answer."""
+    whole, answer = (len(p & held) >= similarity * len(p) - 1e-9 for p in (index.runs[item], index.answers[item]))
+    if answer or not whole:
+        return answer and whole
+    tail = index.tails[item]
+    return edits_within(tail, passage) <= max(1, int((1 - similarity) * len(tail) + 1e-9))
+
+
 def shards(benchmark: DataFrame, items: int, chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items in lists of bounded length and size, read one at a time."""
     held, size = [], 0

@@ -1,6 +1,6 @@
 import numpy as np
 
-from gristmill.llm.decontaminate import RUN, build, clean, contaminated, index_of, tokens, wand, word_runs
+from gristmill.llm.decontaminate import RUN, answer_length, build, clean, contaminated, edits_within, index_of, tokens, wand, word_runs
 
 
 def brute(text, item, least=0.8):
@@ -41,6 +41,62 @@ def test_all_contained_items_are_found(spark):
     assert found(df, bench, shard_items=5) == got
 
 
+def fewest_edits(part, whole):
+    """Edit distance of ``part`` to the nearest piece of ``whole``, cell by cell."""
+    row = [0] * (len(whole) + 1)
+    for n, word in enumerate(part, 1):
+        new = [n]
+        for j, other in enumerate(whole):
+            new.append(min(row[j] + (word != other), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_edits_are_the_fewest():
+    rng = np.random.RandomState(8)
+    for _ in range(300):
+        part, whole = rng.randint(0, 5, rng.randint(0, 8)), rng.randint(0, 5, rng.randint(0, 20))
+        assert edits_within(part, whole) == fewest_edits(part.tolist(), whole.tolist())
+
+
+def test_answers_of_sentences(spark):
+    """Items of question and answer; copies are whole, edited in the answer, or of the question alone."""
+    rng = np.random.RandomState(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    say = lambda n: " ".join(rng.choice(vocabulary, n))
+    items, documents, expected = [], [], {}
+    for i in range(60):
+        question, answer = say(65), say(int(rng.randint(1, 16))).split()
+        items.append((i, f"{question}? {' '.join(answer)}."))
+        at = rng.randint(len(answer))
+        edits = {
+            "whole": answer,
+            "changed": answer[:at] + ["zzz"] + answer[at + 1 :],
+            "lost": answer[:at] + answer[at + 1 :],
+            "added": answer[:at] + ["zzz"] + answer[at:],
+            "other": say(len(answer)).split(),
+        }
+        for kind, words in edits.items():
+            doc = len(documents)
+            documents.append((doc, f"{say(40)} {question}? {' '.join(words)}. {say(int(rng.randint(1, 90)))}"))
+            if kind != "other":
+                expected[doc] = {i}
+            elif len(answer) > 2:
+                expected[doc] = set()
+    got = found(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {d: got[d] for d in expected} == expected
+    for doc, text in documents:
+        want = set()
+        for i, item in items:
+            own = tokens(item)
+            tail, runs, held = answer_length(item), word_runs(own), set(word_runs(tokens(text)))
+            last = set(runs[-tail:])
+            close = fewest_edits(own[-tail:], tokens(text)) <= max(1, int(0.2 * tail + 1e-9))
+            if brute(text, item) and (close or len(last & held) >= 0.8 * len(last) - 1e-9):
+                want.add(i)
+        assert got[doc] == want
+
+
 def test_wand_scores_what_a_full_scan_scores():
     rng = np.random.RandomState(1)
     members = [(i, [b"t%d" % w for w in rng.zipf(1.5, 20) % 40], 3) for i in range(100)]
