@@ -4,15 +4,20 @@ Strong kinds are reported wherever they stand: ``assign`` (a keyword and its val
 (an access key id) and ``hex`` (a long hexadecimal run). Weak kinds say little alone: ``ident``
 (an account or client name), ``secret`` (a long run with capitals, small letters and digits) and
 ``endpoint`` (an address). A weak candidate is reported only if the parts that complete it
-stand in its scope, which reaches a fixed number of characters to either side:
+stand in its scope. Scopes follow the text: a scope is a block, which ends at an empty line, and
+it reaches at least a fixed number of characters to either side, across blocks:
 
 * a weak ``secret`` needs an ``access`` or ``ident``,
 * an ``ident`` needs an ``assign``, ``hex`` or ``secret``,
 * an ``endpoint`` needs both.
 
-Scopes are joined as intervals: parts are cut into bins, the equality is on text and bin, and
-the semi join returns each candidate at most once however many parts complete it. Positions
-count code points, ends are exclusive.
+A weak candidate inside a strong part is that part and not another one; one that only overlaps
+strong parts stays a candidate.
+
+Scopes are joined as intervals: parts are cut into bins, the equality is on text and bin (on text
+and block for the rest of a block), and the semi join returns each candidate at most once however
+many parts complete it. Positions count code points, ends are exclusive. Time grows with the
+length of a text, however many matches it has.
 
 Defined cases: a null text is empty and has no parts; repeated rows are reported alike; a null
 id is kept; an empty table gives an empty result; extra columns are passed over. Only rows
@@ -21,8 +26,9 @@ with a candidate are located; no text is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gristmill.llm.tables import free_name
 from gristmill.plans.session import checkpoint
 
 # Kinds in the order they are listed, with pattern, group measured and least length.
@@ -38,6 +44,50 @@ KINDS = [
 STRONG = 3
 SCOPE = 200
 BIN = 1024
+STRETCH = 512  # pieces that are cut from one stretch of a text
+EMPTY_LINE = r"\n[\x20\t\r]*\n"
+CHUNK = 64  # array elements that are walked again for each of them
+SPAN = "struct<start:int,end:int>"
+
+
+def empty(element: str) -> Column:
+    return F.array().cast(f"array<{element}>")
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often and in whatever loop it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, join) -> Column:
+    """What ``join`` (a sum or a maximum, from 0) makes of the values before each value.
+
+    An accumulator that held an array would be copied at every step. So values are cut into
+    chunks: the totals of the chunks before, and a value's own chunk up to the value.
+    """
+    total = lambda part: F.aggregate(part, F.lit(0), join)
+
+    def inside(totals: Column):
+        def chunk(part: Column, number: Column) -> Column:
+            before = lambda base: F.transform(part, lambda _, j: join(base, total(F.slice(part, 1, j))))
+            return once(total(F.slice(totals, 1, number)), before)
+
+        return chunk
+
+    def summed(parts: Column) -> Column:
+        return once(F.transform(parts, total), lambda totals: F.flatten(F.transform(parts, inside(totals))))
+
+    return once(chunked(values), summed)
+
+
+def chunked(values: Column, size: int = CHUNK) -> Column:
+    """``values`` in arrays of ``size``; one empty array if there are none."""
+
+    def cut(every: Column) -> Column:
+        last = F.floor((F.greatest(F.size(every), F.lit(1)) - 1) / F.lit(size)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(every, i * size + 1, F.lit(size)))
+
+    return once(values, cut)
 
 
 def located(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -49,20 +99,19 @@ def located(text: Column, pattern: str, group: int, least: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), measured.alias("value"))
-    span = "array<struct<start:int,end:int>>"
 
-    def step(done: Column, piece: Column) -> Column:
-        start = done["at"] + F.length(piece["gap"])
-        end = start + F.coalesce(F.length(piece["hit"]), F.lit(0))
+    def span(piece: Column, before: Column) -> Column:
+        start = before + F.length(piece["gap"])
         good = F.length(piece["value"]) >= least
         if pattern == RANDOM:
             good = good & piece["hit"].rlike("[A-Z]") & piece["hit"].rlike("[a-z]") & piece["hit"].rlike("[0-9]")
-        more = F.array(F.struct(start.alias("start"), end.alias("end"))).cast(span)
-        return F.struct(end.alias("at"), F.when(good, F.concat(done["spans"], more)).otherwise(done["spans"]).alias("spans"))
+        return F.when(good, F.struct(start.alias("start"), (start + F.length(piece["hit"])).alias("end")).cast(SPAN))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans"))
-    spans = F.aggregate(pieces, start, step)["spans"]
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(span))
+    def placed(every: Column) -> Column:
+        lengths = F.transform(every, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0)))
+        return F.array_compact(F.zip_with(every, running(lengths, lambda a, b: a + b), span))
+
+    return F.when(text.rlike(pattern), once(pieces, placed)).otherwise(empty(SPAN))
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -75,6 +124,7 @@ def scan(documents: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("owner"),
         F.xxhash64("body").alias("print"),
         *[spans.alias(name) for name, spans in kinds.items()],
+        located(F.col("body"), EMPTY_LINE, 0, 0).alias("breaks"),
     )
 
 
@@ -94,21 +144,31 @@ def ordered(name: str, number: int) -> Column:
     )
 
 
+def blocked(scanned: DataFrame) -> DataFrame:
+    """The parts of all texts, each once, with the number of the block they start in.
+
+    A text without a weak candidate has nothing to link and is left out. Empty lines are rows
+    among the parts, and a part's block is the number of empty lines before it.
+    """
+    weak = F.greatest(*[F.size(k[0]) for k in KINDS[STRONG:]]) > 0
+    marks = F.concat(*[ordered(k[0], i) for i, k in enumerate(KINDS)], ordered("breaks", -1))
+    rows = scanned.where(weak).dropDuplicates(["owner", "print"]).select("owner", "print", F.inline(marks))
+    so_far = Window.partitionBy("owner", "print").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("block", F.sum((F.col("kind") < 0).cast("int")).over(so_far)).where("kind >= 0")
+
+
 def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Weak candidates completed in their scope: ``owner, print, weak`` (array of spans)."""
-    parts = scanned.select("owner", "print", F.explode(F.concat(*[ordered(k[0], i) for i, k in enumerate(KINDS)])).alias("s"))
-    parts = checkpoint(parts.select("owner", "print", "s.*").distinct())
+    parts = checkpoint(blocked(scanned))
     strong = parts.where(F.col("kind") < STRONG)
-    # A weak candidate inside a strong one is the same credential, not another part.
-    weak = apart(parts.where(F.col("kind") >= STRONG), strong)
-    weak = checkpoint(weak)
+    weak = checkpoint(outside(parts.where(F.col("kind") >= STRONG), strong))
     every = strong.unionByName(weak)
     number = {k[0]: i for i, k in enumerate(KINDS)}
     names = every.where(F.col("kind").isin(number["access"], number["ident"]))
     keys = every.where(F.col("kind").isin(number["assign"], number["hex"], number["secret"]))
-    secrets = near(weak.where(F.col("kind") == number["secret"]), names, scope)
-    idents = near(weak.where(F.col("kind") == number["ident"]), keys, scope)
-    endpoints = near(near(weak.where(F.col("kind") == number["endpoint"]), names, scope), keys, scope)
+    secrets = completed(weak.where(F.col("kind") == number["secret"]), names, scope)
+    idents = completed(weak.where(F.col("kind") == number["ident"]), keys, scope)
+    endpoints = completed(completed(weak.where(F.col("kind") == number["endpoint"]), names, scope), keys, scope)
     shown = secrets.unionByName(idents).unionByName(endpoints)
     return shown.groupBy("owner", "print").agg(F.collect_list(F.struct("start", "kind", "end")).alias("weak"))
 
@@ -120,21 +180,29 @@ def binned(parts: DataFrame, reach: int) -> DataFrame:
     return parts.withColumn("bin", F.explode(F.sequence(first, last)))
 
 
-def near(parts: DataFrame, others: DataFrame, reach: int) -> DataFrame:
-    """The parts that have one of ``others`` within ``reach`` characters."""
+def completed(parts: DataFrame, others: DataFrame, reach: int) -> DataFrame:
+    """The parts that have one of ``others`` in their block or within ``reach`` characters."""
+    key = ["owner", "print", "block"]
+    inside = parts.join(others.select(key).distinct(), key, "left_semi")
     left = binned(parts, reach).alias("l")
     right = binned(others, 0).alias("r")
     touch = (
         (F.col("l.owner") == F.col("r.owner")) & (F.col("l.print") == F.col("r.print")) & (F.col("l.bin") == F.col("r.bin"))
         & (F.col("r.start") < F.col("l.end") + reach) & (F.col("l.start") < F.col("r.end") + reach)
     )
-    return left.join(right, touch, "left_semi").drop("bin").distinct()
+    close = left.join(right, touch, "left_semi").drop("bin")
+    return inside.select(parts.columns).unionByName(close).distinct()
 
 
-def apart(parts: DataFrame, others: DataFrame) -> DataFrame:
-    """The parts that overlap none of ``others``."""
-    inside = near(parts, others, 0)
-    return parts.join(inside, ["owner", "print", "start", "kind", "end"], "left_anti")
+def outside(parts: DataFrame, others: DataFrame) -> DataFrame:
+    """The parts that none of ``others`` holds whole: who holds a part holds its first bin too."""
+    left = parts.withColumn("bin", F.floor(F.col("start") / F.lit(BIN))).alias("l")
+    right = binned(others, 0).alias("r")
+    holds = (
+        (F.col("l.owner") == F.col("r.owner")) & (F.col("l.print") == F.col("r.print")) & (F.col("l.bin") == F.col("r.bin"))
+        & (F.col("r.start") <= F.col("l.start")) & (F.col("l.end") <= F.col("r.end"))
+    )
+    return left.join(right, holds, "left_anti").drop("bin")
 
 
 def secret_spans(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -142,7 +210,7 @@ def secret_spans(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
     scanned = checkpoint(scan(documents))
     found = scanned.join(linked(scanned, scope), ["owner", "print"], "left")
     base = F.concat(*[ordered(k[0], i) for i, k in enumerate(KINDS[:STRONG])])
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = empty("struct<start:int,kind:int,end:int>")
     return found.select(
         "doc_id",
         *[F.size(k[0]).cast("long").alias(f"n_{k[0]}") for k in KINDS[:STRONG]],
@@ -168,21 +236,42 @@ def redacted(documents: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -
     ``n_chars``, where present, follows the new text of the rows that changed.
     """
     found = secret_spans(documents, scope).where(F.size("spans") > 0).select("owner", "print", "spans").dropDuplicates(["owner", "print"])
-    found = found.toDF("__owner", "__print", "__spans")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    owner = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    joined = documents.withColumns({"__o": owner, "__p": F.xxhash64(text)}).join(
-        found, (F.col("__o") == F.col("__owner")) & (F.col("__p") == F.col("__print")), "left"
-    )
-
-    def step(done: Column, s: Column) -> Column:
-        piece = F.when(s["start"] >= done["at"], F.concat(F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"]), F.lit(mask)))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], F.coalesce(piece, F.lit(""))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    finish = lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
-    clean = F.when(F.col("__spans").isNotNull(), F.aggregate(F.array_sort("__spans"), start, step, finish)).otherwise(F.col("text"))
-    out = joined.withColumn("text", clean)
+    owner, mark, spans = (free_name(documents, name) for name in ("owner", "print", "spans"))
+    found = found.toDF(owner, mark, spans)
+    keys = {
+        owner: F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+        mark: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))),
+    }
+    joined = documents.withColumns(keys).join(found, [owner, mark], "left")
+    hit = F.col(spans).isNotNull()
+    out = joined.withColumn("text", F.when(hit, masked(F.col("text"), F.col(spans), mask)).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with every span of ``spans`` replaced by ``mask``; overlapping spans merge.
+
+    Cutting a piece out of a string walks to it from the string's start, so spans are merged
+    first, then taken in chunks, and a chunk cuts its pieces from its own stretch of the text.
+    """
+
+    def between(every: Column) -> Column:
+        # The stretches outside all spans: one before each merged span, and the rest of the text.
+        reached = running(F.transform(every, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        before = F.zip_with(
+            every, reached,
+            lambda s, at: F.when(s["start"] >= at, F.struct(at.alias("start"), s["start"].alias("end")).cast(SPAN)),
+        )
+        last = F.struct(F.array_max(F.transform(every, lambda s: s["end"])).alias("start"), F.length(text).alias("end")).cast(SPAN)
+        return F.concat(F.array_compact(before), F.array(last))
+
+    def joined(part: Column) -> Column:
+        first = F.element_at(part, 1)["start"]
+        stretch = F.substring(text, first + 1, F.element_at(part, -1)["end"] - first)
+        cut = lambda of: F.transform(part, lambda s: F.substring(of, s["start"] - first + 1, s["end"] - s["start"]))
+        return F.array_join(once(stretch, cut), mask)
+
+    pieces = once(F.array_sort(spans), between)
+    return F.array_join(F.transform(chunked(pieces, STRETCH), joined), mask)

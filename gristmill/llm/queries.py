@@ -107,16 +107,19 @@ def secret_sql() -> str:
                  unnest(range(len(string_split_regex(t, '{quoted}')))) AS i FROM d)
     WINDOW w AS (PARTITION BY rid ORDER BY i))
   WHERE hit IS NOT NULL AND length(value) >= {least}{extra if pattern == credentials.RANDOM else ""}""")
-    near = "x.rid = p.rid AND x.start < p.stop + {0} AND p.start < x.stop + {0}"
-    touch, scope = near.format(0), near.format(credentials.SCOPE)
+    reach = credentials.SCOPE
+    scope = f"x.rid = p.rid AND (x.block = p.block OR (x.start < p.stop + {reach} AND p.start < x.stop + {reach}))"
+    empty = credentials.EMPTY_LINE
     names = ", ".join(f"'{k[0]}'" for k in credentials.KINDS)
     joined = "coalesce(string_agg(([{0}])[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind), '')".format(names)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-parts AS ({" UNION ALL ".join(parts)}),
-base AS (SELECT rid, kind, start::BIGINT AS start, stop::BIGINT AS stop FROM parts WHERE kind < 3),
-weak AS (SELECT rid, kind, start::BIGINT AS start, stop::BIGINT AS stop FROM parts p
-         WHERE kind >= 3 AND NOT EXISTS (SELECT 1 FROM base x WHERE {touch})),
+found AS ({" UNION ALL ".join(parts)}),
+parts AS (SELECT rid, kind, f.start::BIGINT AS start, f.stop::BIGINT AS stop,
+                 len(regexp_extract_all(substr(t, 1, f.start::BIGINT), '{empty}')) AS block FROM found f JOIN d USING (rid)),
+base AS (SELECT * FROM parts WHERE kind < 3),
+weak AS (SELECT * FROM parts p WHERE kind >= 3
+         AND NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = p.rid AND x.start <= p.start AND p.stop <= x.stop)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
 shown AS (SELECT * FROM base UNION ALL SELECT * FROM weak p WHERE
   (kind = 4 OR EXISTS (SELECT 1 FROM every x WHERE x.kind IN (0, 2, 4) AND {scope}))
