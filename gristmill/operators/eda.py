@@ -20,6 +20,7 @@ from gristmill.functions.types import (
     require_range,
 )
 from gristmill.operators.profile import _long_counts, top_values
+from gristmill.plans.pairsums import pair_moments
 from gristmill.plans.stats import attach, stat, tidy, with_distinct_counts
 
 BINS, MAX_BINS = 20, 100
@@ -258,43 +259,55 @@ def missing_worst_rows(df: DataFrame, order_by, limit: int = WORST_ROWS) -> Data
     )
 
 
-def _chunks(items, size):
-    return [items[i : i + size] for i in range(0, len(items), size)]
-
-
 def co_null_pairs(df: DataFrame) -> DataFrame:
-    """Pairs of columns whose null patterns correlate with |r| of at least 0.5."""
+    """Pairs of columns whose null patterns correlate with |r| of at least 0.5.
+
+    One scan. Many columns are counted as matrices of null flags, few as plain aggregates.
+    """
     names = sorted(df.columns)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    out = None
-    for chunk in _chunks(pairs, PAIRS_PER_JOB):
+    if not pairs:
+        raise ValueError("co-null pairs need at least two columns")
+    if len(pairs) > PAIRS_PER_JOB:
+        rows = _co_null_matrix(df, names)
+    else:
         stats = df.agg(
             *[
-                F.round(
-                    pearson(col(a).isNull().cast("int"), col(b).isNull().cast("int")), 3
-                ).alias(f"r{k}")
-                for k, (a, b) in enumerate(chunk)
+                F.round(pearson(col(a).isNull().cast("int"), col(b).isNull().cast("int")), 3).alias(f"r{k}")
+                for k, (a, b) in enumerate(pairs)
             ]
         )
         rows = tidy(
             stats,
-            [
-                {"column_a": F.lit(a), "column_b": F.lit(b), "r": F.col(f"r{k}")}
-                for k, (a, b) in enumerate(chunk)
-            ],
+            [{"column_a": F.lit(a), "column_b": F.lit(b), "r": F.col(f"r{k}")} for k, (a, b) in enumerate(pairs)],
         )
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("co-null pairs need at least two columns")
-    return out.filter(F.abs("r") >= CO_NULL)
+    return rows.filter(F.abs("r") >= CO_NULL)
+
+
+def _co_null_matrix(df: DataFrame, names) -> DataFrame:
+    """``(column_a, column_b, r)`` from how often two columns are null together."""
+    together = pair_moments(df, [col(n).isNull().cast("int") for n in names])
+    # One row per column.
+    alone = together.filter("i = j").select("i", (F.col("s") / F.col("n")).alias("share"))
+    of_a = F.broadcast(alone.withColumnRenamed("share", "pa"))
+    of_b = F.broadcast(alone.select(F.col("i").alias("j"), F.col("share").alias("pb")))
+    pa, pb = F.col("pa"), F.col("pb")
+    spread = F.sqrt(pa * (1 - pa)) * F.sqrt(pb * (1 - pb))
+    r = F.try_divide(F.col("p") / F.col("n") - pa * pb, F.nullif(spread, F.lit(0.0)))
+    listed = F.array(*[F.lit(n) for n in names])
+    return (
+        together.filter("i < j").join(of_a, "i").join(of_b, "j")
+        .select(F.get(listed, "i").alias("column_a"), F.get(listed, "j").alias("column_b"), F.round(r, 3).alias("r"))
+    )
 
 
 def paired_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
     """Pearson correlation of many column pairs, each over its own complete rows.
 
     Two scans of plain sums: the first finds counts, means and extremes, the second sums
-    products around those means. A column without nulls shares its own sums among all its
-    pairs. Only a few numbers per pair reach the driver. Wide tables take several scans.
+    products around those means, as one aggregate for few pairs and as matrices for many.
+    A column without nulls shares its own sums among all its pairs. Only a few numbers per
+    pair reach the driver.
     """
     names = list(dict.fromkeys(n for pair in pairs for n in pair))
     x = {n: col(n).cast("double") for n in names}
@@ -309,36 +322,69 @@ def paired_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict
     full = {n: first[f"c{at[n]}"] == first["n"] for n in names}
     varies = {n: first[f"c{at[n]}"] > 0 and first[f"lo{at[n]}"] < first[f"hi{at[n]}"] for n in names}
     d = {n: x[n] - F.lit(first[f"m{at[n]}"]).cast("double") for n in names}
-    out: dict[tuple[str, str], float | None] = {}
-    for chunk in _chunks([p for p in pairs if varies[p[0]] and varies[p[1]]], PAIRS_PER_JOB):
-        sums: dict[str, Column] = {}
-
-        def side(a, b):
-            """Names of count, sum, square sum, min and max of ``a`` where ``b`` is present."""
-            tag = f"{at[a]}" if full[b] else f"{at[a]}_{at[b]}"
-            present = d[a] if full[b] else F.when(x[b].isNotNull(), d[a])
-            sums.setdefault(f"n{tag}", F.count(present))
-            sums.setdefault(f"s{tag}", F.sum(present))
-            sums.setdefault(f"q{tag}", F.sum(present * present))
-            sums.setdefault(f"l{tag}", F.min(present))
-            sums.setdefault(f"h{tag}", F.max(present))
-            return tag
-
-        tags = {}
-        for a, b in chunk:
-            tags[a, b] = side(a, b), side(b, a)
-            sums[f"p{at[a]}_{at[b]}"] = F.sum(d[a] * d[b])
-        row = df.agg(*[e.alias(k) for k, e in sums.items()]).first()
-        for a, b in chunk:
-            ta, tb = tags[a, b]
-            n = row[f"n{ta}"]
-            if not n or row[f"l{ta}"] == row[f"h{ta}"] or row[f"l{tb}"] == row[f"h{tb}"]:
-                continue
-            va = row[f"q{ta}"] - row[f"s{ta}"] ** 2 / n
-            vb = row[f"q{tb}"] - row[f"s{tb}"] ** 2 / n
-            cov = row[f"p{at[a]}_{at[b]}"] - row[f"s{ta}"] * row[f"s{tb}"] / n
-            out[a, b] = cov / (math.sqrt(va) * math.sqrt(vb)) if va > 0 and vb > 0 else None
-    return {p: out.get(p) for p in pairs}
+    wanted = [p for p in pairs if varies[p[0]] and varies[p[1]]]
+    if not wanted:
+        return dict.fromkeys(pairs)
+    if len(wanted) > PAIRS_PER_JOB:
+        found = _sums_of_many(df, d, wanted)
+    else:
+        found = _sums_of_few(df, x, d, full, at, wanted)
+    return {**dict.fromkeys(pairs), **{p: _r_of_sums(*found[p]) for p in wanted}}
+
+
+def _sums_of_few(df: DataFrame, x, d, full, at, pairs) -> dict:
+    """Per pair: count, sums, square sums, "is constant" of both sides and the sum of products."""
+    sums: dict[str, Column] = {}
+
+    def side(a, b):
+        """Names of count, sum, square sum, min and max of ``a`` where ``b`` is present."""
+        tag = f"{at[a]}" if full[b] else f"{at[a]}_{at[b]}"
+        present = d[a] if full[b] else F.when(x[b].isNotNull(), d[a])
+        sums.setdefault(f"n{tag}", F.count(present))
+        sums.setdefault(f"s{tag}", F.sum(present))
+        sums.setdefault(f"q{tag}", F.sum(present * present))
+        sums.setdefault(f"l{tag}", F.min(present))
+        sums.setdefault(f"h{tag}", F.max(present))
+        return tag
+
+    tags = {}
+    for a, b in pairs:
+        tags[a, b] = side(a, b), side(b, a)
+        sums[f"p{at[a]}_{at[b]}"] = F.sum(d[a] * d[b])
+    row = df.agg(*[e.alias(k) for k, e in sums.items()]).first()
+
+    def of(tag):
+        return row[f"s{tag}"], row[f"q{tag}"], row[f"l{tag}"] == row[f"h{tag}"]
+
+    return {
+        (a, b): (row[f"n{tags[a, b][0]}"], of(tags[a, b][0]), of(tags[a, b][1]), row[f"p{at[a]}_{at[b]}"])
+        for a, b in pairs
+    }
+
+
+def _sums_of_many(df: DataFrame, d, pairs) -> dict:
+    """The same numbers from matrices over all columns that the pairs name."""
+    names = list(dict.fromkeys(n for pair in pairs for n in pair))
+    at = {n: i for i, n in enumerate(names)}
+    rows = {(r["i"], r["j"]): r for r in pair_moments(df, [d[n] for n in names]).collect()}
+
+    def of(r):
+        return r["s"], r["q"], r["lo"] == r["hi"]
+
+    out = {}
+    for a, b in pairs:
+        ab, ba = rows[at[a], at[b]], rows[at[b], at[a]]
+        out[a, b] = ab["n"], of(ab), of(ba), ab["p"]
+    return out
+
+
+def _r_of_sums(n, first, second, products) -> float | None:
+    (sa, qa, constant_a), (sb, qb, constant_b) = first, second
+    if not n or constant_a or constant_b:
+        return None
+    va, vb = qa - sa**2 / n, qb - sb**2 / n
+    cov = products - sa * sb / n
+    return cov / (math.sqrt(va) * math.sqrt(vb)) if va > 0 and vb > 0 else None
 
 
 def matrix_rows(spark, names, found: dict[tuple[str, str], float | None]) -> DataFrame:

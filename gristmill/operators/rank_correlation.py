@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -9,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gristmill.functions.types import as_list, col, numeric_columns, require_numeric
-from gristmill.operators.eda import matrix_rows, paired_correlations
+from gristmill.operators.eda import matrix_rows
 from gristmill.plans.ordering import bucket_of, with_running_weight
 from gristmill.plans.session import BROADCAST_ROWS, checkpoint, shuffle_partitions
 
@@ -96,30 +98,40 @@ def _diagonal(df: DataFrame, names) -> DataFrame:
 def correlation_spearman(df: DataFrame, columns=None) -> DataFrame:
     """Pearson correlation of average ranks over the complete rows of each pair.
 
-    Ranks are computed on distinct values. A column is ranked once for all its partners
-    without nulls, and once more for each partner with nulls, whose gaps change the ranks.
+    Ranks are computed on distinct values, around their mean. A column is ranked once for all its
+    partners without nulls, and once more for each partner with nulls, whose gaps change the
+    ranks. The rows of all pairs in long form take the rank of the side with fewer values, are
+    summed per value of the other side, and only these sums meet the ranks of the other side.
     """
     names, _ = _pairs(df, columns)
     values = df.select(*[col(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
     row = values.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count(f"v{i}").alias(f"c{i}") for i in range(len(names))],
+        *[(F.max(f"v{i}") > F.min(f"v{i}")).alias(f"d{i}") for i in range(len(names))],
     ).first()
+    # A constant correlates with nothing and is not ranked.
+    differ = [i for i in range(len(names)) if row[f"d{i}"]]
     gaps = [row[f"c{i}"] < row["n"] for i in range(len(names))]
     rankings: dict[tuple[int, int | None], int] = {}
     pairs = {}
-    for i in range(len(names)):
-        for j in range(i, len(names)):
+    for i in differ:
+        for j in (j for j in differ if j >= i):
             ids = []
             for own, other in ((i, j), (j, i)):
                 key = (own, other if gaps[other] and other != own else None)
                 ids.append(rankings.setdefault(key, len(rankings)))
-            pairs[names[i], names[j]] = (f"r{ids[0]}", f"r{ids[1]}")
+            pairs[i, j] = tuple(ids)
 
     def ranked_value(own, other):
         value = F.col(f"v{own}")
         return value if other is None else F.when(F.col(f"v{other}").isNotNull(), value)
 
+    found: dict[tuple[str, str], float | None] = {
+        (a, b): None for i, a in enumerate(names) for b in names[i:]
+    }
+    if not rankings:
+        return matrix_rows(df.sparkSession, names, found)
     cells = [
         F.struct(F.lit(k).alias("ranking"), ranked_value(own, other).alias("v"))
         for (own, other), k in rankings.items()
@@ -131,22 +143,73 @@ def correlation_spearman(df: DataFrame, columns=None) -> DataFrame:
         .groupBy("ranking", "v")
         .agg(F.count(F.lit(1)).cast("double").alias("t"))
     )
-    below = with_running_weight(margins, ["ranking"], "v", "t", "below")
-    ranks = checkpoint(
-        below.select("ranking", "v", (F.col("below") + (F.col("t") + 1) / 2).alias("rank"))
-    )
-    sizes = dict(ranks.groupBy("ranking").count().collect())
-    ranked = values
-    for (own, other), k in rankings.items():
-        table = ranks.filter(F.col("ranking") == k).select(
-            F.col("v").alias(f"k{k}"), F.col("rank").alias(f"r{k}")
-        )
-        if sizes.get(k, 0) <= BROADCAST_ROWS:
-            table = F.broadcast(table)
-        ranked = ranked.join(table, ranked_value(own, other) == F.col(f"k{k}"), "left").drop(f"k{k}")
-    ranked = checkpoint(ranked.select(*[f"r{k}" for k in rankings.values()]))
-    found = paired_correlations(ranked, list(dict.fromkeys(pairs.values())))
-    return matrix_rows(df.sparkSession, names, {p: found[ids] for p, ids in pairs.items()})
+    # One row per ranking.
+    totals = margins.groupBy("ranking").agg(F.sum("t").alias("n"), F.count(F.lit(1)).alias("values"))
+    below = with_running_weight(margins, ["ranking"], "v", "t", "below").join(F.broadcast(totals), "ranking")
+    place = F.col("below") + (F.col("t") + 1) / 2 - (F.col("n") + 1) / 2
+    ranks = checkpoint(below.select("ranking", "v", "t", "values", place.alias("rank")))
+    spread, values_of = {}, {}
+    for r in ranks.groupBy("ranking").agg(
+        F.sum(F.col("t") * F.col("rank") * F.col("rank")).alias("s"), F.first("values").alias("values")
+    ).collect():
+        spread[r["ranking"]], values_of[r["ranking"]] = r["s"], r["values"]
+    vary = {p for p, (a, b) in pairs.items() if spread.get(a) and spread.get(b)}
+    sums = _rank_products(values, ranks, {p: pairs[p] for p in sorted(vary) if p[0] < p[1]}, values_of)
+    for i, j in vary:
+        a, b = pairs[i, j]
+        r = 1.0 if i == j else sums[i, j] / (math.sqrt(spread[a]) * math.sqrt(spread[b]))
+        found[names[i], names[j]] = r
+    return matrix_rows(df.sparkSession, names, found)
+
+
+def _rank_products(values: DataFrame, ranks: DataFrame, pairs, values_of) -> dict[tuple[int, int], float]:
+    """The sum of the products of both ranks per pair of columns, one small row each.
+
+    Rankings of few values are broadcast, together no more than ``BROADCAST_ROWS``; the rows of
+    pairs with two longer ones collapse into weighted points before they are joined.
+    """
+    if not pairs:
+        return {}
+    sides, first = [], set()
+    for (i, j), (a, b) in pairs.items():
+        if values_of[a] > values_of[b]:
+            i, j, a, b = j, i, b, a
+        sides.append((i, j, a, b))
+        first.add(a)
+    small, room = [], BROADCAST_ROWS
+    for a in sorted(first, key=lambda a: (values_of[a], a)):
+        if values_of[a] > room:
+            break
+        small.append(a)
+        room -= values_of[a]
+
+    def long_form(part):
+        """A row ``(pair, rx, x, ry, y)`` for each pair that a row of the table completes."""
+        entries = []
+        for k in part:
+            i, j, rx, ry = sides[k]
+            x, y = F.col(f"v{i}"), F.col(f"v{j}")
+            point = F.struct(
+                F.lit(k).alias("pair"), F.lit(rx).alias("rx"), x.alias("x"), F.lit(ry).alias("ry"), y.alias("y")
+            )
+            entries.append(F.when(x.isNotNull() & y.isNotNull(), point))
+        return values.select(F.inline(F.array_compact(F.array(*entries))))
+
+    by_x = ranks.select(F.col("ranking").alias("rx"), F.col("v").alias("x"), F.col("rank").alias("cx"))
+    by_y = ranks.select(F.col("ranking").alias("ry"), F.col("v").alias("y"), F.col("rank").alias("cy"))
+    parts = []
+    short = [k for k, side in enumerate(sides) if side[2] in small]
+    long = [k for k, side in enumerate(sides) if side[2] not in small]
+    if short:
+        table = F.broadcast(by_x.filter(F.col("rx").isin(small)))
+        parts.append(long_form(short).join(table, ["rx", "x"]).select("pair", "ry", "y", "cx"))
+    if long:
+        points = long_form(long).groupBy("pair", "rx", "x", "ry", "y").agg(F.count(F.lit(1)).alias("w"))
+        parts.append(points.join(by_x, ["rx", "x"]).select("pair", "ry", "y", (F.col("cx") * F.col("w")).alias("cx")))
+    halves = reduce(DataFrame.unionByName, parts).groupBy("pair", "ry", "y").agg(F.sum("cx").alias("cx"))
+    rows = halves.join(by_y, ["ry", "y"]).groupBy("pair").agg(F.sum(F.col("cx") * F.col("cy")).alias("p")).collect()
+    found = {r["pair"]: r["p"] for r in rows}
+    return {p: found[k] for k, p in enumerate(pairs)}
 
 
 def _every_pair(rows: DataFrame, pairs) -> DataFrame:

@@ -461,13 +461,58 @@ def q_value_counts_meta_wide(spark, sf):
     return E.value_counts_meta(_wide(spark, sf))
 
 
+_NUMBERED_WIDE = f"""w AS (SELECT row_number() OVER () AS row, {', '.join(_WIDE)} FROM events),
+u AS (UNPIVOT w ON COLUMNS(* EXCLUDE (row)) INTO NAME c VALUE v)"""
+
+
 @query(
-    f"WITH w AS (SELECT {', '.join(_WIDE)} FROM events), "
-    + "n AS (SELECT 'k' || unnest(range(60)) AS c) SELECT a.c AS column_a, b.c AS column_b, "
-    + "CASE WHEN a.c = b.c THEN 1.0::DOUBLE WHEN least(a.c, b.c) = 'k0' AND greatest(a.c, b.c) = 'k59' THEN "
-    + _cramer("w", "k0", "k59") + " END AS v FROM n a, n b"
+    f"""WITH {_NUMBERED_WIDE},
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM w),
+m AS (SELECT c, v, CAST(count(*) AS DOUBLE) AS t FROM u GROUP BY c, v),
+k AS (SELECT c, CAST(count(*) AS DOUBLE) AS k FROM m GROUP BY c),
+cells AS (SELECT x.c AS a, y.c AS b, x.v AS va, y.v AS vb, count(*) AS o FROM u x JOIN u y ON x.row = y.row AND x.c < y.c GROUP BY ALL),
+grid AS (
+  SELECT ra.c AS a, cb.c AS b, coalesce(o, 0) AS o, ra.t * cb.t / n AS e, n, r.k AS r, s.k AS k
+  FROM m ra JOIN m cb ON ra.c < cb.c JOIN k r ON r.c = ra.c JOIN k s ON s.c = cb.c CROSS JOIN n
+  LEFT JOIN cells ON cells.a = ra.c AND cells.b = cb.c AND cells.va = ra.v AND cells.vb = cb.v),
+chi AS (
+  SELECT a, b, any_value(n) AS n, any_value(r) AS r, any_value(k) AS k,
+    sum(CASE WHEN r = 2 AND k = 2 THEN pow(abs(o - e) - least(0.5, abs(o - e)), 2) / e ELSE pow(o - e, 2) / e END) AS chi
+  FROM grid GROUP BY a, b),
+parts AS (
+  SELECT a, b, greatest(0, chi / n - (k - 1) * (r - 1) / (n - 1)) AS p,
+    least(k - (k - 1) * (k - 1) / (n - 1), r - (r - 1) * (r - 1) / (n - 1)) - 1 AS room FROM chi),
+found AS (SELECT a, b, CASE WHEN room = 0 THEN 0.0 ELSE round(sqrt(p / room), 4) END AS v FROM parts)
+SELECT a AS column_a, b AS column_b, v FROM found UNION ALL SELECT b, a, v FROM found UNION ALL SELECT c, c, 1.0 FROM k"""
 )
 def q_association_wide(spark, sf):
-    """Every pair of 60 columns is reported; the value of the outermost pair is compared."""
-    shown = "CASE WHEN column_a = column_b OR (least(column_a, column_b) = 'k0' AND greatest(column_a, column_b) = 'k59') THEN v END AS v"
-    return A.categorical_association(_wide(spark, sf)).selectExpr("column_a", "column_b", shown)
+    """All 1,770 pairs of 60 columns."""
+    return A.categorical_association(_wide(spark, sf))
+
+
+_NUMBERS = [f"CASE WHEN event_id % {k + 5} <> 0 THEN (user_id * {k + 3} + event_id) % {2 * k + 17} + value END AS k{k}" for k in range(24)] + [
+    f"user_id % {k} + value AS k{k}" for k in range(24, 28)
+]
+_NUMBERED = f"w AS (SELECT row_number() OVER () AS row, {', '.join(_NUMBERS)} FROM events)"
+_FLAGS = [f"CASE WHEN event_id % {k % 7 + 2} <> 0 OR user_id % {k + 40} = 0 THEN value END AS k{k}" for k in range(28)]
+
+
+@query(
+    f"""WITH {_NUMBERED}, u AS (UNPIVOT w ON COLUMNS(* EXCLUDE (row)) INTO NAME c VALUE v)
+SELECT x.c AS column_a, y.c AS column_b, round(corr(x.v, y.v), 4) AS r FROM u x JOIN u y ON x.row = y.row GROUP BY x.c, y.c"""
+)
+def q_corr_pearson_wide(spark, sf):
+    """All 406 pairs of 28 columns, most of them with nulls."""
+    return E.correlation_pearson(table(spark, sf, "events").selectExpr(*_NUMBERS))
+
+
+@query(
+    f"""WITH w AS (SELECT row_number() OVER () AS row, {', '.join(_FLAGS)} FROM events),
+f AS (SELECT row, {', '.join(f'CAST(k{k} IS NULL AS INT) AS k{k}' for k in range(28))} FROM w),
+u AS (UNPIVOT f ON COLUMNS(* EXCLUDE (row)) INTO NAME c VALUE v)
+SELECT x.c AS column_a, y.c AS column_b, round(corr(x.v, y.v), 3) AS r FROM u x JOIN u y ON x.row = y.row AND x.c < y.c
+GROUP BY x.c, y.c HAVING abs(round(corr(x.v, y.v), 3)) >= 0.5"""
+)
+def q_co_null_wide(spark, sf):
+    """All 378 pairs of 28 columns."""
+    return E.co_null_pairs(table(spark, sf, "events").selectExpr(*_FLAGS))

@@ -8,9 +8,9 @@ from gristmill.plans import ordering
 from gristmill.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas")
+PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas")
 # The algorithms that work on blocks of bounded size in numpy.
-BLOCK_QUERIES = ("q_corr_kendall", "q_knn", "q_dbscan_core", "q_silhouette", "q_silhouette_squared")
+BLOCK_QUERIES = ("q_corr_kendall", "q_knn", "q_dbscan_core", "q_silhouette", "q_silhouette_squared", "q_co_null_wide")
 
 
 def plan(df):
