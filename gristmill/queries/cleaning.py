@@ -534,9 +534,9 @@ def q_fill_constant_integer(spark, sf):
 FROM lineitem"""
 )
 def q_add_column_overflow(spark, sf):
-    """A product that does not fit a bigint is null."""
+    """A product that does not fit a bigint is null, an operand too."""
     lines = table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey", "l_linenumber", "l_partkey * 1000000000000000L AS a", "10000L AS b"
+        "l_orderkey", "l_linenumber", "try_multiply(l_partkey, 1000000000000000L) AS a", "10000L AS b"
     )
     return C.add_column(lines, "p", "multiply", "a", "b")
 

@@ -160,3 +160,11 @@ def test_quantiles_on_the_edge_of_heavy_values(spark, monkeypatch, bound):
         want = np.quantile(rows[c].dropna(), ps)
         assert [got[i, j] for j in range(len(ps))] == pytest.approx(list(want), abs=1e-12)
     assert all(got[3, j] is None for j in range(len(ps)))
+
+
+def test_large_keys_leave_no_product(spark, tmp_path):
+    rows = [(1, 1, 0), (1, 2, 9_223), (2, 1, 9_224), (2, 2, 20_000), (3, 1, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["q_add_column_overflow"](spark, str(tmp_path)).orderBy("l_orderkey", "l_linenumber")
+    assert [f.dataType.simpleString() for f in found.schema][2:] == ["bigint", "bigint", "bigint"]
+    assert [(r.a, r.p) for r in found.collect()] == [(0, 0), (9_223 * 10**15, None), (None, None), (None, None), (None, None)]
