@@ -297,46 +297,58 @@ def removals(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD, sha
     texts = documents.select("doc_id", *keyed(documents))
     grams = document_anchors(texts.select("doc", "copy", "text"), window)
     shared = grams.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor")
-    lists = settled(grams.join(shared, "anchor", "left_semi").groupBy("doc", "copy").agg(F.collect_list("anchor").alias("shared")))
+    # Each task hashes its share of the distinct anchors instead of sorting all.
+    lists = settled(grams.join(shared.hint("shuffle_hash"), "anchor", "left_semi").groupBy("doc", "copy").agg(F.collect_list("anchor").alias("shared")))
     # With its id, though unused there, each pass reads the exchange that the last join reads.
     listed = texts.join(lists, ["doc", "copy"], "left").select("doc_id", "doc", "copy", "text", "shared")
-    found = occurrences(listed, window)
+    # Read twice, so written once, as are the words below.
+    found = settled(occurrences(listed, window))
     different = settled(found.groupBy("anchor", "p1", "p2").agg(F.min("doc").alias("first"), F.min_by("copy", "doc").alias("copy"), F.max("windows").alias("windows")))
     counts = different.groupBy("anchor").agg(F.count("*").alias("n"))
     sized = settled(different.join(counts, "anchor"))
-    alone = sized.where("n = 1").select("anchor", "p1", "p2", F.expr("array_repeat(first, windows)").alias("firsts"))
+    # All windows of a piece that is alone have its first document.
+    alone = sized.where("n = 1").select("anchor", "p1", "p2", F.col("first").alias("low"), F.lit(None).cast("array<long>").alias("firsts"))
     several = sized.where("n > 1")
     crowded = small(several.where(F.col("n") > crowd).select("anchor").distinct())
     asked = several.groupBy(F.col("first").alias("doc"), "copy").agg(F.collect_list("p1").alias("asked"))
     # Rows that repeat an id say the same words. All columns are keys: equal pieces agree in the rest, and rows of keys alone are not sorted.
-    said = asked_words(listed.join(asked, ["doc", "copy"], "left"), window).dropDuplicates()
-    firsts = alone.union(first_documents(said, crowded, several.count(), window, shard))
+    said = settled(asked_words(listed.join(asked, ["doc", "copy"], "left"), window).dropDuplicates())
+    ruled = first_documents(said, crowded, several.count(), window, shard)
+    firsts = alone.union(ruled.select("anchor", "p1", "p2", F.array_min("firsts").alias("low"), "firsts"))
+    every = F.when(F.col("windows") < 64, F.expr("~shiftleft(-1L, windows)")).otherwise(F.lit(-1).cast("long"))
     bits = F.transform("firsts", lambda f, i: F.when(f < F.col("doc"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    some = F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
     masks = (
-        found.select("anchor", "p1", "p2", "doc", "copy", "start").join(firsts, ["anchor", "p1", "p2"])
-        .select("doc", "copy", "start", F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)).alias("mask"))
-        .where("mask <> 0")
+        found.join(firsts, ["anchor", "p1", "p2"]).where("low < doc")
+        .select("doc", "copy", "start", F.when(F.col("firsts").isNull(), every).otherwise(some).alias("mask"))
     )
     places = masks.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "mask")).alias("places"))
     return texts.join(places, ["doc", "copy"], "left")
 
 
-def kept_words(text: str, places: list, window: int) -> tuple[list[bytes], int]:
-    """Words of a text that no removed window covers, and the number of all words."""
+def kept_words(text: str, places: np.ndarray, window: int) -> tuple[list[bytes], int]:
+    """Words of a text that no removed window covers, and the number of all words.
+
+    ``places`` are the first words of the removed windows.
+    """
     words = text.encode().split()  # bytes part at \x20 and \x09-\x0D only
-    if not places:
+    if not len(places):
         return words, len(words)
-    cover = np.zeros(len(words) + 1, dtype=np.int64)
-    for place in places:
-        mask = place["mask"] & 0xFFFFFFFFFFFFFFFF
-        at = place["start"]
-        while mask:
-            skip = (mask & -mask).bit_length() - 1
-            cover[at + skip] += 1
-            cover[min(at + skip + window, len(words))] -= 1
-            mask &= mask - 1
-    gone = np.cumsum(cover)[:-1] > 0
-    return [w for w, x in zip(words, gone.tolist()) if not x], len(words)
+    size = len(words) + 1
+    cover = np.bincount(places, minlength=size) - np.bincount(np.minimum(places + window, len(words)), minlength=size)
+    left = np.flatnonzero(np.cumsum(cover)[:-1] == 0)
+    return [words[i] for i in left.tolist()], len(words)
+
+
+def removed_windows(column: pa.Array) -> list[np.ndarray]:
+    """First words of the removed windows of each row, from its ``(start, mask)`` pairs."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    pairs = column.flatten()
+    starts, masks = (pairs.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "mask"))
+    bits = np.unpackbits(masks.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    pair, skip = np.nonzero(bits)
+    ends = np.r_[0, np.cumsum(bits.sum(axis=1, dtype=np.int64))][np.cumsum(sizes)]
+    return np.split(starts[pair] + skip, ends[:-1])
 
 
 def without_repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
@@ -346,7 +358,7 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, crowd: int = CRO
         for batch in batches:
             for part in slices(batch, "text"):
                 n, removed, kept = [], [], []
-                for text, places in zip(part.column("text").to_pylist(), part.column("places").to_pylist()):
+                for text, places in zip(part.column("text").to_pylist(), removed_windows(part.column("places"))):
                     left, size = kept_words(text, places, window)
                     n.append(size)
                     removed.append(size - len(left))

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from gristmill.llm import substrings as S
 from gristmill.llm.substrings import Automaton, without_repeats
 
 
@@ -122,3 +123,27 @@ def test_a_very_long_text(spark):
     long = " ".join(f"w{i}" for i in range(300_000))
     got = without_repeats(spark.createDataFrame([(1, "w5 " * 3 + " ".join(f"w{i}" for i in range(100_000, 100_050))), (2, long)], "doc_id long, text string"))
     assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == [(1, 53, 0), (2, 300_000, 50)]
+
+
+def test_whole_pieces_of_every_length(spark):
+    """A piece of up to 64 windows that repeats is removed whole, its neighbours stay."""
+    rows = []
+    for n in (13, 14, 74, 75, 76, 77, 140):
+        run = " ".join(f"r{n}x{i}" for i in range(n))
+        rows += [(2 * n, run), (2 * n + 1, f"before {run} after")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in S.without_repeats(table).collect()}
+    for n in (13, 14, 74, 75, 76, 77, 140):
+        assert got[2 * n][:2] == (n, 0)
+        assert got[2 * n + 1] == (n + 2, n, "before after")
+
+
+def test_texts_are_read_as_often_as_needed(spark, monkeypatch):
+    """Places and words of pieces are each taken from the texts once, whatever reads them later."""
+    written = []
+    kept = S.settled
+    monkeypatch.setattr(S, "settled", lambda df: written.append(df) or kept(df))
+    run = " ".join(f"r{i}" for i in range(40))
+    table = spark.createDataFrame([(i, f"{run} {i} {run} x{i}") for i in range(6)], "doc_id long, text string")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in [S.removals(table), *written]]
+    assert [plan.count("MapInArrow") for plan in plans] == [0, 2, 1, 0, 0, 1]
