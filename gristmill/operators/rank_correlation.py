@@ -123,26 +123,13 @@ def correlation_spearman(df: DataFrame, columns=None) -> DataFrame:
                 ids.append(rankings.setdefault(key, len(rankings)))
             pairs[i, j] = tuple(ids)
 
-    def ranked_value(own, other):
-        value = F.col(f"v{own}")
-        return value if other is None else F.when(F.col(f"v{other}").isNotNull(), value)
-
     found: dict[tuple[str, str], float | None] = {
         (a, b): None for i, a in enumerate(names) for b in names[i:]
     }
     if not rankings:
         return matrix_rows(df.sparkSession, names, found)
-    cells = [
-        F.struct(F.lit(k).alias("ranking"), ranked_value(own, other).alias("v"))
-        for (own, other), k in rankings.items()
-    ]
     # Written once: sampling the cuts, the carries and the ranks all read the distinct values.
-    margins = checkpoint(
-        values.select(F.inline(F.array(*cells)))
-        .filter(F.col("v").isNotNull())
-        .groupBy("ranking", "v")
-        .agg(F.count(F.lit(1)).cast("double").alias("t"))
-    )
+    margins = checkpoint(_ranked_values(values, rankings, gaps))
     # One row per ranking.
     totals = margins.groupBy("ranking").agg(F.sum("t").alias("n"), F.count(F.lit(1)).alias("values"))
     below = with_running_weight(margins, ["ranking"], "v", "t", "below").join(F.broadcast(totals), "ranking")
@@ -162,6 +149,60 @@ def correlation_spearman(df: DataFrame, columns=None) -> DataFrame:
     return matrix_rows(df.sparkSession, names, found)
 
 
+def _long_rows(values: DataFrame, entries, names) -> DataFrame:
+    """Each row once per entry, a tuple of columns ``v0, v1, ...`` or whole numbers, under ``names``."""
+    numbers = sorted({e for entry in entries for e in entry if isinstance(e, int)})
+    table = values.select("*", *[F.lit(n).alias(f"n{n}") for n in numbers])
+    listed = ", ".join(
+        "(" + ", ".join(f"n{e}" if isinstance(e, int) else e for e in entry) + f") AS `{k}`" for k, entry in enumerate(entries)
+    )
+    query = f"SELECT {', '.join(names)} FROM {{table}} UNPIVOT INCLUDE NULLS (({', '.join(names)}) FOR entry IN ({listed}))"
+    return values.sparkSession.sql(query, table=table)
+
+
+MASK_BITS = 62
+
+
+def _ranked_values(values: DataFrame, rankings, gaps) -> DataFrame:
+    """``ranking, v, t``: the distinct values of every ranking and their numbers of rows.
+
+    The rows are counted once per column, by value and by which columns with gaps are present;
+    the rankings of a column take from these counts those with their partner present.
+    """
+    bit = {j: divmod(k, MASK_BITS) for k, j in enumerate(sorted({j for _, j in rankings if j is not None}))}
+    masks = [
+        sum((F.col(f"v{j}").isNotNull().cast("long") * F.lit(1 << b) for j, (m, b) in bit.items() if m == part), F.lit(0).cast("long"))
+        for part in range(-(-len(bit) // MASK_BITS))
+    ]
+    held = [f"m{part}" for part in range(len(masks))]
+    owns = sorted({own for own, _ in rankings})
+    table = values.select("*", *[mask.alias(name) for mask, name in zip(masks, held)])
+    counted = (
+        _long_rows(table, [(f"v{own}", own, *held) for own in owns], ["v", "own", *held])
+        .filter(F.col("v").isNotNull())
+        .groupBy("own", "v", *held)
+        .agg(F.count(F.lit(1)).alias("t"))
+    )
+
+    def present(other):
+        if other is None:
+            return F.lit(True)
+        part, b = bit[other]
+        return F.col(f"m{part}").bitwiseAND(F.lit(1 << b)) != 0
+
+    of = {own: [(k, other) for (o, other), k in rankings.items() if o == own] for own in owns}
+    chosen = F.lit(None).cast("array<int>")
+    for own, listed in of.items():
+        ids = F.array(*[F.when(present(other), F.lit(k)) for k, other in listed])
+        chosen = F.when(F.col("own") == own, ids).otherwise(chosen)
+    return (
+        counted.select("v", "t", F.explode(chosen).alias("ranking"))
+        .filter(F.col("ranking").isNotNull())
+        .groupBy("ranking", "v")
+        .agg(F.sum("t").cast("double").alias("t"))
+    )
+
+
 def _rank_products(values: DataFrame, ranks: DataFrame, pairs, values_of) -> dict[tuple[int, int], float]:
     """The sum of the products of both ranks per pair of columns, one small row each.
 
@@ -185,15 +226,8 @@ def _rank_products(values: DataFrame, ranks: DataFrame, pairs, values_of) -> dic
 
     def long_form(part):
         """A row ``(pair, rx, x, ry, y)`` for each pair that a row of the table completes."""
-        entries = []
-        for k in part:
-            i, j, rx, ry = sides[k]
-            x, y = F.col(f"v{i}"), F.col(f"v{j}")
-            point = F.struct(
-                F.lit(k).alias("pair"), F.lit(rx).alias("rx"), x.alias("x"), F.lit(ry).alias("ry"), y.alias("y")
-            )
-            entries.append(F.when(x.isNotNull() & y.isNotNull(), point))
-        return values.select(F.inline(F.array_compact(F.array(*entries))))
+        entries = [(f"v{sides[k][0]}", f"v{sides[k][1]}", k, sides[k][2], sides[k][3]) for k in part]
+        return _long_rows(values, entries, ["x", "y", "pair", "rx", "ry"]).filter("x IS NOT NULL AND y IS NOT NULL")
 
     by_x = ranks.select(F.col("ranking").alias("rx"), F.col("v").alias("x"), F.col("rank").alias("cx"))
     by_y = ranks.select(F.col("ranking").alias("ry"), F.col("v").alias("y"), F.col("rank").alias("cy"))

@@ -111,3 +111,19 @@ def test_spearman_of_long_rankings_without_broadcast(spark, monkeypatch):
     pair = pdf[["c0", "c1"]].dropna().rank()
     assert whole["c0", "c1"] == pytest.approx(pair["c0"].corr(pair["c1"]), abs=1.01e-4)
     assert all(r.r is None for r in K.correlation_spearman(df.limit(0)).collect())
+
+
+def test_spearman_counts_each_column_once(spark, monkeypatch):
+    """Whatever the gaps of the partners, a column's values are counted from one copy of each row."""
+    rows = [tuple(None if (i + 3 * c) % 7 == 0 and c % 2 else (i * (c + 3)) % (5 + 40 * c) / 2 for c in range(5)) for i in range(400)]
+    names = [f"a{c}" for c in range(5)]
+    table = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    seen = []
+    long_rows = K._long_rows
+    monkeypatch.setattr(K, "_long_rows", lambda *a: seen.append((len(a[1]), long_rows(*a))) or seen[-1][1])
+    monkeypatch.setattr(K, "MASK_BITS", 1)
+    got = {(r.column_a, r.column_b): r.r for r in K.correlation_spearman(table).collect()}
+    want = pd.DataFrame(rows, columns=names).corr("spearman").round(4)
+    assert all(got[a, b] == pytest.approx(want.loc[a, b], abs=1e-4) for a in names for b in names)
+    assert [n for n, _ in seen] == [5, 10]
+    assert all("filter(array" not in df._jdf.queryExecution().optimizedPlan().toString() for _, df in seen)
